@@ -26,9 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return active.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
