@@ -35,22 +35,25 @@ def peel_arrays(off: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Removal order (indices in id order are ids) and each vertex's degree when removed."""
     n = len(off) - 1
     deg = np.diff(off).tolist()
-    heap = [(d, v) for v, d in enumerate(deg)]
+    # one number for (degree, id) compares faster than a pair
+    heap = [d << 32 | v for v, d in enumerate(deg)]
     heapq.heapify(heap)
+    pop, push, mask = heapq.heappop, heapq.heappush, (1 << 32) - 1
     order, at = [], []
     gone = bytearray(n)
-    neighbours = [adj[off[v] : off[v + 1]].tolist() for v in range(n)]
+    ends, flat = off.tolist(), adj.tolist()
     while heap:
-        d, v = heapq.heappop(heap)
-        if gone[v] or d != deg[v]:
+        key = pop(heap)
+        v = key & mask
+        if gone[v] or key >> 32 != deg[v]:
             continue
         gone[v] = 1
         order.append(v)
-        at.append(d)
-        for w in neighbours[v]:
+        at.append(deg[v])
+        for w in flat[ends[v] : ends[v + 1]]:
             if not gone[w]:
-                deg[w] -= 1
-                heapq.heappush(heap, (deg[w], w))
+                d = deg[w] = deg[w] - 1
+                push(heap, d << 32 | w)
     return np.array(order, np.int64), np.array(at, np.int64)
 
 

@@ -12,6 +12,8 @@ member arrays would take O(n^2).
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -45,47 +47,68 @@ class _Components:
         return a, b
 
 
+#: Longer rings are summed by one call.
+FEW = 6
+
+
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes, off, adj = adjacency(pdf)
     order, at = peel_arrays(off, adj)
     n = len(nodes)
     full = np.diff(off)
-    d = np.zeros(n, np.int64)
-    here = np.zeros(n, bool)
-    mark = np.zeros(n, bool)
+    # neighbours in the order of addition: those present are always the first ones, as many as the degree so far
+    added = np.empty(n, np.int64)
+    added[order[::-1]] = np.arange(n)
+    adj = adj[np.lexsort((added[adj], np.repeat(np.arange(n), full)))]
+    flat, at_, start = adj.tolist(), at[::-1].tolist(), off.tolist()
+    d, mark = [0] * n, bytearray(n)
     comps = _Components(n)
+    find = comps.find
     cubes, prods, degs, fulls, last = [0] * n, [0] * n, [0] * n, [0] * n, [-1] * n
-    out = {k: np.zeros(n, np.int64) for k in ("nc", "sum_deg", "q", "q_full")}
-    parent = np.full(n, -1, np.int64)
-    for s, u in enumerate(order[::-1].tolist()):
-        near = adj[off[u] : off[u + 1]]
-        near = near[here[near]]
-        k = len(near)
-        cube, prod = k**3, 0
-        gain: dict[int, list[int]] = {}
+    nc, sum_deg, q, q_full = [0] * n, [0] * n, [0] * n, [0] * n
+    parent = [-1] * n
+    whole = full.tolist()
+    for s, (u, k) in enumerate(zip(order[::-1].tolist(), at_)):
+        root, gain = u, {}
+        cubes[u], degs[u] = k * k * k, k
         if k:
-            mark[near] = True
-            old = d[near]
-            for x, a in zip(near.tolist(), old.tolist()):
-                ring = adj[off[x] : off[x + 1]]
-                ring = ring[here[ring]]
-                g = gain.setdefault(comps.find(x), [0, 0, 0])
-                g[0] += 3 * a * a + 3 * a + 1  # (a + 1)^3 - a^3
-                g[1] += int(d[ring].sum()) + k * (a + 1)  # x's other edges grow by their ends' degrees; the new edge
-                g[2] += int(mark[ring].sum())  # edges between two neighbours, seen from both ends
-            mark[near] = False
-            d[near] += 1
-        d[u] = k
-        here[u] = True
-        root = u
-        f_edges = int((full[u] * full[near]).sum())
-        cubes[u], prods[u], degs[u], fulls[u] = cube, prod, k, k * int(full[u]) ** 2 - 2 * f_edges + int((full[near] ** 2).sum())
+            near = flat[start[u] : start[u] + k]
+            for x in near:
+                mark[x] = 1
+            w = whole[u]
+            f = k * w * w
+            for x in near:
+                a = d[x]
+                ring = flat[start[x] : start[x] + a]  # x's present neighbours
+                if a > FEW:
+                    take = itemgetter(*ring)
+                    near_sum, twice = sum(take(d)), sum(take(mark))
+                else:
+                    near_sum = twice = 0
+                    for y in ring:
+                        near_sum += d[y]
+                        twice += mark[y]
+                f += whole[x] * (whole[x] - 2 * w)
+                r = find(x)
+                # x's cube grows; its other edges grow by the degrees at their ends, and by one for an edge
+                # between two neighbours (seen from both); the new edge is k * (a + 1)
+                g = gain.get(r)
+                if g is None:
+                    gain[r] = [3 * a * (a + 1) + 1, near_sum + k * (a + 1), twice]
+                else:
+                    g[0] += 3 * a * (a + 1) + 1
+                    g[1] += near_sum + k * (a + 1)
+                    g[2] += twice
+            for x in near:
+                mark[x] = 0
+                d[x] += 1
+            d[u], fulls[u] = k, f
         for r, (c, p, twice) in gain.items():
             cubes[r] += c
             prods[r] += p + twice // 2
             parent[last[r]] = s
         for r in gain:
-            a, b = comps.join(comps.find(root), r)
+            a, b = comps.join(root, r)
             cubes[a] += cubes[b]
             prods[a] += prods[b]
             degs[a] += degs[b]
@@ -93,25 +116,22 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
             root = a
         degs[root] += k
         last[root] = s
-        out["nc"][s], out["sum_deg"][s] = comps.size[root], degs[root]
-        out["q"][s], out["q_full"][s] = cubes[root] - 2 * prods[root], fulls[root]
+        nc[s], sum_deg[s], q[s], q_full[s] = comps.size[root], degs[root], cubes[root] - 2 * prods[root], fulls[root]
     # depth-first numbers: children stand before their parent, so sizes and places come from two passes
-    size = np.ones(n, np.int64)
+    size, used, tin, free = [1] * n, [0] * n, [0] * n, 0
     for s in range(n):
         if parent[s] >= 0:
             size[parent[s]] += size[s]
-    tin, used = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    free = 0
     for s in range(n - 1, -1, -1):
-        p = parent[s]
-        if p < 0:
+        up = parent[s]
+        if up < 0:
             tin[s], free = free, free + size[s]
         else:
-            tin[s] = tin[p] + 1 + used[p]
-            used[p] += size[s]
+            tin[s] = tin[up] + 1 + used[up]
+            used[up] += size[s]
     return pd.DataFrame({
-        "component": pdf["component"].iloc[0], "sid": np.arange(n), "node": nodes[order[::-1]], "deg": at[::-1], **out,
-        "parent": parent, "tin": tin, "tout": tin + size - 1,
+        "component": pdf["component"].iloc[0], "sid": np.arange(n), "node": nodes[order[::-1]], "deg": at[::-1],
+        "nc": nc, "sum_deg": sum_deg, "q": q, "q_full": q_full, "parent": parent, "tin": tin, "tout": np.array(tin) + np.array(size) - 1,
     })
 
 
