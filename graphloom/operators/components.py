@@ -63,11 +63,11 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
             labels = _relabel(labels, hooks)
             live = live.limit(0)
             break
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x"))
         ends = live.select("u", rank("v").alias("r")).unionByName(live.select(F.col("v").alias("u"), rank("u").alias("r")))
         hooks = (
             ends.groupBy("u").agg(F.min("r").alias("r"))
-            .select(F.col("u").alias("id"), F.least("r", rank("u"))["col2"].alias("hook"))
+            .select(F.col("u").alias("id"), F.least("r", rank("u"))["x"].alias("hook"))
         )
         hooks = materialise(hooks, "cc-hooks")
         labels = materialise(_relabel(labels, hooks), "cc-labels")

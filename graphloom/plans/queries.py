@@ -162,9 +162,9 @@ def components(spark, d):
 # cores and the peel
 
 
-@query("kcore_k", _sql(f"""SELECT unnest(alive) AS node FROM kc ORDER BY it DESC LIMIT (SELECT len(alive) FROM kc ORDER BY it DESC LIMIT 1)""",
+@query("kcore_k", _sql("SELECT unnest(alive) AS node FROM kc WHERE it = (SELECT max(it) FROM kc)",
     f"""kc(it, alive, n) AS (SELECT 0, (SELECT list(node ORDER BY node) FROM vtx), -1 UNION ALL
-  SELECT it + 1, nx, len(alive) FROM (SELECT it, alive, n, (SELECT list(n ORDER BY n) FROM (SELECT a.n AS n FROM unnest(alive) a(n) JOIN sym ON s = a.n AND list_contains(alive, d) GROUP BY a.n HAVING count(*) >= {K})) AS nx
+  SELECT it + 1, nx, len(alive) FROM (SELECT it, alive, n, coalesce((SELECT list(n ORDER BY n) FROM (SELECT a.n AS n FROM unnest(alive) a(n) JOIN sym ON s = a.n AND list_contains(alive, d) GROUP BY a.n HAVING count(*) >= {K})), []) AS nx
   FROM kc WHERE n <> len(alive)))"""))
 def kcore_k(spark, d):
     return cores.kcore(edges(spark, d), K)
