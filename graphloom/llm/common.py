@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from graphloom.functions.storage import materialise, shared_dir
 
-__all__ = ["fold", "materialise", "shared_dir", "slices", "table", "text_bytes", "total_chars"]
+__all__ = ["extended", "fold", "materialise", "shared_dir", "slices", "table", "total_chars"]
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -35,9 +36,12 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def text_bytes(texts: pa.Array, lo: int, hi: int) -> list[bytes]:
-    """The texts of a range as UTF-8; null counts as empty."""
-    return [b"" if t is None else t for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+def extended(fields: list[StructField], **added: str) -> StructType:
+    """A schema of these fields and the added ones."""
+    out = StructType(list(fields))
+    for name, kind in added.items():
+        out = out.add(name, kind)
+    return out
 
 
 def total_chars(df: DataFrame, text_col: str) -> tuple[int, int]:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import fold, slices, table
+from graphloom.llm.common import extended, fold, slices, table
 
 #: log2 of the number of hashed n-gram buckets: bounds the model at 2**BITS x languages numbers.
 BITS = 17
@@ -259,8 +259,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: st
                 names=[*names, label, score],
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{label}` string", f"`{score}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(kept, **{label: "string", score: "double"}))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import extended, materialise, table
 
 RUN = 3
 MIN_WORDS = 20
@@ -143,7 +143,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
     kept = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in kept]
     starts = repeated_runs(docs, row_id, text).select(F.col("row").alias("__row"), F.col("starts").alias("__starts"))
-    joined = docs.select(*names, F.xxhash64(row_id, text).alias("__key")).join(starts, F.col("__key") == F.col("__row"), "left")
+    joined = docs.select(*(F.col(f"`{n}`") for n in names), F.xxhash64(row_id, text).alias("__key")).join(starts, F.col("__key") == F.col("__row"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,8 +161,7 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
             columns[names.index(text)] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], names=[*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in added)])
-    return joined.select(*names, "__starts").mapInArrow(run, schema)
+    return joined.select(*(F.col(f"`{n}`") for n in names), "__starts").mapInArrow(run, extended(kept, **dict.fromkeys(added, "long")))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

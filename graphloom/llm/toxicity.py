@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import fold, slices, table
+from graphloom.llm.common import extended, fold, slices, table
 
 #: Labelled rows to fit on, at most about so many.
 MAX_TRAIN_DOCS = 4_000
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: ToxicityModel, text: str = "text", score: st
                 parts.append(shared.value.score([x or b"" for x in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(np.concatenate(parts))], names=[*names, score])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score}` double"]))
+    return docs.mapInArrow(run, extended(kept, **{score: "double"}))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
