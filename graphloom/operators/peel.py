@@ -1,8 +1,8 @@
 """Min-degree peel, and what follows from it (survey G3, G6, G20-G23).
 
 The peel removes the vertex of least (degree, id) again and again. It is sequential, but components do not
-interact, so each component is peeled in one kernel (NumPy adjacency, a heap) and the global order is
-the merge of the components' streams: at any time the stream with the least head goes on, which is the
+interact, so each is peeled in one kernel (NumPy adjacency, a heap; small ones together) and the global
+order is the merge of the components' streams: at any time the stream with the least head goes on, which is the
 order of the running maximum of each stream's keys.
 """
 
@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from graphloom.functions.storage import materialise
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import symmetrise
 
 #: Width of the id ranges within which global positions are counted.
 RANGE = 1_000_000
+#: Vertices in a batch of small components.
+BATCH = 20_000
 
 
 def adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,30 +60,44 @@ def peel_arrays(off: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(order, np.int64), np.array(at, np.int64)
 
 
-def by_component(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(component, s, d)``: every directed edge with its component, and ``d`` null once for each vertex."""
-    comp = connected_components(vertices, edges)
-    own = comp.select("component", F.col("node").alias("s"), F.lit(None).cast("bigint").alias("d"))
-    c = comp.select("component", F.col("node").alias("s"))
-    return symmetrise(edges).join(c, "s").select("component", "s", "d").unionByName(own)
+def components_of(pdf: pd.DataFrame) -> np.ndarray:
+    """The component of each node, in id order."""
+    own = pdf[pdf["d"].isna()].sort_values("s")
+    return own["component"].to_numpy(np.int64)
+
+
+def batched(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(batch, component, s, d)``: every directed edge with its component, and ``d`` null once for each vertex.
+
+    Components do not interact, so small ones share a batch of about BATCH vertices (a kernel run costs far
+    more than a small component); a component of BATCH vertices or more is a batch of its own.
+    """
+    comp = materialise(connected_components(vertices, edges), "components")
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.where(F.col("n") < BATCH).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    batches = max(1, -(-small // BATCH))
+    draw = F.xxhash64("component")
+    batch = F.when(F.col("n") < BATCH, F.pmod(draw, F.lit(batches))).otherwise(-1 - F.pmod(draw, F.lit(1 << 62)))
+    of = comp.join(sizes.withColumn("batch", batch).select("component", "batch"), "component").select("batch", "component", F.col("node").alias("s"))
+    own = of.select("batch", "component", "s", F.lit(None).cast("bigint").alias("d"))
+    return symmetrise(edges).join(of, "s").select("batch", "component", "s", "d").unionByName(own)
 
 
 def apply_kernel(vertices: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel`` on the rows of each component. Memory of a task: one component."""
-    return by_component(vertices, edges).groupBy("component").applyInPandas(kernel, schema)
+    """``kernel`` on the rows of each batch. Memory of a task: one batch, so at most one large component."""
+    return batched(vertices, edges).groupBy("batch").applyInPandas(kernel, schema)
 
 
 def _peel(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes, off, adj = adjacency(pdf)
     order, deg = peel_arrays(off, adj)
-    top, head, key = [], (-1, -1), list(zip(deg.tolist(), nodes[order].tolist()))
-    for k in key:
-        head = max(head, k)
-        top.append(head)
-    return pd.DataFrame({
-        "component": pdf["component"].iloc[0], "local": np.arange(1, len(order) + 1), "node": nodes[order], "deg": deg,
-        "core": np.maximum.accumulate(deg), "top_deg": [t[0] for t in top], "top_node": [t[1] for t in top],
-    })
+    n = len(nodes) + 1
+    out = pd.DataFrame({"component": components_of(pdf)[order], "node": nodes[order], "deg": deg, "key": deg * n + order})
+    by = out.groupby("component", sort=False)
+    top = by["key"].cummax().to_numpy()
+    return out.assign(local=by.cumcount() + 1, core=by["deg"].cummax(), top_deg=top // n, top_node=nodes[top % n])[
+        ["component", "local", "node", "deg", "core", "top_deg", "top_node"]
+    ]
 
 
 def peel_by_component(vertices: DataFrame, edges: DataFrame) -> DataFrame:

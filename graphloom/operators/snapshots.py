@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from graphloom.operators.peel import adjacency, apply_kernel, peel_arrays
+from graphloom.operators.peel import adjacency, apply_kernel, components_of, peel_arrays
 
 _SCHEMA = (
-    "component bigint, sid bigint, node bigint, deg bigint, nc bigint, sum_deg bigint, q bigint, q_full bigint, parent bigint, tin bigint, tout bigint"
+    "batch bigint, component bigint, sid bigint, node bigint, deg bigint, nc bigint, sum_deg bigint, q bigint, q_full bigint, parent bigint, tin bigint, tout bigint"
 )
 
 
@@ -129,9 +129,12 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             tin[s] = tin[up] + 1 + used[up]
             used[up] += size[s]
+    comp = components_of(pdf)[order[::-1]]
+    sid = pd.Series(comp).groupby(comp, sort=False).cumcount().to_numpy()  # additions counted within each component
+    up = np.array(parent)
     return pd.DataFrame({
-        "component": pdf["component"].iloc[0], "sid": np.arange(n), "node": nodes[order[::-1]], "deg": at[::-1],
-        "nc": nc, "sum_deg": sum_deg, "q": q, "q_full": q_full, "parent": parent, "tin": tin, "tout": np.array(tin) + np.array(size) - 1,
+        "batch": pdf["batch"].iloc[0], "component": comp, "sid": sid, "node": nodes[order[::-1]], "deg": at[::-1],
+        "nc": nc, "sum_deg": sum_deg, "q": q, "q_full": q_full, "parent": np.where(up >= 0, sid[up], -1), "tin": tin, "tout": np.array(tin) + np.array(size) - 1,
     })
 
 
@@ -194,18 +197,19 @@ def best_per_node(snaps: DataFrame, value: Column) -> DataFrame:
     A vertex's snapshots are its ancestors in the forest; the best is passed down from parents to children
     within the component's kernel.
     """
-    s = snaps.select("component", "sid", "node", "parent", "nc", value.alias("score"))
+    s = snaps.select("batch", "component", "sid", "node", "parent", "nc", value.alias("score"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid").reset_index(drop=True)
+        pdf = pdf.sort_values(["component", "sid"]).reset_index(drop=True)
         key = list(zip(pdf["score"], pdf["nc"], -pdf["sid"]))
-        up, at = pdf["parent"].tolist(), list(range(len(pdf)))
+        base = np.arange(len(pdf)) - pdf["sid"].to_numpy()  # where the component's rows begin
+        up, at = np.where(pdf["parent"] >= 0, pdf["parent"] + base, -1).tolist(), list(range(len(pdf)))
         for i in range(len(pdf) - 1, -1, -1):
             if up[i] >= 0 and key[at[up[i]]] > key[i]:
                 at[i] = at[up[i]]
-        return pd.DataFrame({"node": pdf["node"], "component": pdf["component"], "sid": np.array(at), "score": pdf["score"].to_numpy()[at], "nc": pdf["nc"].to_numpy()[at]})
+        return pd.DataFrame({"node": pdf["node"], "component": pdf["component"], "sid": pdf["sid"].to_numpy()[at], "score": pdf["score"].to_numpy()[at], "nc": pdf["nc"].to_numpy()[at]})
 
-    return s.groupBy("component").applyInPandas(run, "node bigint, component bigint, sid bigint, score double, nc bigint")
+    return s.groupBy("batch").applyInPandas(run, "node bigint, component bigint, sid bigint, score double, nc bigint")
 
 
 def best_partition(chosen: DataFrame) -> DataFrame:
@@ -253,7 +257,8 @@ def _edge_replay(eps: float):
         joined: list[list[int]] = [[] for _ in range(n)]
         held = [[v] for v in range(n)]
         d, q, here = [0] * n, [0] * n, bytearray(n)
-        top, size, kept = 0.0, 0, np.zeros(0, np.int64)
+        comp = components_of(pdf)
+        best: dict[int, tuple[float, int, np.ndarray]] = {}
         for u in order[::-1].tolist():
             here[u] = 1
             steps = [x for x in adj[off[u] : off[u + 1]].tolist() if here[x]]
@@ -273,9 +278,9 @@ def _edge_replay(eps: float):
                     q[comps.find(u)] += grow + (a - b) ** 2
                 r = comps.find(u)
                 s = comps.size[r] / (q[r] + eps)
-                if s > top:
-                    top, size, kept = s, comps.size[r], np.array(held[r])
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "score": top, "size": size, "node": nodes[np.sort(kept)]})
+                if s > best.get(comp[u], (0.0,))[0]:
+                    best[comp[u]] = s, comps.size[r], np.array(held[r])
+        return pd.concat([pd.DataFrame({"component": c, "score": s, "size": k, "node": nodes[np.sort(m)]}) for c, (s, k, m) in best.items()])
 
     return run
 
