@@ -107,6 +107,12 @@ def best_parameter(df: DataFrame, parameter: str, value: str) -> DataFrame:
     return df.groupBy(parameter).agg(F.avg(value).alias("mean")).orderBy(F.desc("mean"), parameter).limit(1)
 
 
+def at_best_parameter(df: DataFrame, parameter: str, by: str, value: str) -> DataFrame:
+    """``(by, mean)`` of each group at the parameter of greatest overall mean."""
+    best = best_parameter(df, parameter, value).select(parameter)
+    return df.join(F.broadcast(best), parameter, "left_semi").groupBy(by).agg(F.avg(value).alias("mean"))
+
+
 def theory(n: Column, m: Column, k: Column | None = None) -> Column:
     """``(n + m) ln n``, plus ``m * k``."""
     t = (n + m) * F.log(n)

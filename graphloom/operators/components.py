@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.functions.storage import materialise
 
 #: Once so few edges are left, one task finishes them with union-find.
-FINISH_EDGES = 10_000
+FINISH_EDGES = 100_000
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +40,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": keys, "hook": [find(k) for k in keys]})
 
 
-def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, finish: int | None = None) -> DataFrame:
     """``(node, root)`` for every end of ``edges``; the ends of an edge share a root.
 
     The root is some member of the component (not always the least). Self-loops and rows with a null
@@ -58,7 +58,7 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         left = live.count()
         if left == 0:
             break
-        if left <= FINISH_EDGES:
+        if left <= (FINISH_EDGES if finish is None else finish):
             hooks = live.coalesce(1).mapInPandas(_finish, "id bigint, hook bigint")
             labels = _relabel(labels, hooks)
             live = live.limit(0)

@@ -248,6 +248,13 @@ def score_sweep(snaps: DataFrame, eps: list[float]) -> DataFrame:
     return grid.groupBy("eps").agg(F.max(F.col("nc") / (F.col("q") + F.col("eps"))).alias("best_score"))
 
 
+def calibrated_sweep(snaps: DataFrame, eps: list[float], alpha: list[float]) -> DataFrame:
+    """Best calibrated score for each epsilon and constant alpha, from one pass over the snapshots."""
+    grid = snaps.select("nc", "sum_deg", "q", F.explode(F.array(*map(F.lit, eps))).alias("eps"))
+    grid = grid.withColumn("alpha", F.explode(F.array(*map(F.lit, alpha))))
+    return grid.groupBy("eps", "alpha").agg(F.max(calibrated(F.col("alpha"), F.col("eps"))).alias("best_score"))
+
+
 def _edge_replay(eps: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, off, adj = adjacency(pdf)

@@ -508,6 +508,46 @@ def planted_prf(spark, d):
     return metrics.set_f1(rich(spark, d), regions(spark, d).where("label = 3")).select(*(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
+_BP = f"""bp AS MATERIALIZED (SELECT x AS node, arg_max(pos, (nc / (q + {EPS}), nc, pos)) AS cluster_id FROM mm JOIN sn USING (pos) GROUP BY x),
+bm AS (SELECT cluster_id, arg_max(label, (n, -label)) AS pred FROM (SELECT cluster_id, label, count(*) AS n FROM bp JOIN lab USING (node) GROUP BY ALL) GROUP BY cluster_id)"""
+_COMMON = "common AS (SELECT arg_max(label, (n, -label)) AS c FROM (SELECT label, count(*) AS n FROM lab GROUP BY label))"
+
+
+@query("component_majority_eval", _sql("SELECT round(avg((label = coalesce(pred, c))::INT), 9) AS accuracy FROM lab LEFT JOIN bp USING (node) LEFT JOIN bm USING (cluster_id), common", _SNAP, _BP, _COMMON))
+def component_majority_eval(spark, d):
+    p = materialise(best_partition(spark, d), "partition")
+    lab = regions(spark, d)
+    pred = p.join(metrics.majority(p, lab).withColumnRenamed("label", "pred"), "cluster_id").select("node", "pred")
+    return metrics.accuracy(metrics.fallback_majority(vertices(spark, d), pred, lab)).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("nearest_seed_eval", _sql("""SELECT round(avg(coalesce((lab.label = s.label)::INT, 0)), 9) AS accuracy, round(avg((lab.label = s.label)::INT), 9) AS covered_accuracy, round(avg((s.label IS NOT NULL)::INT), 9) AS coverage
+FROM lab LEFT JOIN (SELECT node, min(owner) AS owner FROM ow WHERE (node, dist) IN (SELECT node, min(dist) FROM ow GROUP BY node) GROUP BY node) n USING (node) LEFT JOIN lab s ON s.node = n.owner""",
+    _DEG, "ow(node, dist, owner) AS (SELECT node, 0, node FROM (SELECT node FROM dg ORDER BY deg DESC, node LIMIT 5) UNION SELECT d, dist + 1, owner FROM ow JOIN sym ON s = node WHERE dist < 2)"))
+def nearest_seed_eval(spark, d):
+    lab = regions(spark, d)
+    near = nearest_seed_owner(spark, d).join(lab.select(F.col("node").alias("owner"), F.col("label").alias("pred")), "owner").select("node", "pred")
+    a = metrics.accuracy(lab.join(near, "node", "left"))
+    return a.select(*(F.round(c, 9).alias(c) for c in ("accuracy", "covered_accuracy", "coverage")))
+
+
+@query("eps_alpha_sweep", _sql(f"SELECT eps, alpha, round(max(nc * (sum_deg / nc - alpha * sqrt(q + eps))), 6) AS best_score FROM sn, (SELECT unnest({SWEEP})::DOUBLE AS eps), (SELECT unnest([0.01, 0.1, 1.0])::DOUBLE AS alpha) GROUP BY ALL", _SNAP))
+def eps_alpha_sweep(spark, d):
+    s = snapshots.snapshots(vertices(spark, d), edges(spark, d))
+    return snapshots.calibrated_sweep(s, SWEEP, [0.01, 0.1, 1.0]).withColumn("best_score", F.round("best_score", 6))
+
+
+@query("at_best_parameter", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean FROM lineitem WHERE l_discount = (SELECT l_discount FROM lineitem GROUP BY 1 ORDER BY avg(l_extendedprice) DESC, 1 LIMIT 1) GROUP BY 1")
+def at_best_parameter(spark, d):
+    return stats.at_best_parameter(_t(spark, d, "lineitem"), "l_discount", "l_returnflag", "l_extendedprice").withColumn("mean", F.round("mean", 4))
+
+
+@query("planted_sweep")
+def planted_sweep(spark, d):
+    """Accuracy of the methods on planted graphs of as many vertices as there are suppliers, and sixty."""
+    return generate.sweep(spark, 60 + vertices(spark, d).count(), [20, 30], [0.8], [0.02, 0.05], [42, 43], eps=1e3).drop("ms")
+
+
 # reports
 
 
