@@ -35,6 +35,8 @@ SHINGLE = 3
 SEED = 42
 #: Groups of more distinct fingerprints are dealt out again.
 GROUP_ROWS = 2_048
+#: Once so few links are left, one task finishes the components.
+FINISH_LINKS = 10_000
 #: Bound on the candidate pairs that one pass over the trie may hold.
 PASS_PAIRS = 4_000_000
 
@@ -203,7 +205,7 @@ def components(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> D
     """``(doc_id, fp, component_id)``, one row for each row of ``docs``."""
     fps = materialise(fingerprints(docs, row_id, text).drop("row"), "simhash-fp")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = component_roots(links(distinct))
+    roots = component_roots(links(distinct), finish=FINISH_LINKS)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "root").select(F.col("fp").alias("of"), "component_id")
@@ -214,7 +216,7 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     """One row of ``docs`` for each group of near copies: the least id, then the least text hash, then any of equal rows."""
     fps = materialise(fingerprints(docs, row_id, text), "simhash-fp")
     distinct = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
-    roots = component_roots(links(distinct))
+    roots = component_roots(links(distinct), finish=FINISH_LINKS)
     first = (
         distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("least").alias("least")).select(F.col("least.row").alias("__keep"))
