@@ -105,6 +105,21 @@ def test_edge_steps_see_at_least_the_vertex_steps(spark, n, p, seed):
     assert max(t[0] for t in top.values()) >= best - 1e-12
 
 
+# Vertices, edges and the known RMC of three small graphs.
+KNOWN_RMC = [
+    (8, "1-2 1-3 1-4 2-3 2-4 3-4 1-5 2-6 3-7 4-8", 12),
+    (16, "6-14 4-11 12-8 13-4 15-11 6-9 5-8 15-4 2-8 9-1 7-10 3-8 2-16 13-15 9-3 14-5 10-5 1-5 3-12 14-9 14-1", 16),
+    (16, "1-16 14-9 15-6 2-7 11-5 15-2 11-1 1-10 5-1 6-13 5-15 11-8 13-12 4-8 5-6 15-16 12-2 14-3 5-10 15-1 5-12 9-3 13-10 13-7 11-15 4-10 16-4", 26),
+]
+
+
+@pytest.mark.parametrize("n,text,rmc", KNOWN_RMC)
+def test_known_rmc(spark, n, text, rmc):
+    pairs = [tuple(map(int, x.split("-"))) for x in text.split()]
+    v, e = spark.range(1, n + 1).withColumnRenamed("id", "node"), graph.simple(spark.createDataFrame(pairs, "src bigint, dst bigint"))
+    assert snapshots.rmc(snapshots.snapshots(v, e)).first()["rmc"] == rmc
+
+
 def test_small_rmc_cases(spark):
     # two triangles joined by a path, and a 4-clique: 4 * 3
     pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (4, 6), (7, 8), (7, 9), (7, 10), (8, 9), (8, 10), (9, 10)]
