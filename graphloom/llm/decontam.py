@@ -22,6 +22,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import slices, table
 
@@ -170,6 +171,17 @@ class Matcher:
         return out
 
 
+def passages(m: Matcher, texts: pa.Array) -> Iterator[tuple[int, list[tuple[object, int, int, int]]]]:
+    """The rows of ``texts`` with an exact piece hit, and their verified passages."""
+    get = m.vocab.get
+    for lo, hi in slices(texts, SLICE_BYTES):
+        part = [words_of(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+        codes = np.array([get(w, 0) for p in part for w in (*p, b"")], np.int64)
+        ends = np.cumsum([len(p) + 1 for p in part])
+        for i in np.unique(np.searchsorted(ends, m.hit_places(codes), "right")).tolist():
+            yield lo + i, m.match(codes[ends[i - 1] if i else 0 : ends[i] - 1])
+
+
 def matches(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
             similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(doc_id, item_id, start_word, end_word, edits)`` of every passage of ``docs`` that matches an item."""
@@ -183,22 +195,12 @@ def matches(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, similarity)
-            get = m.vocab.get
             for b in batches:
-                found = []
-                texts = b.column("text")
                 ids = b.column("doc_id")
-                for lo, hi in slices(texts, SLICE_BYTES):
-                    part = [words_of(t) for t in texts.slice(lo, hi - lo).to_pylist()]
-                    codes = np.array([get(w, 0) for p in part for w in (*p, b"")], np.int64)
-                    ends = np.cumsum([len(p) + 1 for p in part])
-                    near = {int(np.searchsorted(ends, s, "right")) for s in m.hit_places(codes).tolist()}
-                    for i in sorted(near):
-                        first = ends[i - 1] if i else 0
-                        found += [(ids[lo + i].as_py(), *x) for x in m.match(codes[first : ends[i] - 1])]
+                found = [(ids[i].as_py(), *x) for i, own in passages(m, b.column("text")) for x in own]
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(("doc_id", "item_id", "start_word", "end_word", "edits"), x)) for x in found],
-                    schema=pa.schema([("doc_id", ids.type), ("item_id", pa.from_numpy_dtype(np.int64) if item_kind.simpleString() == "bigint" else pa.string()),
+                    schema=pa.schema([("doc_id", ids.type), ("item_id", to_arrow_type(item_kind)),
                                       ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())]),
                 )
 
@@ -228,17 +230,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value, similarity)
-            get = m.vocab.get
             for b in batches:
-                texts = b.column(b.schema.get_field_index(text))
                 leak = np.array(b.column(flag).to_pylist(), bool)
-                for lo, hi in slices(texts, SLICE_BYTES):
-                    part = [words_of(t) for t in texts.slice(lo, hi - lo).to_pylist()]
-                    codes = np.array([get(w, 0) for p in part for w in (*p, b"")], np.int64)
-                    ends = np.cumsum([len(p) + 1 for p in part])
-                    for i in {int(np.searchsorted(ends, s, "right")) for s in m.hit_places(codes).tolist()}:
-                        first = ends[i - 1] if i else 0
-                        leak[lo + i] |= bool(m.match(codes[first : ends[i] - 1]))
+                for i, own in passages(m, b.column(b.schema.get_field_index(text))):
+                    leak[i] |= bool(own)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(leak)], names=[*names, flag])
 
         out = out.mapInArrow(run, schema)
