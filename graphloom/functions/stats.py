@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from graphloom.functions.ranks import running_count
 
 
 def mean_sd(df: DataFrame, by: list[str], value: str, population: bool = False) -> DataFrame:
@@ -96,7 +98,7 @@ def pick(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     Ranks are taken over the distinct values' counts, so the rows are never sorted in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("k"))
-    upto = counts.select(value, F.sum("k").over(W.orderBy(value)).alias("upto"))
+    upto = running_count(counts, value, "k")
     total = counts.agg(F.sum("k").alias("n"))
     at = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
     return upto.crossJoin(F.broadcast(total)).agg(*(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))

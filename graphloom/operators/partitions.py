@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from graphloom.functions.ranks import number
 from graphloom.functions.storage import materialise
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import degree, symmetrise
@@ -20,7 +21,7 @@ def with_singletons(vertices: DataFrame, partition: DataFrame) -> DataFrame:
     """Every vertex outside the partition becomes a cluster of its own, numbered after the others by id."""
     top = partition.agg(F.coalesce(F.max("cluster_id"), F.lit(-1)).alias("top"))
     left = vertices.select("node").join(partition.select("node"), "node", "left_anti")
-    single = left.crossJoin(F.broadcast(top)).select("node", (F.col("top") + F.row_number().over(W.orderBy("node"))).cast("bigint").alias("cluster_id"))
+    single = number(left, "node", "k", first=1).crossJoin(F.broadcast(top)).select("node", (F.col("top") + F.col("k")).cast("bigint").alias("cluster_id"))
     return partition.select("node", "cluster_id").unionByName(single)
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from graphloom.functions.ranks import number, running_count
 from graphloom.operators.peel import adjacency, apply_kernel, components_of, peel_arrays
 
 _SCHEMA = (
@@ -215,8 +216,7 @@ def best_per_node(snaps: DataFrame, value: Column) -> DataFrame:
 def best_partition(chosen: DataFrame) -> DataFrame:
     """``(node, cluster_id)``: vertices with the same best snapshot, numbered by their least vertex."""
     first = chosen.groupBy("component", "sid").agg(F.min("node").alias("first"))
-    number = first.withColumn("cluster_id", (F.dense_rank().over(W.orderBy("first")) - 1).cast("bigint"))
-    return chosen.join(number, ["component", "sid"]).select("node", "cluster_id")
+    return chosen.join(number(first, "first", "cluster_id"), ["component", "sid"]).select("node", "cluster_id")
 
 
 def low_energy(snaps: DataFrame, share: float = 0.05, least: int = 50) -> DataFrame:
@@ -227,7 +227,7 @@ def low_energy(snaps: DataFrame, share: float = 0.05, least: int = 50) -> DataFr
     energies' counts, never over all rows in one task.
     """
     counts = snaps.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("q")))
+    upto = running_count(counts, "q", "n")
     total = snaps.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("q") <= 0).alias("i0"))
     at = F.least(F.col("i0") + F.greatest(F.lit(least), F.floor(F.lit(share) * (F.col("all") - F.col("i0")))), F.col("all") - 1)
     cut = upto.crossJoin(F.broadcast(total)).where(F.col("upto") > at).agg(F.min("q").alias("cut"))

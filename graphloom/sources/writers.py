@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from graphloom.functions.ranks import number
 
 
 
@@ -14,10 +16,7 @@ def edge_list(edges: DataFrame, path: str) -> None:
 def reindexed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(edges, ids)`` with ids from 1 in order of the old ones."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("old")).distinct()
-    block = F.floor(F.col("old") / 1_000_000)
-    k = nodes.withColumn("b", block)
-    before = k.groupBy("b").count().select("b", (F.sum("count").over(W.orderBy("b")) - F.col("count")).alias("before"))
-    ids = k.join(before, "b").select("old", (F.row_number().over(W.partitionBy("b").orderBy("old")) + F.col("before")).cast("bigint").alias("new"))
+    ids = number(nodes, "old", "new", first=1)
     a, b = ids.select(F.col("old").alias("src"), F.col("new").alias("a")), ids.select(F.col("old").alias("dst"), F.col("new").alias("b"))
     return edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), ids
 

@@ -92,6 +92,18 @@ def test_profile_and_pick(spark):
     assert tuple(stats.pick(n, "id", {"m": 0.5, "p": 0.9, "top": 1.0}).first()) == (2, 4, 4)
 
 
+def test_positions_by_range(spark):
+    from graphloom.functions import ranks
+
+    values = [5, -3, 12, 40, 41, 7, 1000]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    want = {v: k for k, v in enumerate(sorted(values), 1)}
+    assert as_dict(ranks.number(df, "v", "k", first=1, width=10), "v", "k") == want
+    counts = spark.createDataFrame([(float(v), 2) for v in values], "v double, n bigint")
+    for rows in (100, 2):  # in one range and in several
+        assert as_dict(ranks.running_count(counts, "v", "n", rows=rows), "v", "upto") == {v: 2 * k for v, k in want.items()}
+
+
 def test_features(spark):
     v = spark.range(3).withColumnRenamed("id", "node")
     e = spark.createDataFrame([(0, 1)], "src bigint, dst bigint")
