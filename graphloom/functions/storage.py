@@ -16,7 +16,7 @@ LOCAL_FALLBACK = "file:///tmp/checkpoints/graphloom"
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, or a local one where none is set."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     active = spark.sparkContext.getCheckpointDir()
