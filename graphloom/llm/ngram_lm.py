@@ -7,7 +7,7 @@ expectation-maximisation: one fold of the training texts is held out, the estima
 counts of the other folds, and the weights are those under which the held-out fold is likeliest. Scores
 then use the counts of all training texts. The context of a text's first word is the end token.
 
-Counts are exact (up to collisions of 56-bit hashes) and cover every text, and tokens never become rows.
+Counts are exact (up to collisions of hashes wide enough for the corpus) and cover every text, and tokens never become rows.
 Texts are dealt into blocks of about BLOCK_BYTES by a hash. A block sends the sorted distinct keys of its
 words and word pairs, with its own counts, to the buckets of the key range they fall in; a bucket adds
 them up and sends each block the totals in the same order. Both ways the arrays travel as differences of
@@ -39,7 +39,9 @@ BUCKET_BYTES = 8_000_000
 CONTEXTS = 48
 #: Bins of log2(ratio) in the statistics for EM.
 BINS, LEAST_LOG2 = 128 * 32, -64.0
-KEY_BITS = 56
+#: Bits of a word's key; a pair's has PAIR_SPARE bits more than the bytes of text have, so that the chance of a
+#: false match is the same for every size (below 2**-PAIR_SPARE) and keys are no longer than that needs.
+WORD_BITS, PAIR_SPARE = 60, 18
 
 
 def pack(x: np.ndarray, ordered: bool = False) -> bytes:
@@ -57,7 +59,7 @@ def unpack(b: bytes, ordered: bool = False) -> np.ndarray:
 
 
 def _key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) >> 64 - KEY_BITS
+    return xxhash.xxh64_intdigest(word) >> 64 - WORD_BITS
 
 
 END = _key(b"")  # no word is empty
@@ -66,7 +68,7 @@ END = _key(b"")  # no word is empty
 class Tokens:
     """The tokens of a block of texts, and its distinct words and word pairs by ascending key."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], pair_bits: int):
         lists = [(t or b"").lower().split() for t in texts]
         self.size = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
         flat = pa.array([w for x in lists for w in (*x, b"")], pa.large_binary()).dictionary_encode()
@@ -77,7 +79,7 @@ class Tokens:
         before = np.concatenate([[np.uint64(END)], token[:-1]])
         before[self.stop[:-1]] = END
         pair = (before * np.uint64(0x9E3779B97F4A7C15) ^ token * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD)
-        pair = (pair ^ pair >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - KEY_BITS)
+        pair = (pair ^ pair >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - pair_bits)
         self.words, self.word = np.unique(token, return_inverse=True)
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
         self.context = np.concatenate([[0], self.word[:-1]])
@@ -88,21 +90,21 @@ class Tokens:
         return np.repeat(flags, self.size)
 
 
-def edges(buckets: int) -> np.ndarray:
+def edges(buckets: int, bits: int) -> np.ndarray:
     """Lower bounds of the key ranges."""
-    return np.array([(i << KEY_BITS) // buckets for i in range(buckets)], np.uint64)
+    return np.array([(i << bits) // buckets for i in range(buckets)], np.uint64)
 
 
-def _requests(buckets: int):
+def _requests(buckets: int, bits: int):
     def run(block: pa.Table) -> pa.Table:
-        t = Tokens(block.column("text").cast(pa.binary()).to_pylist())
+        t = Tokens(block.column("text").cast(pa.binary()).to_pylist(), bits)
         train = t.per_text(np.array(block.column("train").to_pylist(), bool))
         tuned = train & t.per_text(np.array(block.column("deleted").to_pylist(), bool))
         rows: dict[int, list[bytes]] = {}
-        for kind, (keys, of) in enumerate(((t.words, t.word), (t.pairs, t.pair))):
+        for kind, (keys, of, width) in enumerate(((t.words, t.word, WORD_BITS), (t.pairs, t.pair, bits))):
             full = np.bincount(of, train, len(keys))
             rest = full - np.bincount(of, tuned, len(keys))
-            cut = np.append(np.searchsorted(keys, edges(buckets)), len(keys))
+            cut = np.append(np.searchsorted(keys, edges(buckets, width)), len(keys))
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 at = slice(cut[b], cut[b + 1])
                 rows.setdefault(b, [pack(keys[:0])] * 6)[kind * 3 : kind * 3 + 3] = [pack(keys[at], True), pack(full[at]), pack(rest[at])]
@@ -158,9 +160,9 @@ _OUT = (
 )
 
 
-def _score(block: pa.Table, replies: pa.Table) -> pa.Table:
+def _score(bits: int, block: pa.Table, replies: pa.Table) -> pa.Table:
     ids = block.column("doc_id").combine_chunks()
-    t = Tokens(block.column("text").cast(pa.binary()).to_pylist())
+    t = Tokens(block.column("text").cast(pa.binary()).to_pylist(), bits)
     order = np.argsort(replies.column("bucket").to_numpy(), kind="stable")
     got = {}
     for c in ("f1", "g1", "f2", "g2"):
@@ -233,13 +235,14 @@ def score(docs: DataFrame, train: Column, deleted: Column, row_id: str = "doc_id
     spark = docs.sparkSession
     _, size = total_chars(docs, text)
     blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
+    bits = min(64, max(32, size.bit_length() + PAIR_SPARE))
     source = docs.select(
         F.col(row_id).alias("doc_id"), F.col(text).alias("text"), (~train).alias("held_out"), train.alias("train"), (train & deleted).alias("deleted"),
         F.pmod(F.xxhash64(row_id, text), F.lit(blocks)).cast("int").alias("block"),
     )
-    asked = source.groupBy("block").applyInArrow(_requests(buckets), "bucket int, from int, k1 binary, f1 binary, g1 binary, k2 binary, f2 binary, g2 binary")
+    asked = source.groupBy("block").applyInArrow(_requests(buckets, bits), "bucket int, from int, k1 binary, f1 binary, g1 binary, k2 binary, f2 binary, g2 binary")
     told = asked.groupBy("bucket").applyInArrow(_replies, "to int, bucket int, f1 binary, g1 binary, f2 binary, g2 binary, v bigint, v_rest bigint")
-    terms = source.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(_score, _OUT.format(id=docs.schema[row_id].dataType.simpleString()))
+    terms = source.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(lambda block, replies: _score(bits, block, replies), _OUT.format(id=docs.schema[row_id].dataType.simpleString()))
     terms = materialise(terms, "lm-terms", compression="zstd")
 
     totals = terms.agg(
