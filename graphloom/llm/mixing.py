@@ -134,7 +134,8 @@ def plan(placed: DataFrame, goals: DataFrame) -> DataFrame:
     n_shards = goals.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / SHARD_SLOTS)).cast("bigint").alias("n")).first()["n"] or 1
     block = F.expr(f"({_multiplier('blocks', 'place + pass')} * (slot % blocks) + (place * 7919 + pass * 104729 + 17) % blocks) % blocks")
     slots = slots.select(F.pmod(F.xxhash64("place", "slot"), F.lit(n_shards)).alias("shard"), F.col("place").alias("p"), "slot", block.alias("index"))
-    return slots.join(parts, (F.col("p") == F.col("place")) & (F.col("index") == F.col("block"))).select(
+    # the planner takes the slots for as few as the sources they are unrolled from: never broadcast them
+    return slots.hint("merge").join(parts, (F.col("p") == F.col("place")) & (F.col("index") == F.col("block"))).select(
         "shard", "place", "slot", "block", "doc_id", "offset", "first_word", "n_words"
     )
 
