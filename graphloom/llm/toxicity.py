@@ -32,6 +32,8 @@ from graphloom.llm.common import extended, fold, slices, table
 MAX_TRAIN_DOCS = 4_000
 #: Words and beginnings with a weight.
 FEATURES = 512
+#: Documents whose words are counted at a time.
+CHUNK_DOCS = 256
 #: Lengths of the beginnings of words that are features too.
 PREFIXES = (4, 5, 6, 7)
 #: A feature is a candidate only if so many sampled documents hold it.
@@ -136,11 +138,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, features: int = FEATURES, min_doc
 
     size = max(1, len(names))
     doc = np.searchsorted(b.first, b.sentence, "right") - 1
-    pair = np.unique(doc * len(b.words) + b.code)
-    at, feature = expand(pair % len(b.words))
-    pair = np.unique((pair // len(b.words))[at] * size + feature)
-    feature, of = pair % size, pair // size
-    df, pos = np.bincount(feature, minlength=size), np.bincount(feature, toxic[of], size)
+    df, pos = np.zeros(size), np.zeros(size)
+    for lo in range(0, len(texts), CHUNK_DOCS):  # counted in chunks, as the expanded pairs are many
+        tokens = slice(*np.searchsorted(doc, (lo, lo + CHUNK_DOCS)))
+        pair = np.unique(doc[tokens] * len(b.words) + b.code[tokens])
+        at, feature = expand(pair % max(1, len(b.words)))
+        pair = np.unique((pair // max(1, len(b.words)))[at] * size + feature)
+        df += np.bincount(pair % size, minlength=size)
+        pos += np.bincount(pair % size, toxic[pair // size], size)
     # log-likelihood ratio of each word's presence against the labels
     n, n1 = len(texts), toxic.sum()
 
@@ -154,7 +159,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, features: int = FEATURES, min_doc
     chosen = chosen[gain[chosen] > 0]
     slot = np.full(size, -1)
     slot[chosen] = np.arange(len(chosen))
-    pair = np.unique(b.sentence * max(1, len(b.words)) + b.code)
+    at, feature = expand(np.arange(len(b.words)))
+    useful = np.zeros(len(b.words), bool)
+    useful[at[slot[feature] >= 0]] = True
+    kept = useful[b.code]
+    pair = np.unique(b.sentence[kept] * max(1, len(b.words)) + b.code[kept])
     at, feature = expand(pair % max(1, len(b.words)))
     known = slot[feature] >= 0
     sent, feat = (pair // max(1, len(b.words)))[at[known]], slot[feature[known]]
