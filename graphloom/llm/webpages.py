@@ -1,42 +1,41 @@
 """Main text of web pages by wrapper induction.
 
-The DOM trees of a few pages of each host are aligned by simple tree matching. A text that stands at
-matched nodes of most of them is template; where the texts vary there is a content slot. The wrapper of a
-host is the set of its template texts, each with its place (path of tags), and is applied to every page of
-the host.
+The DOM trees of all different pages of a host are aligned: texts correspond if they are equal and stand at
+the same place, that is at the same path of tags (simple tree matching, too, pairs only nodes of equal
+path). A text that stands on most pages of its host, or on most of those of one layout, is template; where
+the texts vary there is a content slot. The wrapper of a host is the set of its template texts, each with
+its place, and is applied to every page of the host. Pages have the same layout if their texts stand at the
+same set of places.
 
 Not everything that varies is content: menus, footers and adverts often differ from page to page. So
 regions that HTML itself marks (``nav``, ``footer``, ``aside``, ``form``, ...) or that are named so by
 class, id or role are left out first; if a page has an ``article`` or ``main`` region, the text is taken
 from it; else from all slots but lists of links.
 
-Only the sample for the wrapper is bounded (``SAMPLE`` different pages of a host, those of least hash); it
-is drawn by a partial aggregation, so a host with a third of all pages is no hot key, and a page is never
-cut. Wrappers are broadcast if their table is small, and joined otherwise.
+Nothing is sampled: each page sends the keys of its texts (8 bytes each), copies of a page are dropped, and
+the keys are counted by host and by layout with partial aggregation, so a host with a third of all pages is
+no hot key. Wrappers are broadcast if their table is small, and joined otherwise.
 
 Defined results: null or empty html gives the empty text; so does a page without main text. A page without
-a host, or the only page of its host, has no template texts. Repeated rows give equal rows; copies of a
-page count once in the sample. Text outside any element is content.
+a host, or the only different page of its host, has no template texts; with two pages, texts of both are
+template. Repeated rows give equal rows; copies of a page count once. Text outside any element is content.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.common import materialise, table
 
-#: Different pages of a host that are aligned.
-SAMPLE = 8
-#: A text is template if it stands at the matched place in at least this share of the sample, and in 2 pages besides.
+#: A text of a page is template if it stands at its place in at least this share of the other pages of the host or
+#: layout, and in at least 2 of them (in the other one, if the host has 2 pages).
 CONSTANT = 0.6
 #: Wrapper tables of at most so many bytes are broadcast.
 BROADCAST_BYTES = 8_000_000
@@ -231,20 +230,10 @@ def key(path: str, text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def induce(pages: list[str]) -> list[int]:
-    """The template texts of a host, as keys of place and text, from a sample of different pages."""
-    if len(pages) < 3:
-        return []
-    trees = sorted(map(parse, pages), key=lambda t: sum(1 for _ in blocks(t)))
-    model = trees[len(trees) // 2]  # of middle size
-    path = {id(n): p for p, n in blocks(model)}
-    same: Counter[int] = Counter()
-    for t in trees:
-        if t is not model:
-            for x, y in match(model, t):
-                same[id(x)] += x.text == y.text
-    least = max(2, CONSTANT * (len(trees) - 1))
-    return sorted({key(path[id(n)], n.text) for _, n in blocks(model) if not n.out and same[id(n)] >= least})
+def places(page: str) -> tuple[int, list[int]]:
+    """A key of the layout of a page, and the keys of its different texts and their places; marked regions are left out."""
+    found = [(p, n.text) for p, n in blocks(parse(page)) if not n.out]
+    return key("\n".join(sorted({p for p, _ in found})), ""), sorted({key(p, t) for p, t in found})
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -263,17 +252,26 @@ def host_of(url: str) -> F.Column:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(host, template array<bigint>)`` of the hosts that have template texts."""
-    keyed = pages.select(host_of(url).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("h")).where("html IS NOT NULL AND host <> ''")
-    strata = keyed.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("s")).agg(F.min("h").alias("h"))
-    chosen = materialise(strata.select(F.col("host").alias("ch"), F.col("h").alias("c")), "html-sample")
-    sample = keyed.join(chosen, (F.col("host") == F.col("ch")) & (F.col("h") == F.col("c"))).groupBy("host", "h").agg(F.first("html").alias("html"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:  # at most SAMPLE pages
-        found = induce(pdf.sort_values("h")["html"].tolist())
-        rows = [(pdf["host"].iloc[0], found)] if found else []
-        return pd.DataFrame(rows, columns=["host", "template"], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [places(p) for p in b.column("html").to_pylist()]
+            layouts, keys = pa.array([x for x, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), layouts, keys], names=["host", "h", "layout", "keys"])
 
-    return sample.groupBy("host").applyInPandas(run, "host string, template array<bigint>")
+    keyed = pages.select(host_of(url).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("h")).where("html IS NOT NULL AND host <> ''")
+    each = keyed.mapInArrow(run, "host string, h bigint, layout bigint, keys array<bigint>")
+    each = materialise(each.groupBy("host", "h").agg(F.first("layout").alias("layout"), F.first("keys").alias("keys")), "html-places")
+    # the layout of the rows that count for the whole host is null
+    scopes = F.explode(F.array(F.lit(None).cast("bigint"), F.col("layout")))
+    pages_of = each.select("host", scopes.alias("layout")).groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
+    pages_of = pages_of.where((F.col("pages") > 2) | (F.col("layout").isNull() & (F.col("pages") > 1)))
+    texts = each.select("host", "layout", F.explode("keys").alias("key")).select("host", "key", scopes.alias("layout"))
+    often = texts.groupBy("host", "layout", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = often.join(pages_of, (often["host"] == pages_of["host"]) & often["layout"].eqNullSafe(pages_of["layout"]))
+    others = F.col("pages") - 1
+    least = F.greatest(F.least(F.lit(2), others).cast("double"), CONSTANT * others)
+    return both.where(F.col("n") - 1 >= least).groupBy(often["host"]).agg(F.sort_array(F.collect_set("key")).alias("template"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

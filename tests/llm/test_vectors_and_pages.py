@@ -82,6 +82,18 @@ def test_wrapper_of_a_host(spark):
     assert webpages.extract(df.limit(0)).count() == 0
 
 
+def test_every_page_of_a_host_counts(spark):
+    def page(top, i):
+        return f"<html><body>{top}<section><p>Text {i} of this page</p></section></body></html>"
+
+    tops = ["<div>Layout one</div>", "<table><tr><td>Layout two</table>", "<ul><li>Layout three</ul>"]
+    rows = [(f"http://h{n}x{k}.example.com/{i}", page("<div>Banner</div>", i)) for n in (2, 3, 4) for k in range(40) for i in range(n)]
+    rows += [(f"http://big.example.com/{i}", page(tops[i % 3], i)) for i in range(60)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    texts = [r["text"] for r in webpages.extract(df).collect()]
+    assert len(texts) == len(rows) and not [t for t in texts if "Banner" in t or "Layout" in t or not t.startswith("Text")]
+
+
 def test_article_and_broken_markup():
     t = webpages.main_text
     assert t("<body><div>menu</div><article><header>top</header><h1>A</h1><p>b<p>c <!-- no --> d<aside>e</aside></article><p>f") == "A\n\nb\n\nc d"
