@@ -3,9 +3,12 @@
 A vector is represented by the order of its nearness to a fixed set of pivots. It is posted in the inverted
 file of its nearest pivot. A query opens the files of its ``PROBES`` nearest pivots, ranks the vectors in
 each by footrule distance (the sum of the differences of the pivots' ranks) and reranks the nearest
-``RERANK`` of them by the exact cosine in double precision.
+``RERANK`` of them, and all of the same footrule as the last of these, by the exact cosine in double precision.
 
-Pivots come from a bounded sample; every vector is indexed. A file is dealt out in chunks of about
+Pivots are the vectors of a bounded sample of different vectors that lie farthest apart, so a narrow cone or
+a few clusters get as many as a sphere. On the sample the search is also held against brute force: if it
+finds less than ``LEAST_RECALL`` (orders tell little inside a tight cluster), a larger share is reranked, and
+if that doesn't help or there are fewer than ``PIVOTS`` different vectors, all. Every vector is indexed. A file is dealt out in chunks of about
 ``CHUNK`` vectors and its queries in chunks of about ``QUERY_CHUNK``, so no task grows with a popular
 pivot; each task reports the best of its chunk, which are merged for each query. A query that finds fewer
 than ``k`` candidates is searched again in all files without a cut, so none comes out short.
@@ -30,8 +33,11 @@ PROBES = 48
 RERANK = 0.35
 #: In any case so many of a chunk are reranked.
 RERANK_LEAST = 64
-#: Pivots are picked, far enough apart, from so many vectors of least hash.
+#: Pivots are picked from so many different vectors of least hash, and the share to rerank is set with them.
 SAMPLE = 2_048
+#: So many of the sample are queries when the share is set, and so much of their best is to be found.
+TRIALS, LEAST_RECALL = 256, 0.94
+SHARES = (0.5, 0.65, 0.8, 1.0)
 CHUNK, QUERY_CHUNK = 4_096, 1_024
 
 
@@ -44,18 +50,44 @@ def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
 
-def pick_pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """Unit pivots: of a bounded sample in hash order, those not nearly parallel to one before."""
-    draw = rows.orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
-    out: list[np.ndarray] = []
-    for v in draw:
-        u = np.asarray(v, float) / np.abs(v).max()
-        u = u / np.linalg.norm(u)
-        if all(u @ w < 0.9 for w in out):
-            out.append(u)
-            if len(out) == n:
-                break
-    return np.array(out)
+def draw(rows: DataFrame) -> np.ndarray:
+    """Unit vectors: a bounded sample of the different vectors, in hash order."""
+    keyed = rows.select("v", F.xxhash64(F.lit("pivot"), "v").alias("h"))
+    least = keyed.select("h").distinct().orderBy("h").limit(SAMPLE)
+    got = keyed.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.first("v").alias("v")).toPandas().sort_values("h")
+    return _unit(np.array(got["v"].tolist(), float)) if len(got) else np.zeros((0, 0))
+
+
+def pick_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Of the sample the one farthest from its mean, then always the one farthest from those before; fewer if no others differ."""
+    out, gap = [], ((sample - sample.mean(0)) ** 2).sum(1)
+    while len(out) < n and (not out or gap.max() > 1e-24):
+        out.append(int(gap.argmax()))
+        far = ((sample - sample[out[-1]]) ** 2).sum(1)
+        gap = far if len(out) == 1 else np.minimum(gap, far)
+    return sample[out]
+
+
+def _ranks(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.argsort(np.argsort(-(unit @ pivots.T), axis=1, kind="stable"), axis=1, kind="stable").astype(np.uint8)
+
+
+def share_to_rerank(sample: np.ndarray, pivots: np.ndarray, k: int, probes: int, rerank: float) -> float | None:
+    """The least share, from ``rerank`` on, that finds enough of the best within the sample; None: search all."""
+    if len(pivots) < PIVOTS:
+        return None
+    ranks = _ranks(sample, pivots).astype(np.int16)
+    file = ranks.argmin(1)
+    sizes = np.bincount(file, minlength=len(pivots))
+    need = []  # for each of the best: the share of its file that is nearer by footrule
+    for i in range(min(TRIALS, len(sample))):
+        near = sample @ sample[i]
+        near[i] = -np.inf
+        foot = np.abs(ranks - ranks[i]).sum(1)
+        for j in np.argsort(-near, kind="stable")[: min(k, len(sample) - 1)]:
+            before = np.count_nonzero((file == file[j]) & (foot < foot[j]))
+            need.append(before / sizes[file[j]] if ranks[i, file[j]] < probes else np.inf)
+    return next((x for x in (rerank, *(x for x in SHARES if x > rerank)) if np.mean(np.array(need) < x) >= LEAST_RECALL), None)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -74,8 +106,7 @@ def permutations(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = -(_unit(_matrix(b.column("v"))) @ shared.value.T)
-                ranks = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1, kind="stable").astype(np.uint8)
+                ranks = _ranks(_unit(_matrix(b.column("v"))), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in ranks], pa.binary())], names=["id", "v", "ranks"])
 
     return rows.mapInArrow(run, "id bigint, v array<double>, ranks binary")
@@ -122,7 +153,7 @@ def _search(k: int, rerank: float | None):
                     at = np.arange(len(ei))
                 else:
                     foot = np.abs(er - qr[i]).sum(1)
-                    at = np.argsort(foot, kind="stable")[:keep]  # entries stand by id: ties to the smaller
+                    at = np.flatnonzero(foot <= np.partition(foot, keep - 1)[keep - 1])  # never cut between equal footrules
                 at = at[ei[at] != qi[i]]
                 if not len(at):
                     continue
@@ -159,13 +190,16 @@ def _pass(index: DataFrame, queries: DataFrame, sizes: DataFrame, probes: int, k
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
            probes: int = PROBES, rerank: float = RERANK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on the column ``id``."""
+    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on the column ``id``; at least the share ``rerank`` is reranked."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = valid(vectors, vec_id, embedding)
-    pivots = pick_pivots(rows)
-    if not len(pivots):
+    sample = draw(rows)
+    if not len(sample):
         return empty
+    pivots = pick_pivots(sample)
+    rerank = share_to_rerank(sample, pivots, k, probes, rerank)
+    probes = len(pivots) if rerank is None else min(probes, len(pivots))
     index = materialise(permutations(rows, pivots).withColumn("file", F.explode(_files("ranks", 1))), "ann-index")
     queries = index.where(is_query).drop("file")
     n_queries = queries.count()
@@ -175,7 +209,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
         "file", chunks(F.col("n"), CHUNK).alias("chunks"), F.lit(max(1, -(-n_queries // QUERY_CHUNK))).alias("query_chunks")
     )  # at most PIVOTS rows
     sizes = materialise(sizes, "ann-files")
-    found = materialise(_pass(index, queries, sizes, min(probes, len(pivots)), k, rerank), "ann-found")
+    found = materialise(_pass(index, queries, sizes, probes, k, rerank), "ann-found")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("q"))
     short = materialise(queries.join(full, F.col("id") == F.col("q"), "left_anti"), "ann-short")
     if not short.isEmpty():

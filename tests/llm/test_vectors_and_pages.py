@@ -40,6 +40,20 @@ def test_neighbours_against_brute_force(spark):
     assert copies["vec_id"].tolist() == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("shape", ["cone", "clusters"])
+def test_recall_on_narrow_and_clustered_vectors(spark, shape):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6_000, 24))
+    x = x / 20 + rng.normal(size=24) if shape == "cone" else x / 10 + rng.normal(size=(3, 24))[rng.integers(3, size=6_000)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = ann.search(vectors(spark, rows), F.col("id") % 50 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    s = x.astype(np.float32).astype(float)
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    near = s[::50] @ s.T
+    near[np.arange(120), np.arange(0, 6_000, 50)] = -9
+    assert np.mean([len(got[50 * i] & set(np.argsort(-near[i])[:5])) / 5 for i in range(120)]) >= 0.9
+
+
 def test_few_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (0, [1.0, 0.0])]
     out = ann.search(vectors(spark, rows), F.col("id") == 0).orderBy("rank").collect()
