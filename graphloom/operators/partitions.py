@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from graphloom.functions.ranks import number
 from graphloom.functions.storage import materialise
@@ -157,6 +159,40 @@ def select_seeds(candidates: DataFrame, n_vertices: int, overlap: float = 0.80,
     )
 
 
+def select_snapshots(snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15) -> DataFrame:
+    """``select_seeds`` over all snapshots, best ``value`` first (ties to the lower component, then the earlier).
+
+    Snapshots of a component are nested or apart and their members are intervals of ``tin``, so the scan needs
+    no members. It is sequential by definition: the sorted list streams to the driver range by range until
+    the coverage is reached, and the driver keeps the chosen intervals only.
+    """
+    order = snaps.withColumn("score", value).orderBy(F.desc("score"), "component", "sid").select("component", "tin", "tout")
+    chosen: list[tuple[int, int, int, int]] = []
+    # by component, ascending: the chosen intervals that lie in no other, each with all chosen ones in it
+    outermost: dict[int, list[tuple[int, int, list[tuple[int, int]]]]] = {}
+    covered = 0
+    for rank, (component, lo, hi) in enumerate(order.toLocalIterator(), 1):
+        if covered and covered >= coverage * n_vertices:
+            break
+        tops, n = outermost.setdefault(component, []), hi - lo + 1
+        at = bisect_right(tops, lo, key=lambda t: t[0]) - 1
+        if at >= 0 and tops[at][1] >= hi:  # within a chosen one
+            near = tops[at][2]
+            if any(min(hi, b) - max(lo, a) + 1 > overlap * (max(hi, b) - min(lo, a) + 1) for a, b in near):
+                continue
+            near.append((lo, hi))
+        else:
+            first, end = bisect_left(tops, lo, key=lambda t: t[0]), bisect_right(tops, hi, key=lambda t: t[0])
+            if any(b - a + 1 > overlap * n for a, b, _ in tops[first:end]):
+                continue
+            covered += n - sum(b - a + 1 for a, b, _ in tops[first:end])
+            tops[first:end] = [(lo, hi, [(lo, hi), *(x for t in tops[first:end] for x in t[2])])]
+        chosen.append((rank, component, lo, hi))
+    picked = snaps.sparkSession.createDataFrame(chosen, "rank bigint, component bigint, lo bigint, hi bigint")
+    places = picked.select("rank", "component", F.explode(F.sequence("lo", "hi")).alias("tin"))
+    return places.join(snaps.select("component", "tin", "node"), ["component", "tin"]).select("rank", F.col("rank").alias("set_id"), "node")
+
+
 def jaccard(sets: DataFrame) -> DataFrame:
     """``(a, b, overlap)`` of the pairs of ``sets(set_id, node)`` that share a vertex, by a join on the member."""
     size = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))

@@ -440,10 +440,7 @@ def set_overlap_jaccard(spark, d):
 
 @query("nms_coverage_select")
 def nms_coverage_select(spark, d):
-    s = snaps(spark, d)
-    r = materialise(snapshots.ranked(s, snapshots.score(EPS), 200), "ranked")
-    m = snapshots.members(s, r).join(r.select("component", "sid", "rank"), ["component", "sid"])
-    return partitions.select_seeds(m.select("rank", F.col("rank").alias("set_id"), "node"), vertices(spark, d).count())
+    return partitions.select_snapshots(snaps(spark, d), snapshots.score(EPS), vertices(spark, d).count())
 
 
 @query("weighted_kmeans")

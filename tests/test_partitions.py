@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import metrics, stats
-from graphloom.operators import features, partitions
+from graphloom.functions.storage import materialise
+from graphloom.operators import features, partitions, snapshots
 from graphloom.plans import generate
 
 
@@ -46,6 +47,26 @@ def test_greedy_selection(spark):
     assert {(r["a"], r["b"]): r["overlap"] for r in partitions.jaccard(c.select("set_id", "node")).collect()} == {(1, 2): 0.75}
 
 
+def test_selection_goes_on_until_covered(spark, monkeypatch):
+    from graphloom.plans import queries
+
+    # of 4000 vertices 500 in cliques of 5, whose nested snapshots fill the head of the list
+    pairs = [(5 * c + i, 5 * c + j) for c in range(100) for i in range(5) for j in range(i + 1, 5)]
+    v, e = spark.range(4_000).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "src bigint, dst bigint")
+    s = snapshots.snapshots(v, e)
+    monkeypatch.setattr(queries, "vertices", lambda *_: v)
+    monkeypatch.setattr(queries, "snaps", lambda *_: s)
+    got = queries.nms_coverage_select(spark, "").toPandas()
+    assert got["node"].nunique() >= 600  # 15 %
+
+    every = materialise(snapshots.ranked(s, snapshots.score(1e4), 4_000), "ranked")
+    m = snapshots.members(s, every).join(every.select("component", "sid", "rank"), ["component", "sid"])
+    for coverage, overlap in ((0.15, 0.8), (0.3, 0.5)):
+        want = partitions.select_seeds(m.select("rank", F.col("rank").alias("set_id"), "node"), 4_000, overlap, coverage)
+        got = partitions.select_snapshots(s, snapshots.score(1e4), 4_000, overlap, coverage)
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_kmeans_finds_clear_clusters(spark):
     pts = [(i, [float(i % 3) * 10 + (i % 7) * 0.01, 1.0]) for i in range(60)]
     df = spark.createDataFrame(pts, "node bigint, vector array<double>")
