@@ -202,23 +202,40 @@ def jaccard(sets: DataFrame) -> DataFrame:
     return both.join(na, "a").join(nb, "b").select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("overlap"))
 
 
+def _farthest(picked):
+    """Of each batch the point of greatest weight times squared distance to the nearest of ``picked``."""
+
+    def run(batches):
+        for b in batches:
+            v = np.array(b["vector"].tolist()).reshape(len(b), -1)
+            if len(v):
+                far = np.min([((v - c) ** 2).sum(1) for c in picked.value], axis=0) * b["w"].to_numpy()
+                one = b.assign(far=far).sort_values(["far", "w", "node"], ascending=[False, False, True]).head(1)
+                yield one[["far", "w", "node", "vector"]]
+
+    return run
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 30, weight: str | None = None) -> DataFrame:
     """``(node, cluster_id)`` of ``points(node, vector[, weight])`` by weighted k-means.
 
-    The first centres are spread out from the heaviest point (farthest-first over a bounded sample of least
-    ids); each round sends k centres to the executors and gets k partial sums back.
+    The first centres are spread out from the heaviest point: each next one is, of all points, that of the
+    greatest weight times squared distance to those before (ties to the heavier, then the lower id), one row
+    coming back for each. Each round sends k centres to the executors and gets k partial sums back.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = materialise(points.select("node", F.col("vector").cast("array<double>").alias("vector"), w.alias("w")), "kmeans")
-    first = rows.orderBy(F.desc("w"), "node").limit(max(1_000, 10 * k)).toPandas()
+    first = rows.orderBy(F.desc("w"), "node").limit(1).toPandas()
     if first.empty:
         return rows.select("node", F.lit(0).cast("bigint").alias("cluster_id"))
-    x = np.array(first["vector"].tolist())
-    picked, dist = [0], ((x - x[0]) ** 2).sum(1)
-    while len(picked) < min(k, len(x)):
-        picked.append(int((dist * first["w"]).argmax()))
-        dist = np.minimum(dist, ((x - x[picked[-1]]) ** 2).sum(1))
-    centres = x[picked]
+    picked = np.array(first["vector"].tolist())
+    while len(picked) < k:
+        got = rows.mapInPandas(_farthest(rows.sparkSession.sparkContext.broadcast(picked)), "far double, w double, node bigint, vector array<double>")
+        got = got.orderBy(F.desc("far"), F.desc("w"), "node").limit(1).toPandas()
+        if not got["far"][0] > 0:  # no other points
+            break
+        picked = np.vstack([picked, got["vector"][0]])
+    centres = picked
 
     def nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
         return ((v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)).argmin(1)

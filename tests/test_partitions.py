@@ -74,6 +74,17 @@ def test_kmeans_finds_clear_clusters(spark):
     assert len({got[i] for i in range(3)}) == 3 and all(got[i] == got[i % 3] for i in range(60))
 
 
+def test_kmeans_starts_from_all_points(spark):
+    # clusters in the order of the ids: the first 1500 points are one cluster
+    pts = [(i, [max(0, i // 300 - 4) * 50.0 + (i % 7) * 0.01, 1.0]) for i in range(3_000)]
+    df = spark.createDataFrame(pts, "node bigint, vector array<double>").repartition(3)
+    got = as_dict(partitions.kmeans(df, 6), "node", "cluster_id")
+    groups = {}
+    for i, (x, _) in pts:
+        groups.setdefault(round(x / 50), set()).add(got[i])
+    assert len(groups) == 6 and sorted(map(len, groups.values())) == [1] * 6 and len(set.union(*groups.values())) == 6
+
+
 def test_split_is_stratified(spark):
     labels = spark.createDataFrame([(i, i % 4) for i in range(100)], "node bigint, label bigint")
     s = partitions.stratified_split(labels, 5, 10, 20).join(labels, "node")
