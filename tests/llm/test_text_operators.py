@@ -93,6 +93,21 @@ def test_runs_do_not_depend_on_their_place():
     assert b"".join(text[a:b] for a, b in zip([0, *stops], stops)) == text
 
 
+def test_every_passage_of_51_words_is_found():
+    rng = random.Random(5)
+
+    def text(n, stop):
+        return " ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" + ("." if rng.random() < stop else "") for _ in range(n))
+
+    for _ in range(600):
+        passage = text(51, rng.choice([0, 0.07, 0.15]))
+        a, b = ({*spans.runs(spans.sentences(f"{text(30, s)} {passage} {text(30, s)}".encode())[1])[0].tolist()} for s in (rng.random() / 5, rng.random() / 5))
+        assert a & b
+    han = "".join(chr(0x4E00 + rng.randrange(5_000)) + ("\u3002" if i % 17 == 16 else "") for i in range(60))
+    a, b = ({*spans.runs(spans.sentences(f"{x}{han}{x}".encode())[1])[0].tolist()} for x in ("\u4e00\u4e8c", "\u4e09"))
+    assert a & b
+
+
 # op2
 
 
