@@ -1,304 +1,302 @@
 """Main text of web pages by wrapper induction.
 
-The DOM trees of all different pages of a host are aligned: texts correspond if they are equal and stand at
-the same place, that is at the same path of tags (simple tree matching, too, pairs only nodes of equal
-path). A text that stands on most pages of its host, or on most of those of one layout, is template; where
-the texts vary there is a content slot. The wrapper of a host is the set of its template texts, each with
-its place, and is applied to every page of the host. Pages have the same layout if their texts stand at the
-same set of places.
-
-Not everything that varies is content: menus, footers and adverts often differ from page to page. So
-regions that HTML itself marks (``nav``, ``footer``, ``aside``, ``form``, ...) or that are named so by
-class, id or role are left out first; if a page has an ``article`` or ``main`` region, the text is taken
-from it; else from all slots but lists of links.
-
-Nothing is sampled: each page sends the keys of its texts (8 bytes each), copies of a page are dropped, and
-the keys are counted by host and by layout with partial aggregation, so a host with a third of all pages is
-no hot key. Wrappers are broadcast if their table is small, and joined otherwise.
+The DOM trees of all different pages of a host are aligned with a model page by simple tree matching
+(``dom.match``): a host has one model for each of its layouts (the set of its container tags and classes)
+of at least ``LAYOUT_PAGES`` pages, and the model of its largest layout serves the rest. What corresponds
+to one node of the model is one slot of the wrapper. A text that stands in its slot on most pages is
+constant and so template. Where texts vary there is content, but menus, adverts and footers vary too; so
+slots are weighed by the characters that vary in them over all pages of the model, links not counted:
+
+* the content region is found from the root down, always into the part that holds ``DOMINANT`` of the varying
+  text; an ``article`` or ``main`` is the region at once if it holds half of it;
+* slots outside the region are left out, but for headings beside the way down to it; so are slots whose
+  varying text stands mostly in links, outside an ``article`` or ``main``;
+* what HTML itself marks (``nav``, ``footer``, ``aside``, ``form``, ``hidden``, ...) or class, id and role name as
+  advert, comments and the like weighs nothing and is left out. A region with a doubtful name (notice,
+  banner, related, ...) is left out unless it holds most of the text.
+
+A text of a page without partner in the model belongs to the slot of its next ancestor that has one.
+
+Nothing is sampled: each page sends the shape of its tree and the hashes of its texts, copies of a page are
+dropped, and texts are counted by model and slot with partial aggregation. Models and wrappers (a few
+hundred bytes each) are broadcast if their table is small, and joined otherwise; a host with many pages is
+dealt out by salt then, so it is no hot key.
 
 Defined results: null or empty html gives the empty text; so does a page without main text. A page without
-a host, or the only different page of its host, has no template texts; with two pages, texts of both are
-template. Repeated rows give equal rows; copies of a page count once. Text outside any element is content.
+a host, or the only different page of its host, is its own model: it has no constant texts, and its region
+is found from its own text. With two pages, texts of both are template, inside an ``article`` or ``main`` from
+three pages on. Repeated rows give equal rows; copies of a page count once.
 """
 
 from __future__ import annotations
 
-import html as _html
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.llm import dom
 from graphloom.llm.common import materialise, table
 
-#: A text of a page is template if it stands at its place in at least this share of the other pages of the host or
-#: layout, and in at least 2 of them (in the other one, if the host has 2 pages).
+#: A text is template if it stands in its slot on at least this share of the other pages of the model, and on at
+#: least 2 of them (on the other one, if there are 2 pages).
 CONSTANT = 0.6
-#: Wrapper tables of at most so many bytes are broadcast.
-BROADCAST_BYTES = 8_000_000
-#: Outside an article, a block with more of its characters in links than this is a menu.
+#: Layouts of fewer different pages are aligned with the model of their host.
+LAYOUT_PAGES = 3
+#: The content region is sought further in a part that holds this share of the varying text.
+DOMINANT = 0.6
+#: A slot with more of its varying characters in links than this is a menu.
 LINK_SHARE = 0.5
+#: Tables of models or wrappers of at most so many bytes are broadcast.
+BROADCAST_BYTES = 8_000_000
+#: Beyond it, a layout of more pages than this is dealt out by salt.
+SALT_PAGES = 100_000
 
-# HTML element names by role.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
-)
-LEFT_OUT = frozenset(
-    "head nav header footer aside form script style noscript template iframe button select option textarea svg canvas audio video object dialog menu title".split()
-)
-CLOSES_P = BLOCK - frozenset("body head html title caption tbody td tfoot th thead tr summary legend".split())
-CLOSES_SAME = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
-NAMED_OUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+_CONTAINER = (
+    r"(?i)<(?:article|aside|div|dl|fieldset|footer|form|header|main|nav|ol|section|table|ul)"
+    r"(?=[\s/>])(?:[^>]*?\sclass\s*=\s*(?:\"[^\"]*\"|'[^']*'))?"
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-
-
-@lru_cache(4096)
-def _named_out(attributes: str) -> bool:
-    for name, value in _NAMES.findall(attributes):
-        value = value.strip("\"'")
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and NAMED_OUT.search(value):
-            return True
-        if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"):
-            return True
-    return False
-
-
-class Node:
-    """An element, or a block of text (``tag`` is empty)."""
-
-    __slots__ = ("tag", "out", "main", "children", "text", "linked")
-
-    def __init__(self, tag: str, out: bool = False, main: bool = False, text: str = "", linked: int = 0):
-        self.tag, self.out, self.main, self.text, self.linked = tag, out, main, text, linked
-        self.children: list[Node] = []
-
-
-def parse(page: str) -> Node:
-    """The tree of block elements; inline markup melts into the text blocks between them."""
-    root = Node("#")
-    stack = [root]
-    inline: list[str] = []  # open inline elements that matter: links
-    words: list[str] = []
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if words:
-            text = " ".join("".join(words).split())
-            if text:
-                stack[-1].children.append(Node("", stack[-1].out, stack[-1].main, text, linked))
-            words.clear()
-        linked = 0
-
-    def close(tag: str, stop: frozenset[str] | set[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                flush()
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
-
-    def put(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            text = _html.unescape(raw) if "&" in raw else raw
-            words.append(text)
-            if inline:
-                linked += len(text.strip())
-
-    at = 0
-    skip_until = -1
-    for m in _TOKEN.finditer(page):
-        if m.start() < skip_until:
-            continue
-        put(page[max(at, skip_until) : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                inline.clear()
-            elif tag in BLOCK or tag in LEFT_OUT:
-                close(tag)
-            elif tag == "br":
-                words.append(" ")
-            continue
-        if tag == "br":
-            words.append(" ")
-        elif tag == "a":
-            inline[:] = ["a"]
-        if tag in BLOCK or tag in LEFT_OUT:
-            if tag in CLOSES_P:
-                close("p", {"article", "section", "main", "aside", "td", "th", "button", "table"})
-            if tag in CLOSES_SAME:
-                for other in {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]:
-                    close(other, set(CLOSES_SAME[tag].split()))
-            flush()
-            up = stack[-1]
-            node = Node(tag, up.out or tag in LEFT_OUT or _named_out(m[3]), up.main or tag in ("article", "main") or 'role="main"' in m[3])
-            up.children.append(node)
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            if tag == "title":
-                put(page[at:stop])
-            skip_until = at = stop
-    put(page[max(at, skip_until) :])
-    flush()
-    return root
-
-
-def _clip(nodes: list[Node]) -> list[Node]:
-    return [n for n in nodes if not n.out]
-
-
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of text nodes matched by simple tree matching of two trees with equal roots."""
-    memo: dict[tuple[int, int], int] = {}
-    rows: dict[tuple[int, int], list[list[int]]] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.tag != y.tag:
-            return 0
-        if not x.tag:
-            return 2 if x.text == y.text else 1
-        key = (id(x), id(y))
-        if key not in memo:
-            cx, cy = _clip(x.children), _clip(y.children)
-            m = [[0] * (len(cy) + 1)]
-            for u in cx:
-                last, row = m[-1], [0]
-                for j, v in enumerate(cy):
-                    row.append(max(last[j + 1], row[j], last[j] + size(u, v)))
-                m.append(row)
-            rows[key] = m
-            memo[key] = m[-1][-1] + 1
-        return memo[key]
-
-    size(a, b)
-    out, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        if not x.tag:
-            out.append((x, y))
-            continue
-        m, cx, cy = rows[id(x), id(y)], _clip(x.children), _clip(y.children)
-        i, j = len(cx), len(cy)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((cx[i], cy[j]))
-    return out
-
-
-def blocks(root: Node) -> Iterator[tuple[str, Node]]:
-    """``(path of tags, text node)`` in page order."""
-    todo = [("", root)]
-    while todo:
-        path, n = todo.pop()
-        if n.tag:
-            todo += [(f"{path}/{n.tag}", c) for c in reversed(n.children)]
-        else:
-            yield path, n
-
-
-def key(path: str, text: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{path}\n{text}".encode("utf-8", "replace"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def places(page: str) -> tuple[int, list[int]]:
-    """A key of the layout of a page, and the keys of its different texts and their places; marked regions are left out."""
-    found = [(p, n.text) for p, n in blocks(parse(page)) if not n.out]
-    return key("\n".join(sorted({p for p, _ in found})), ""), sorted({key(p, t) for p, t in found})
-
-
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+
+class Wrapper:
+    """A model with the slots that hold content, and the template texts by slot."""
+
+    def __init__(self, model: dom.Tree, keep: list[bool], constant: frozenset[tuple[int, int]] | set[tuple[int, int]] = frozenset()):
+        self.model, self.keep, self.constant = model, keep, constant
+
+
+def decide(model: dom.Tree, varying: dict[int, tuple[int, int]]) -> list[bool]:
+    """For each node of the model whether its texts are content; ``varying``: slot -> characters that vary, and those in links."""
+    n = len(model.parent)
+    total, unlinked, linked = [0] * n, [0] * n, [False] * n
+    for slot, (chars, links) in varying.items():
+        linked[slot] = links > LINK_SHARE * chars
+        total[slot] = 0 if linked[slot] or model.mark[slot] & dom.OUT else chars - links
+    for i in range(n - 1, 0, -1):
+        total[model.parent[i]] += total[i]
+    out = [bool(m & dom.OUT) for m in model.mark]
+    for i in range(1, n):  # doubtful names hold only for the lesser part of the text
+        up = model.parent[i]
+        out[i] |= out[up]
+        if model.mark[i] & dom.DOUBTFUL and not model.mark[up] & dom.DOUBTFUL and not out[i] and 2 * total[i] <= total[0]:
+            out[i] = True
+    for slot in varying:
+        unlinked[slot] = 0 if out[slot] or linked[slot] else varying[slot][0] - varying[slot][1]
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        unlinked[model.parent[i]] += unlinked[i]
+        kids[model.parent[i]].append(i)
+    tops = [i for i in range(1, n) if model.mark[i] & dom.MAIN and not model.mark[model.parent[i]] & dom.MAIN and not out[i]]
+    if tops and 2 * sum(unlinked[i] for i in tops) >= unlinked[0]:
+        regions = tops
+        above = {model.parent[i] for i in tops}
+    else:
+        at, above = 0, set()
+        while True:
+            best = max(kids[at], key=lambda i: unlinked[i], default=None)
+            holder = best is not None and kids[best] and not model.mark[best] & (dom.REPEATS | dom.HEADING)
+            if not holder or not unlinked[best] or unlinked[best] < DOMINANT * unlinked[at]:
+                break
+            above.add(at)
+            at = best
+        regions = [at]
+    keep = [False] * n
+    for i in regions:
+        keep[i] = True
+    for i in range(1, n):
+        keep[i] = keep[i] or keep[model.parent[i]] or bool(model.mark[i] & dom.HEADING and model.parent[i] in above)
+    return [k and not out[i] and (not linked[i] or bool(model.mark[i] & dom.MAIN)) for i, k in enumerate(keep)]
+
+
+def texts_of(page: dom.Tree) -> list[int]:
+    """The text nodes that are not marked as left out."""
+    return [i for i, k in enumerate(page.label) if not k and not page.mark[i] & dom.OUT]
+
+
+def slot_of(partner: int) -> int:
+    return partner if partner >= 0 else -1 - partner
+
+
+def alone(page: dom.Tree) -> Wrapper:
+    """The wrapper of a page that has no other to align with."""
+    varying = {i: (page.chars[i], page.linked[i]) for i in texts_of(page)}
+    return Wrapper(page, decide(page, varying))
+
+
+def main_text(page: str | None, wrapper: Wrapper | None = None, shapes: dom.Shapes | None = None) -> str:
+    """The text of a page by a wrapper; without one, by the page itself."""
     if not page:
         return ""
-    found = [(p, n) for p, n in blocks(parse(page)) if not n.out]
-    inner = [(p, n) for p, n in found if n.main]
-    if not inner:
-        inner = [(p, n) for p, n in found if n.linked <= LINK_SHARE * len(n.text)]
-    return "\n\n".join(n.text for p, n in inner if not template or key(p, n.text) not in template)
+    tree = dom.parse(page)
+    if wrapper is None:
+        wrapper = alone(tree)
+        partners = list(range(len(tree.parent)))
+    else:
+        partners = dom.match(tree, wrapper.model, shapes)
+    out = []
+    for i in texts_of(tree):
+        slot = slot_of(partners[i])
+        if not wrapper.keep[slot] or (slot, tree.key[i]) in wrapper.constant:
+            continue
+        if partners[i] < 0:  # no node of the model vouches for it: its own marks and links decide
+            if tree.mark[i] & dom.DOUBTFUL and not wrapper.model.mark[slot] & dom.DOUBTFUL:
+                continue
+            if tree.linked[i] > LINK_SHARE * tree.chars[i] and not tree.mark[i] & dom.MAIN:
+                continue
+        out.append(tree.text[i])
+    return "\n\n".join(out)
 
 
-def host_of(url: str) -> F.Column:
+def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def layout_of(html: str) -> Column:
+    """A key of the set of container tags of a page, with their classes; digits count as equal."""
+    tags = F.transform(F.regexp_extract_all(html, F.lit(_CONTAINER), F.lit(0)), lambda x: F.regexp_replace(F.lower(x), r"\d+", "0"))
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(tags)), "\n"))
+
+
+class _Cache:
+    """What was read last, by key; emptied when it has grown."""
+
+    def __init__(self, read, limit: int = 512):
+        self.read, self.limit, self.known, self.shapes = read, limit, {}, dom.Shapes()
+
+    def get(self, key, *values):
+        if key not in self.known:
+            if len(self.known) >= self.limit or len(self.shapes.known) + len(self.shapes.weights) > 500_000:
+                self.known, self.shapes = {}, dom.Shapes()
+            self.known[key] = self.read(*values)
+        return self.known[key]
+
+
+def _meet(rows: DataFrame, models: DataFrame, size: Column, row_hash: Column) -> DataFrame:
+    """``rows`` (host, layout) with their model: broadcast if the table of models is small, else joined, large layouts by salt."""
+    on = ["host", "layout"]
+    used = models.agg(F.coalesce(F.sum(size + F.length("host") + 64), F.lit(0)).alias("n")).first()["n"]
+    if used <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(models), on, "left")
+    hot = models.where(F.col("rows") > SALT_PAGES).select(*on, F.ceil(F.col("rows") / SALT_PAGES).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(hot), on, "left")  # at most a row for each SALT_PAGES pages
+    rows = rows.withColumn("salt", F.pmod(row_hash, F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    last = F.ceil(F.col("rows") / SALT_PAGES).cast("int") - 1
+    return rows.join(models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0))))), [*on, "salt"], "left").drop("salt")
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(host, template array<bigint>)`` of the hosts that have template texts."""
+    """``(host, layout, rows, model, keep, slots, keys)``: the wrapper that each layout of each host uses."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = pa.array([dom.parse(p).pack() for p in b.column("html").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("layout"), b.column("h"), packed], names=["host", "layout", "h", "tree"])
+
+    keyed = pages.select(host_of(url).alias("host"), layout_of(html).alias("layout"), F.xxhash64(html).alias("h"), F.col(html).alias("html"))
+    each = keyed.where("html <> '' AND host <> ''").mapInArrow(trees, "host string, layout bigint, h bigint, tree binary")
+    each = each.groupBy("host", "layout", "h").agg(F.first("tree").alias("tree"), F.count(F.lit(1)).alias("copies"))
+    each = materialise(each, "html-trees", "zstd")
+    layouts = each.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.sum("copies").alias("rows"), F.min("h").alias("h"))
+    largest = layouts.groupBy("host").agg(F.max(F.struct("pages", "layout", "h")).alias("top"))
+    own = F.col("pages") >= LAYOUT_PAGES
+    plan = layouts.join(largest, "host").select(
+        "host", "layout", "rows", "pages", F.when(own, F.col("layout")).otherwise(F.col("top.layout")).alias("of"),
+        F.when(own, F.col("h")).otherwise(F.col("top.h")).alias("of_h"),
+    )
+    plan = materialise(plan, "html-layouts")
+    used = plan.groupBy("host", "of", "of_h").agg(F.sum("pages").alias("aligned"))
+    models = each.select("host", F.col("layout").alias("of"), F.col("h").alias("of_h"), "tree").join(used, ["host", "of", "of_h"])
+    models = materialise(models.select("host", "of", "aligned", F.col("tree").alias("model")), "html-models", "zstd")
+    by_layout = plan.join(models, ["host", "of"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Cache(dom.Tree.unpack)
         for b in batches:
-            found = [places(p) for p in b.column("html").to_pylist()]
-            layouts, keys = pa.array([x for x, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), layouts, keys], names=["host", "h", "layout", "keys"])
-
-    keyed = pages.select(host_of(url).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("h")).where("html IS NOT NULL AND host <> ''")
-    each = keyed.mapInArrow(run, "host string, h bigint, layout bigint, keys array<bigint>")
-    each = materialise(each.groupBy("host", "h").agg(F.first("layout").alias("layout"), F.first("keys").alias("keys")), "html-places")
-    # the layout of the rows that count for the whole host is null
-    scopes = F.explode(F.array(F.lit(None).cast("bigint"), F.col("layout")))
-    pages_of = each.select("host", scopes.alias("layout")).groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
-    pages_of = pages_of.where((F.col("pages") > 2) | (F.col("layout").isNull() & (F.col("pages") > 1)))
-    texts = each.select("host", "layout", F.explode("keys").alias("key")).select("host", "key", scopes.alias("layout"))
-    often = texts.groupBy("host", "layout", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    both = often.join(pages_of, (often["host"] == pages_of["host"]) & often["layout"].eqNullSafe(pages_of["layout"]))
-    others = F.col("pages") - 1
-    least = F.greatest(F.least(F.lit(2), others).cast("double"), CONSTANT * others)
-    return both.where(F.col("n") - 1 >= least).groupBy(often["host"]).agg(F.sort_array(F.collect_set("key")).alias("template"))
+            cols: list[list] = [[] for _ in range(7)]
+            for host, of, aligned, tree, model in zip(*(b.column(c).to_pylist() for c in ("host", "of", "aligned", "tree", "model"))):
+                m, t = cache.get((host, of), model), dom.Tree.unpack(tree)
+                partners, seen = dom.match(t, m, cache.shapes), {}
+                for i in texts_of(t):
+                    at = slot_of(partners[i]), t.key[i]
+                    chars, linked = seen.get(at, (0, 0))
+                    seen[at] = chars + t.chars[i], linked + t.linked[i]
+                for (slot, key), (chars, linked) in seen.items():
+                    for c, v in zip(cols, (host, of, aligned, slot, key, chars, linked)):
+                        c.append(v)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "of", "aligned", "slot", "key", "chars", "linked"])
+
+    rows = _meet(each.select("host", "layout", "h", "tree"), by_layout, F.length("model"), F.col("h"))
+    texts = rows.select("host", "of", "aligned", "tree", "model").mapInArrow(
+        align, "host string, of bigint, aligned bigint, slot int, key bigint, chars bigint, linked bigint"
+    )
+    # copies of a text within its slot are counted first, so a slot of a hot host is spread over the hashes of its texts
+    counted = texts.groupBy("host", "of", "aligned", "slot", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    others = F.col("aligned") - 1
+    constant = (F.col("n") > 1) & (F.col("n") - 1 >= F.greatest(F.least(F.lit(2), others).cast("double"), CONSTANT * others))
+    slots = counted.groupBy("host", "of", "slot").agg(
+        F.sum(F.when(constant, 0).otherwise(F.col("chars"))).alias("chars"), F.sum(F.when(constant, 0).otherwise(F.col("linked"))).alias("linked"),
+        F.collect_set(F.when(constant, F.col("key"))).alias("keys"), F.sum(F.when(constant, F.col("chars")).otherwise(0)).alias("fixed"),
+    )
+    # as many slots as a model has nodes; as many constant texts as a page has texts, by 1 / CONSTANT at most
+    facts = slots.groupBy("host", "of").agg(F.collect_list(F.struct("slot", "chars", "linked", "keys", "fixed")).alias("facts"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, at, keys = [], [], []
+            for model, aligned, found in zip(*(b.column(c).to_pylist() for c in ("model", "aligned", "facts"))):
+                tree, varying, fixed = dom.Tree.unpack(model), {}, []
+                for f in found or []:
+                    if aligned < 3 and tree.mark[f["slot"]] & dom.MAIN:  # two pages that share an article
+                        varying[f["slot"]] = f["chars"] + f["fixed"], f["linked"]
+                    else:
+                        varying[f["slot"]] = f["chars"], f["linked"]
+                        fixed += [(f["slot"], k) for k in f["keys"]]
+                keep.append(np.array(decide(tree, varying), np.uint8).tobytes())
+                at.append([s for s, _ in fixed])
+                keys.append([k for _, k in fixed])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), b.column("of"), pa.array(keep, pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["host", "of", "keep", "slots", "keys"],
+            )
+
+    settled = models.join(facts, ["host", "of"], "left").mapInArrow(settle, "host string, of bigint, keep binary, slots array<int>, keys array<bigint>")
+    return by_layout.join(settled, ["host", "of"]).select("host", "layout", "of", "rows", "model", "keep", "slots", "keys")
+
+
+def _read(model: bytes, keep: bytes, slots: list[int], keys: list[int]) -> Wrapper:
+    return Wrapper(dom.Tree.unpack(model), [bool(x) for x in keep], frozenset(zip(slots, keys)))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, a row for each row of ``pages``."""
-    found = materialise(wrappers(pages, url, html).select(F.col("host").alias("__h"), "template"), "html-wrappers")
-    bytes_ = found.agg(F.coalesce(F.sum(F.size("template") * 8 + F.length("__h") + 32), F.lit(0)).alias("n")).first()["n"]
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("__host"))
-    rows = rows.join(F.broadcast(found) if bytes_ <= BROADCAST_BYTES else found, F.col("__host") == F.col("__h"), "left")
+    found = materialise(wrappers(pages, url, html), "html-wrappers", "zstd")
+    rows = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"), layout_of(html).alias("layout")
+    )
+    rows = _meet(rows, found, F.length("model") + F.length("keep") + F.size("slots") * 12, F.xxhash64("html", "page_id"))
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, frozenset[int]] = (None, frozenset())
+        cache = _Cache(_read)
+        names = ("html", "host", "of", "model", "keep")
         for b in batches:
             texts = []
-            for page, host, template in zip(b.column("html").to_pylist(), b.column("__h").to_pylist(), b.column("template")):
-                if host is None:
+            for i, (page, host, of, model, keep) in enumerate(zip(*(b.column(c).to_pylist() for c in names))):
+                if model is None:
                     texts.append(main_text(page))
                     continue
-                if host != last[0]:
-                    last = (host, frozenset(template.as_py()))
-                texts.append(main_text(page, last[1]))
+                key = host, of
+                w = cache.known.get(key) or cache.get(key, model, keep, b.column("slots")[i].as_py(), b.column("keys")[i].as_py())
+                texts.append(main_text(page, w, cache.shapes))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.select("page_id", "url", "html", "__h", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    rows = rows.select("page_id", "url", "html", "host", "of", "model", "keep", "slots", "keys")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

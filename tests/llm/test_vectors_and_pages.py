@@ -1,4 +1,4 @@
-"""Nearest neighbours, HTML extraction and the pipeline."""
+"""Nearest neighbours and the pipeline."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import ann, webpages
+from graphloom.llm import ann
 
 # op9
 
@@ -72,61 +72,6 @@ def test_chunks_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, ann.search(vectors(spark, rows), F.col("id") % 50 == 0, **kw).collect())) == one
 
 
-# op10
-
-
-PAGE = """<!DOCTYPE html><html><head><title>x</title><script>var a = "<p>no</p>";</script></head><body>
-<div class="top">Our site</div><nav><a href=/>Home {i}</a></nav><div class="cookie-notice">We use cookies {i}</div>
-<div><h1>Title {i} &amp; more</h1><p>First   part
-of <b>page</b> {i}<br>goes&nbsp;on<p>Second &lt;part&gt; {i}</p><p>Share this text</p><ul><li>one {i}</li><li>two</ul></div>
-<div id="comments"><p>reader {i}</p></div><form><p>mail {i}</p></form><footer>&copy; {i}</footer></body></html>"""
-
-
-def test_wrapper_of_a_host(spark):
-    rows = [(i, f"http://a.example.com/{i}", PAGE.format(i=i)) for i in range(12)]
-    rows += [(50, "http://b.example.com/", PAGE.format(i=50)), (51, None, None), (52, "x", ""), (53, "http://c.example.com/", "no tags &am here"), (0, rows[0][1], rows[0][2])]
-    df = spark.createDataFrame([(*r, "keep") for r in rows], "page_id bigint, url string, html string, text string")
-    out = webpages.extract(df).collect()
-    assert len(out) == len(rows) and set(out[0].asDict()) == {"page_id", "url", "text", "n_chars"}
-    by = {r["page_id"]: r for r in out}
-    varying = "Title {i} & more\n\nFirst part of page {i} goes on\n\nSecond <part> {i}\n\none {i}"
-    assert by[3]["text"] == varying.format(i=3) and by[3]["n_chars"] == len(by[3]["text"])
-    assert by[50]["text"] == "Our site\n\n" + varying.format(i=50).replace("\n\none", "\n\nShare this text\n\none") + "\n\ntwo"  # nothing to align with
-    assert (by[51]["text"], by[52]["text"], by[53]["text"]) == ("", "", "no tags &am here")
-    assert webpages.extract(df.limit(0)).count() == 0
-
-
-def test_every_page_of_a_host_counts(spark):
-    def page(top, i):
-        return f"<html><body>{top}<section><p>Text {i} of this page</p></section></body></html>"
-
-    tops = ["<div>Layout one</div>", "<table><tr><td>Layout two</table>", "<ul><li>Layout three</ul>"]
-    rows = [(f"http://h{n}x{k}.example.com/{i}", page("<div>Banner</div>", i)) for n in (2, 3, 4) for k in range(40) for i in range(n)]
-    rows += [(f"http://big.example.com/{i}", page(tops[i % 3], i)) for i in range(60)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
-    texts = [r["text"] for r in webpages.extract(df).collect()]
-    assert len(texts) == len(rows) and not [t for t in texts if "Banner" in t or "Layout" in t or not t.startswith("Text")]
-
-
-def test_article_and_broken_markup():
-    t = webpages.main_text
-    assert t("<body><div>menu</div><article><header>top</header><h1>A</h1><p>b<p>c <!-- no --> d<aside>e</aside></article><p>f") == "A\n\nb\n\nc d"
-    assert t("<article><p>a</p><script>if (1 < 2) {}</script><style>p{}</style><p>b</p>") == "a\n\nb"
-    assert t("<article><p>x<script>never closed <p>y") == "x"
-    assert t("<main><table><tr><td>1<td>2<tr><td>3</table></main>") == "1\n\n2\n\n3"
-    assert t("<div><a href=a>one</a> <a href=b>two</a></div><p>text with a <a href=c>link</a> in it</p>") == "text with a link in it"
-    long = "<article>" + "".join(f"<p>w{i}</p>" for i in range(20_000)) + "</article>"
-    assert t(long).count("\n\n") == 19_999
-    assert t("<div>" * 5_000 + "deep") == "deep"
-
-
-def test_tree_matching_is_maximal():
-    a = webpages.parse("<div><p>1</p><p>same</p></div><ul><li>x</li></ul>")
-    b = webpages.parse("<div><p>0</p><p>2</p><p>same</p></div><ul><li>y</li><li>z</li></ul>")
-    pairs = [(x.text, y.text) for x, y in webpages.match(a, b)]
-    assert ("same", "same") in pairs and len(pairs) == 3
-
-
 # the pipeline
 
 
