@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearness to a fixed set of pivots. It is posted in the inverted
-file of its nearest pivot. A query opens the files of its ``PROBES`` nearest pivots, ranks the vectors in
-each by footrule distance (the sum of the differences of the pivots' ranks) and reranks the nearest
-``RERANK`` of them, and all of the same footrule as the last of these, by the exact cosine in double precision.
-
-Pivots are the vectors of a bounded sample of different vectors that lie farthest apart, so a narrow cone or
-a few clusters get as many as a sphere. On the sample the search is also held against brute force: if it
-finds less than ``LEAST_RECALL`` (orders tell little inside a tight cluster), a larger share is reranked, and
-if that doesn't help or there are fewer than ``PIVOTS`` different vectors, all. Every vector is indexed. A file is dealt out in chunks of about
-``CHUNK`` vectors and its queries in chunks of about ``QUERY_CHUNK``, so no task grows with a popular
-pivot; each task reports the best of its chunk, which are merged for each query. A query that finds fewer
-than ``k`` candidates is searched again in all files without a cut, so none comes out short.
+A vector is represented by the order of its ``PREFIX`` nearest pivots, and posted in the inverted files of the
+``POSTED`` nearest of them. A query opens the files of its nearest pivots, ranks what is posted there by truncated
+footrule distance (the sum of the differences of the pivots' places; a pivot beyond the prefix counts as next
+after it) and reranks the nearest share by the exact cosine in double precision, with all that stand at the
+same footrule as the last of it. Each file reports its best, which are merged for each query.
+
+How many files are opened and what share is reranked is not guessed: ``TRIALS`` of the queries are held against
+all rows, one scan tells how early in the opened files their true neighbours stand, and the least work that finds
+``LEAST_RECALL`` of them is chosen; on vectors whose orders tell nothing that is every file and every vector.
+
+Pivots are vectors of a bounded sample of different ones that lie farthest apart, and nearness is the cosine of
+the differences from the sample's mean, so a narrow cone or a few clusters are told apart as well as a sphere.
+There are about sqrt(N) of them, from ``PIVOTS[0]`` to ``PIVOTS[1]``, so a file grows as the root of the table.
+Every vector is indexed. What is shuffled is linear in the table: POSTED copies of each vector, and a copy of
+each query for each file it opens. A file of more than ``CHUNK`` vectors (a popular pivot, or a group of copies) is
+dealt out in chunks, and its queries by ``QUERY_CHUNK``, so no task grows with it. A query that finds fewer than
+``k`` candidates is searched again in all files without a cut, so none comes out short.
 
 Defined results: null vectors, vectors without components, zero vectors and those with null or non-finite
 components take no part, nor do rows with a null id or of another length than the most frequent. Rows of
@@ -21,6 +26,7 @@ one id are one item, and its nearest vector counts. Equal scores go to the small
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +34,28 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from graphloom.llm.common import materialise, table
 
-PIVOTS = 64
-PROBES = 48
-RERANK = 0.35
+#: Least and greatest number of pivots.
+PIVOTS = (64, 4_096)
+#: Pivots of a vector's order that are kept, and files it is posted in.
+PREFIX, POSTED = 64, 2
+#: Pivots are picked from so many different vectors of least hash.
+SAMPLE = 8_192
+#: So many queries are held against all rows, and so much of their best is to be found.
+TRIALS, LEAST_RECALL = 128, 0.95
+#: Shares of the pivots whose files are opened, and of a file that is reranked, from which the settings are chosen.
+PROBES = (0.03125, 0.0625, 0.09375, 0.125, 0.1875, 0.25, 0.375, 0.5, 0.75, 1.0)
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
 #: In any case so many of a chunk are reranked.
-RERANK_LEAST = 64
-#: Pivots are picked from so many different vectors of least hash, and the share to rerank is set with them.
-SAMPLE = 2_048
-#: So many of the sample are queries when the share is set, and so much of their best is to be found.
-TRIALS, LEAST_RECALL = 256, 0.94
-SHARES = (0.5, 0.65, 0.8, 1.0)
-CHUNK, QUERY_CHUNK = 4_096, 1_024
+RERANK_LEAST = 32
+CHUNK, QUERY_CHUNK = 65_536, 4_096
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(id, v array<double>)`` of the rows that take part."""
-    v = F.col(embedding).cast("array<double>")
+    """``(id, v)`` of the rows that take part."""
+    v = F.col(f"`{embedding}`")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), v.alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
@@ -58,40 +68,21 @@ def draw(rows: DataFrame) -> np.ndarray:
     return _unit(np.array(got["v"].tolist(), float)) if len(got) else np.zeros((0, 0))
 
 
-def pick_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Of the sample the one farthest from its mean, then always the one farthest from those before; fewer if no others differ."""
-    out, gap = [], ((sample - sample.mean(0)) ** 2).sum(1)
+    out: list[int] = []
+    gap = ((sample - sample.mean(0)) ** 2).sum(1)
+    square = (sample**2).sum(1)
     while len(out) < n and (not out or gap.max() > 1e-24):
         out.append(int(gap.argmax()))
-        far = ((sample - sample[out[-1]]) ** 2).sum(1)
+        far = np.maximum(square + square[out[-1]] - 2 * sample @ sample[out[-1]], 0)
+        far[out[-1]] = 0
         gap = far if len(out) == 1 else np.minimum(gap, far)
     return sample[out]
 
 
-def _ranks(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.argsort(np.argsort(-(unit @ pivots.T), axis=1, kind="stable"), axis=1, kind="stable").astype(np.uint8)
-
-
-def share_to_rerank(sample: np.ndarray, pivots: np.ndarray, k: int, probes: int, rerank: float) -> float | None:
-    """The least share, from ``rerank`` on, that finds enough of the best within the sample; None: search all."""
-    if len(pivots) < PIVOTS:
-        return None
-    ranks = _ranks(sample, pivots).astype(np.int16)
-    file = ranks.argmin(1)
-    sizes = np.bincount(file, minlength=len(pivots))
-    need = []  # for each of the best: the share of its file that is nearer by footrule
-    for i in range(min(TRIALS, len(sample))):
-        near = sample @ sample[i]
-        near[i] = -np.inf
-        foot = np.abs(ranks - ranks[i]).sum(1)
-        for j in np.argsort(-near, kind="stable")[: min(k, len(sample) - 1)]:
-            before = np.count_nonzero((file == file[j]) & (foot < foot[j]))
-            need.append(before / sizes[file[j]] if ranks[i, file[j]] < probes else np.inf)
-    return next((x for x in (rerank, *(x for x in SHARES if x > rerank)) if np.mean(np.array(need) < x) >= LEAST_RECALL), None)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -99,25 +90,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def permutations(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``rows`` with ``ranks``: for each pivot its place in the vector's order, one byte each."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
+@dataclass
+class Index:
+    """What turns vectors into orders: at most PIVOTS[1] pivots and a mean."""
+
+    pivots: np.ndarray
+    mean: np.ndarray
+
+    @property
+    def prefix(self) -> int:
+        return min(PREFIX, len(self.pivots))
+
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """For each vector the pivots by falling cosine of the differences from the mean (ties to the lower number)."""
+        p = self.pivots - self.mean
+        size = np.linalg.norm(p, axis=1)
+        near = np.round((_unit(v) - self.mean) @ (p / np.where(size > 0, size, 1)[:, None]).T, 9)  # copies fall alike
+        return np.argsort(-near, axis=1, kind="stable").astype(np.uint16)
+
+    def places(self, orders: np.ndarray) -> np.ndarray:
+        """For each vector the place of every pivot, ``prefix`` where it is not among the first."""
+        out = np.full((len(orders), len(self.pivots)), self.prefix, np.int16)
+        np.put_along_axis(out, orders[:, : self.prefix].astype(np.int64), np.arange(self.prefix, dtype=np.int16)[None, :], 1)
+        return out
+
+
+def footrule(places: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """Truncated footrule of one query's ``places`` of all pivots with each row of ``prefixes``."""
+    n = prefixes.shape[1]
+    theirs = places[prefixes]
+    # pivots of the query that the other lacks: all of its own, less those met
+    return np.abs(theirs - np.arange(n, dtype=np.int16)).sum(1, dtype=np.int64) + (n * (n + 1) // 2 - (n - theirs).sum(1, dtype=np.int64))
+
+
+def read_prefixes(column: pa.Array, prefix: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), prefix)
+
+
+def permutations(rows: DataFrame, index: Index, files: int) -> DataFrame:
+    """``rows`` with ``prefix`` (its nearest pivots in order, two bytes each) and ``files``, the first of them."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # at most PIVOTS[1] vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ranks = _ranks(_unit(_matrix(b.column("v"))), shared.value)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([r.tobytes() for r in ranks], pa.binary())], names=["id", "v", "ranks"])
-
-    return rows.mapInArrow(run, "id bigint, v array<double>, ranks binary")
-
+                order = shared.value.order(_matrix(b.column("v")))
+                head = np.ascontiguousarray(order[:, : shared.value.prefix])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("v"), pa.array([r.tobytes() for r in head], pa.binary()), pa.array(order[:, :files].astype(np.int32).tolist(), pa.list_(pa.int32()))],
+                    names=["id", "v", "prefix", "files"],
+                )
 
-def _files(ranks: str, probes: int) -> Column:
-    """The pivots (from 0) of the first ``probes`` ranks."""
-    at = F.split(F.regexp_replace(F.hex(ranks), "(..)", "$1 "), " ")
-    return F.filter(
-        F.transform(at, lambda x, i: F.when((x != "") & (F.conv(x, 16, 10).cast("int") < probes), i)), lambda x: x.isNotNull()
-    )
+    return rows.mapInArrow(run, f"id bigint, v {rows.schema['v'].dataType.simpleString()}, prefix binary, files array<int>")
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,95 +149,160 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b * a).sum(1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(1)))
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best distinct ids; equal scores to the smaller id."""
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best distinct ids; equal scores to the smaller id."""
     order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    _, first = np.unique(ids, return_index=True)
-    first = np.sort(first)[:k]
-    return ids[first], scores[first]
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
-def _search(k: int, rerank: float | None):
+def true_neighbours(posted: DataFrame, trials: list, k: int) -> DataFrame:
+    """``(query_id, vec_id, score, prefix, files)`` of the k nearest of each trial query among all rows (one scan)."""
+    asked = posted.sparkSession.sparkContext.broadcast(([r["id"] for r in trials], np.array([r["v"] for r in trials], float)))  # TRIALS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at = asked.value
+        unit = _unit(at)
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            near = unit @ _unit(_matrix(b.column("v"))).T if b.num_rows else np.zeros((len(names), 0))
+            for q, name in enumerate(names):
+                other = np.flatnonzero(ids != name)
+                best = other[best_of(ids[other], near[q, other], k)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(best), pa.int64()), b.column("id").take(best), pa.array(near[q, best]), b.column("prefix").take(best), b.column("files").take(best)],
+                    names=["query_id", "vec_id", "score", "prefix", "files"],
+                )
+
+    found = posted.mapInArrow(run, "query_id bigint, vec_id bigint, score double, prefix binary, files array<int>")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def settings(posted: DataFrame, index: Index, trials: list, k: int) -> tuple[int, float]:
+    """Files to open and share to rerank: the least work under which the trial queries' true neighbours are found."""
+    truth = true_neighbours(posted, trials, k).collect()  # TRIALS * k rows
+    number = {r["id"]: i for i, r in enumerate(trials)}
+    places = index.places(index.order(np.array([r["v"] for r in trials], float)))
+    full = np.argsort(index.order(np.array([r["v"] for r in trials], float)), axis=1)  # every pivot's place
+    query = np.array([number[r["query_id"]] for r in truth], np.int64)
+    if not len(query):
+        return len(index.pivots), 1.0
+    files = [r["files"] for r in truth]
+    first = np.array([f[int(np.argmin(full[q, f]))] for q, f in zip(query, files)])  # the posted pivot that the query opens first
+    probes = full[query, first] + 1
+    prefixes = np.array([np.frombuffer(r["prefix"], np.uint16) for r in truth])
+    foot = np.array([footrule(places[q], prefixes[i : i + 1])[0] for i, q in enumerate(query)])
+    shared = posted.sparkSession.sparkContext.broadcast((places, query, first, foot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, q, file, least = shared.value
+        before, size = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            prefix, own = read_prefixes(b.column("prefix"), min(PREFIX, at.shape[1])), np.array(b.column("files").to_pylist())
+            for f in np.unique(file).tolist():
+                here = prefix[(own == f).any(1)]
+                for i in np.flatnonzero(file == f).tolist():
+                    size[i] += len(here)
+                    before[i] += int((footrule(at[q[i]], here) < least[i]).sum()) if len(here) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(before), pa.array(size)], names=["i", "before", "size"])
+
+    counts = posted.mapInArrow(run, "i bigint, before bigint, size bigint").groupBy("i").agg(F.sum("before").alias("before"), F.sum("size").alias("size")).toPandas().sort_values("i")
+    share = np.where(counts["before"] < RERANK_LEAST, 0.0, counts["before"] / np.maximum(counts["size"], 1)) if len(counts) else np.zeros(len(query))
+    n = len(index.pivots)
+    tries = [(max(1, int(np.ceil(p * n))), s) for p in PROBES for s in SHARES]
+    for p, s in sorted(tries, key=lambda t: (t[0] * (1 + 4 * t[1]), t[0])):  # opening a file costs its footrules, reranking a part more
+        if np.mean((probes <= p) & ((share < s) | (s == 1.0))) >= LEAST_RECALL:
+            return p, s
+    return n, 1.0
+
+
+def _search(index: Index, k: int, rerank: float):
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and entries.num_rows:
             q, e = queries.combine_chunks(), entries.combine_chunks()
             qv, ev = _matrix(q.column("qv").chunk(0)), _matrix(e.column("v").chunk(0))
             qi, ei = q.column("qid").to_numpy(), e.column("id").to_numpy()
-            order = np.argsort(ei, kind="stable")
-            ev, ei = ev[order], ei[order]
-            if rerank is not None:
-                read = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1).astype(np.int16)
-                qr, er = read(q, "qranks"), read(e, "ranks")[order]
-                keep = max(RERANK_LEAST, int(np.ceil(rerank * len(ei))))
+            keep = len(ei) if rerank >= 1 else max(RERANK_LEAST, int(np.ceil(rerank * len(ei))))
+            if keep < len(ei):
+                heads = read_prefixes(e.column("prefix").chunk(0), index.prefix)
+                places = index.places(read_prefixes(q.column("qprefix").chunk(0), index.prefix))
             unit = _unit(ev)
             for i in range(len(qi)):
-                if rerank is None or keep >= len(ei):
-                    at = np.arange(len(ei))
-                else:
-                    foot = np.abs(er - qr[i]).sum(1)
+                at = np.arange(len(ei))
+                if keep < len(ei):
+                    foot = footrule(places[i], heads)
                     at = np.flatnonzero(foot <= np.partition(foot, keep - 1)[keep - 1])  # never cut between equal footrules
                 at = at[ei[at] != qi[i]]
                 if not len(at):
                     continue
-                rough = unit[at] @ _unit(qv[i : i + 1])[0]
                 if len(at) > 4 * k:  # exact sums only for what can be among the best
+                    rough = unit[at] @ _unit(qv[i : i + 1])[0]
                     if len(np.unique(ei[at])) == len(at):
                         at = at[rough >= np.partition(rough, -k)[-k] - 1e-9]
-                ids, scores = best_of(ei[at], exact_scores(qv[i], ev[at]), k)
-                out_q += [qi[i]] * len(ids)
-                out_v += ids.tolist()
-                out_s += scores.tolist()
+                scores = exact_scores(qv[i], ev[at])
+                best = best_of(ei[at], scores, k)
+                out_q += [qi[i]] * len(best)
+                out_v += ei[at[best]].tolist()
+                out_s += scores[best].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     return run
 
 
-def _pass(index: DataFrame, queries: DataFrame, sizes: DataFrame, probes: int, k: int, rerank: float | None) -> DataFrame:
-    asked = queries.withColumn("file", F.explode(_files("ranks", probes)))
-    deal = sizes.select(F.col("file").alias("f"), "chunks", "query_chunks")
-    asked = asked.join(F.broadcast(deal), F.col("file") == F.col("f")).select(
-        F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("ranks").alias("qranks"), "file", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("id"), "query_chunks").cast("int").alias("part"),
+def _pass(posted: DataFrame, asked: DataFrame, index: Index, k: int, rerank: float) -> DataFrame:
+    """The best of the files that ``asked`` (id, v, prefix, files) opens."""
+    entries = posted.select("id", "v", "prefix", F.explode("files").alias("file"))
+    asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("prefix").alias("qprefix"), F.explode("files").alias("file"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    sizes = posted.select(F.explode("files").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    opened = asked.groupBy("file").agg(F.count(F.lit(1)).alias("m"))
+    deal = sizes.join(opened, "file").select(F.col("file").alias("f"), chunks(F.col("n"), CHUNK).alias("chunks"), chunks(F.col("m"), QUERY_CHUNK).alias("parts"))
+    deal = F.broadcast(materialise(deal, "ann-files"))  # at most PIVOTS[1] rows
+    asked = asked.join(deal, F.col("file") == F.col("f")).select(
+        "qid", "qv", "qprefix", "file", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("qid"), "parts").cast("int").alias("part")
     )
-    posted = index.join(F.broadcast(deal), F.col("file") == F.col("f")).select(
-        "id", "v", "ranks", "file", F.pmod(F.xxhash64(F.lit("chunk"), "id"), "chunks").cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.col("query_chunks") - 1)).alias("part"),
+    entries = entries.join(deal, F.col("file") == F.col("f")).select(
+        "id", "v", "prefix", "file", F.pmod(F.xxhash64(F.lit("chunk"), "id", "v"), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
     by = ["file", "chunk", "part"]
-    found = asked.groupBy(*by).cogroup(posted.groupBy(*by)).applyInArrow(_search(k, rerank), "query_id bigint, vec_id bigint, score double")
+    found = asked.groupBy(*by).cogroup(entries.groupBy(*by)).applyInArrow(_search(index, k, rerank), "query_id bigint, vec_id bigint, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-           probes: int = PROBES, rerank: float = RERANK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on the column ``id``; at least the share ``rerank`` is reranked."""
+           probes: int | None = None, rerank: float | None = None) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``; ``is_query`` is a condition on the column ``id``.
+
+    ``probes`` (files to open) and ``rerank`` (share of a file) are set by trial unless both are given.
+    """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = valid(vectors, vec_id, embedding)
     sample = draw(rows)
     if not len(sample):
         return empty
-    pivots = pick_pivots(sample)
-    rerank = share_to_rerank(sample, pivots, k, probes, rerank)
-    probes = len(pivots) if rerank is None else min(probes, len(pivots))
-    index = materialise(permutations(rows, pivots).withColumn("file", F.explode(_files("ranks", 1))), "ann-index")
-    queries = index.where(is_query).drop("file")
-    n_queries = queries.count()
-    # a query may open any file, so each file's queries are bounded by all of them
-    chunks = lambda n, size: F.ceil(n / size).cast("int")
-    sizes = index.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select(
-        "file", chunks(F.col("n"), CHUNK).alias("chunks"), F.lit(max(1, -(-n_queries // QUERY_CHUNK))).alias("query_chunks")
-    )  # at most PIVOTS rows
-    sizes = materialise(sizes, "ann-files")
-    found = materialise(_pass(index, queries, sizes, probes, k, rerank), "ann-found")
+    wanted = 1 << int(np.ceil(np.log2(max(1, rows.count())) / 2))
+    index = Index(pick_pivots(sample, min(max(wanted, PIVOTS[0]), PIVOTS[1])), sample.mean(0))
+    posted = materialise(permutations(rows, index, POSTED), "ann-index")
+    queries = posted.where(is_query)
+    trials = queries.orderBy(F.xxhash64(F.lit("trial"), "id"), "id").limit(TRIALS).select("id", "v").dropDuplicates(["id"]).collect()
+    if not trials:
+        return empty
+    if probes is None or rerank is None:
+        probes, rerank = settings(posted, index, trials, k)
+    probes = min(probes, len(index.pivots))
+    asked = materialise(permutations(queries.select("id", "v"), index, probes), "ann-queries")
+    found = materialise(_pass(posted, asked, index, k, rerank), "ann-found")
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("q"))
-    short = materialise(queries.join(full, F.col("id") == F.col("q"), "left_anti"), "ann-short")
+    short = materialise(queries.join(full, F.col("id") == F.col("q"), "left_anti").select("id", "v"), "ann-short")
     if not short.isEmpty():
-        again = _pass(index, short, sizes, len(pivots), k, None)
+        again = _pass(posted, permutations(short, index, len(index.pivots)), index, k, 1.0)
         found = found.join(full, F.col("query_id") == F.col("q"), "left_semi").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -54,6 +54,42 @@ def test_recall_on_narrow_and_clustered_vectors(spark, shape):
     assert np.mean([len(got[50 * i] & set(np.argsort(-near[i])[:5])) / 5 for i in range(120)]) >= 0.9
 
 
+def test_footrule_against_its_definition():
+    rng = np.random.default_rng(7)
+    index = ann.Index(rng.normal(size=(100, 8)), np.zeros(8))
+    order = index.order(rng.normal(size=(20, 8)))
+    heads, places = order[:, : index.prefix], index.places(order)
+
+    def by_hand(a, b):
+        n = index.prefix
+        return sum(abs((a.index(p) if p in a else n) - (b.index(p) if p in b else n)) for p in {*a, *b})
+
+    for i in range(20):
+        assert ann.footrule(places[i], heads).tolist() == [by_hand(heads[i].tolist(), h.tolist()) for h in heads]
+
+
+def test_the_index_saves_most_of_the_work(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 4))
+    x = np.concatenate([c + rng.normal(size=(200, 4)) / 3 for c in centre]) @ rng.normal(size=(4, 32))
+    chosen, inner = [], ann.settings
+
+    def settings(posted, index, trials, k):
+        chosen.append((*inner(posted, index, trials, k), len(index.pivots)))
+        return chosen[-1][:2]
+
+    monkeypatch.setattr(ann, "settings", settings)
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = ann.search(vectors(spark, rows), F.col("id") % 50 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    s = x.astype(np.float32).astype(float)
+    s /= np.linalg.norm(s, axis=1)[:, None]
+    near = s[::50] @ s.T
+    near[np.arange(len(near)), np.arange(0, len(x), 50)] = -9
+    assert np.mean([len(got[50 * i] & set(np.argsort(-near[i])[:5])) / 5 for i in range(len(near))]) >= 0.9
+    probes, share, pivots = chosen[0]
+    assert probes * ann.POSTED / pivots <= 0.2 and share < 1  # pairs touched, and those reranked
+
+
 def test_few_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (0, [1.0, 0.0])]
     out = ann.search(vectors(spark, rows), F.col("id") == 0).orderBy("rank").collect()
