@@ -280,6 +280,43 @@ def test_mix_plan_takes_each_block_once_a_pass(spark):
     assert plan.groupBy("place", "slot").agg(F.sum("n_words").alias("n")).where(f"n > {mixing.BLOCK}").count() == 0
 
 
+def test_permutations_are_permutations_and_even(spark):
+    for n in (1, 2, 3, 5, 16, 97, 1_000, 20_002):
+        rows = spark.range(n).withColumn("n", F.lit(n).cast("bigint"))
+        got = [r["y"] for r in mixing.permute(rows, F.col("id"), F.col("n"), F.lit("a key"), "y").orderBy("id").collect()]
+        assert sorted(got) == list(range(n))
+        if n > 10_000:  # what a pass that ends after a quarter has taken is spread over the whole
+            part = np.bincount(np.array(got[: n // 4]) * 10 // n, minlength=10)
+            assert (np.abs(part - n / 40) < 5 * (n / 40) ** 0.5).all()
+            assert abs(np.corrcoef(np.arange(n), got)[0, 1]) < 0.03 and len(set(np.diff(got).tolist())) > n / 3
+
+
+def test_shard_counts_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    slots = [700, 200, 90, 10]
+    rows = [(k, n, sum(slots[:k]), 1_000) for k, n in enumerate(slots)]
+    goals = spark.createDataFrame(rows, "place bigint, slots bigint, slots_before bigint, all_slots bigint")
+    got = mixing.shard_counts(goals).orderBy("place", "shard").collect()
+    by_shard, seen = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r["first"] == seen[r["place"]]  # slots are numbered along the shards
+        seen[r["place"]] += r["n"]
+        by_shard[r["shard"]] += r["n"]
+    assert [seen[k] for k in range(4)] == slots and set(by_shard.values()) == {50} and len(by_shard) == 20
+    n0 = [r["n"] for r in got if r["place"] == 0]
+    assert 1 < np.var(n0) < 25  # 50 * 0.7 * 0.3 * 950 / 999 = 10 are expected
+
+
+def test_mix_takes_any_ids_and_many_copies(spark):
+    rows = [("id-%d" % (i % 7), "w " * (i % 40 + 1), "a") for i in range(300)] + [("copy", "these words again " * 9, "a")] * 400 + [(None, "w " * (i % 5), "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "`a.id` string, text string, source string").repartition(6)
+    got = mixing.mix(df, row_id="a.id").collect()
+    assert len(got) == len(rows) and sum(r["taken"] for r in got if r["source"] == "b") == 3 * sum(i % 5 for i in range(50))
+    again = mixing.mix(df.repartition(3), row_id="a.id").collect()
+    assert collections.Counter(map(str, got)) == collections.Counter(map(str, again))
+    assert 100 < sum(r["taken"] > 0 for r in got if r["doc_id"] == "copy") <= 400
+
+
 # op5
 
 
