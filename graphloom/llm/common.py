@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from graphloom.functions.storage import materialise, shared_dir
 
-__all__ = ["extended", "fold", "materialise", "shared_dir", "slices", "table", "total_chars"]
+__all__ = ["extended", "fold", "free_names", "map_arrow", "materialise", "named", "shared_dir", "slices", "table", "total_chars"]
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -23,6 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until no column (of any case) has them."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` on columns of any names: ``run`` finds them by place, as ``c0``, ``c1``, ..."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each; a longer text gets a range of its own."""
     lo = size = 0

@@ -1,13 +1,15 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Test items and documents are compared as sequences of words (lower-cased, ASCII punctuation ignored). An
+Test items and documents are compared as sequences of words (lower-cased runs of letters and digits). An
 item of m words may differ from a passage in k = floor(m * (1 - SIMILARITY)) word edits. Cut into k + 1
 pieces, at least one piece of it then stands unchanged in the passage; every exact piece hit is looked up
 by a rolling hash, and the passage around it is verified with Myers' bit-parallel edit distance, one bit
 for each word of the item.
 
-The test set is the stated query set: it is read in blocks of at most ``BLOCK_ITEMS`` items, and each
-block is held against all documents in one scan, so neither side is shuffled and no block outgrows a task.
+The test set is the stated query set: it is read in blocks of at most ``BLOCK_ITEMS`` items, and all blocks are held
+against all documents in one scan, so neither side is shuffled. A task holds about ``HELD_BYTES`` of text and goes
+through the blocks one after the other, so no block outgrows it. The packed blocks are broadcast; a test set of more
+than ``SCAN_BYTES`` packed takes another scan for each so many.
 
 Defined results: null and empty texts match nothing. Items of fewer than ``MIN_ITEM_WORDS`` words tell
 nothing and are left out. Of overlapping passages that match one item, the one with the fewest edits is
@@ -16,7 +18,10 @@ reported (the first of equals). Repeated rows are reported for each row; repeate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import re
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -24,20 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloom.llm.common import slices, table
+from graphloom.llm.common import free_names, map_arrow, named, slices, table
 
 SIMILARITY = 0.8
 MIN_ITEM_WORDS = 5
 BLOCK_ITEMS = 5_000
 SLICE_BYTES = 4_000_000
+#: Text that a task holds while it goes through several blocks, and packed items to a scan.
+HELD_BYTES, SCAN_BYTES = 64_000_000, 200_000_000
 
+_WORD = re.compile(r"[^\W_]+")
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
-    raw = (text if isinstance(text, str) else (text or b"").decode("utf-8", "replace")).lower().encode()
-    return raw.translate(_SPACES).split()
+    low = (text if isinstance(text, str) else (text or b"").decode("utf-8", "replace")).lower()
+    raw = low.encode("utf-8", "replace")
+    return raw.translate(_SPACES).split() if len(raw) == len(low) else [w.encode("utf-8", "replace") for w in _WORD.findall(low)]
 
 
 def budget(m: int, similarity: float = SIMILARITY) -> int:
@@ -182,63 +191,94 @@ def passages(m: Matcher, texts: pa.Array) -> Iterator[tuple[int, list[tuple[obje
             yield lo + i, m.match(codes[ends[i - 1] if i else 0 : ends[i] - 1])
 
 
+def scans(items: DataFrame, item_id: str, item_text: str, block_items: int) -> Iterator[list[bytes]]:
+    """The items in packed blocks, as many as one scan takes."""
+    rows = items.select(named(item_id), named(item_text)).where(named(item_text).isNotNull()).toLocalIterator()
+    group: list[bytes] = []
+    while block := [tuple(r) for r in islice(rows, block_items)]:
+        group.append(zlib.compress(pickle.dumps(block), 1))
+        if sum(map(len, group)) >= SCAN_BYTES:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def _each(shared, similarity: float, batches: Iterator[pa.RecordBatch], text_at: int, use: Callable) -> Iterator[list]:
+    """Batches in lots, each with what ``use(batch, row, passages)`` gave for its hits with all blocks."""
+    alone = Matcher(pickle.loads(zlib.decompress(shared.value[0])), similarity) if len(shared.value) == 1 else None
+
+    def lots() -> Iterator[list[pa.RecordBatch]]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(text_at).nbytes
+            if alone or size >= HELD_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    for lot in lots():
+        out = [(b, []) for b in lot]
+        for packed in shared.value:
+            m = alone or Matcher(pickle.loads(zlib.decompress(packed)), similarity)
+            for b, got in out:
+                for i, own in passages(m, b.column(text_at)):
+                    got += use(b, i, own)
+        yield out
+
+
 def matches(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
             similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(doc_id, item_id, start_word, end_word, edits)`` of every passage of ``docs`` that matches an item."""
     kind, item_kind = docs.schema[row_id].dataType, items.schema[item_id].dataType
     schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, start_word bigint, end_word bigint, edits int"
-    rows = iter(items.select(item_id, item_text).where(F.col(item_text).isNotNull()).toLocalIterator())
+    names = ("doc_id", "item_id", "start_word", "end_word", "edits")
     out = None
-    source = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
-    while block := list(islice(rows, block_items)):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block])  # bounded by block_items
+    source = docs.select(named(row_id).alias("doc_id"), named(text).alias("text"))
+    for group in scans(items, item_id, item_text, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(group)  # at most SCAN_BYTES and one block
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, similarity)
-            for b in batches:
-                ids = b.column("doc_id")
-                found = [(ids[i].as_py(), *x) for i, own in passages(m, b.column("text")) for x in own]
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("doc_id", "item_id", "start_word", "end_word", "edits"), x)) for x in found],
-                    schema=pa.schema([("doc_id", ids.type), ("item_id", to_arrow_type(item_kind)),
-                                      ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())]),
-                )
+            for lot in _each(shared, similarity, batches, 1, lambda b, i, own: [(b.column(0)[i].as_py(), *x) for x in own]):
+                for b, found in lot:
+                    kinds = pa.schema([("doc_id", b.column(0).type), ("item_id", to_arrow_type(item_kind)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found], schema=kinds)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a passage of an item.
-
-    The matcher runs once more as a row filter: no join, so a row without an id is kept or dropped by its own text.
-    """
-    flagged = contaminated(docs, items, text)
-    return flagged.where(~F.col("__leak")).drop("__leak")
-
-
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                 similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, flag: str = "__leak") -> DataFrame:
-    """``docs`` with a boolean column: does the row hold a passage of an item?"""
+def contaminated(docs: DataFrame, items: DataFrame, flag: str, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                 similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` with a boolean column ``flag`` behind its own: does the row hold a passage of an item?"""
     names = docs.columns
     out = docs.withColumn(flag, F.lit(False))
     schema = out.schema
-    rows = iter(items.select(item_id, item_text).where(F.col(item_text).isNotNull()).toLocalIterator())
-    while block := list(islice(rows, block_items)):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+    for group in scans(items, item_id, item_text, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = Matcher(shared.value, similarity)
-            for b in batches:
-                leak = np.array(b.column(flag).to_pylist(), bool)
-                for i, own in passages(m, b.column(b.schema.get_field_index(text))):
-                    leak[i] |= bool(own)
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(leak)], names=[*names, flag])
-
-        out = out.mapInArrow(run, schema)
+            for lot in _each(shared, similarity, batches, names.index(text), lambda b, i, own: [i] if own else []):
+                for b, found in lot:
+                    leak = np.array(b.column(len(names)).to_pylist(), bool)
+                    leak[found] = True
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leak)], names=[*names, flag])
+
+        out = map_arrow(out, run, schema)
     return out
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a passage of an item.
+
+    The matcher is a row filter: no join, so a row without an id is kept or dropped by its own text.
+    """
+    (flag,) = free_names(docs.columns, "__leak")
+    return contaminated(docs, items, flag, text).where(~F.col(flag)).drop(flag)
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
