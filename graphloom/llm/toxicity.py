@@ -3,9 +3,10 @@
 A document is toxic if at least one of its sentences is. A sentence's chance is logistic in the words it
 holds and in their beginnings, and the document's is ``1 - prod(1 - p_sentence)``. Only documents are labelled; the weights of the
 words are fitted by gradient ascent on the likelihood of the document labels, so the blame goes to the
-sentences that tell toxic documents from others. Those sentences can then be located.
+sentences that tell toxic documents from others. Those sentences are then located: ``predict`` counts them and names the
+worst, ``locate_all`` gives each one its row.
 
-Fitting uses a bounded sample of labelled rows (``MAX_TRAIN_DOCS``, chosen by a hash of the id) and the
+Fitting uses a bounded sample of labelled rows (``MAX_TRAIN_DOCS``, chosen by a hash of the id; equal rows count once) and the
 ``FEATURES`` of them that tell the labels apart best in it. Scoring takes every sentence of every text: the
 sentences without a known word share one chance, so a text is scored from its known words and its number
 of sentences, in array operations over a slice of texts.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import extended, fold, slices, table
+from graphloom.llm.common import extended, fold, map_arrow, named, slices, table
 
 #: Labelled rows to fit on, at most about so many.
 MAX_TRAIN_DOCS = 4_000
@@ -76,6 +77,26 @@ def bag(texts: list[bytes]) -> Bag:
     return Bag(stripped.dictionary.to_pylist(), stripped.indices.to_numpy()[code[keep]], number[sentence[keep]], first)
 
 
+def sentences_of(text: str) -> list[str]:
+    """The sentences of one text as ``bag`` counts them, white space as single blanks."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        held: list[str] = []
+        for token in line.encode("utf-8", "replace").split():
+            held.append(token.decode("utf-8", "replace"))
+            if token.endswith(_END):
+                out.append(" ".join(held))
+                held = []
+        if held:
+            out.append(" ".join(held))
+    return out
+
+
+def fold_words(sentence: str) -> set[str]:
+    """The different words of a sentence as they are looked up."""
+    return {w.decode("utf-8", "replace") for t in sentence.encode().lower().split() if (w := t.strip(_MARKS))}
+
+
 def features_of(word: bytes) -> list[str]:
     """The word itself, and its beginnings (marked ``*``): they carry over to inflected and compound forms."""
     w = word.decode("utf-8", "replace")
@@ -98,16 +119,30 @@ class ToxicityModel:
         ids, inverse = np.unique(s, return_inverse=True)
         return ids, self.bias + np.bincount(inverse, w[pairs % max(1, len(b.words))], len(ids))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its score, how many of its sentences are toxic (chance >= 0.5), the worst of those that stand out
+        by a known word (the first of equals; -1: none), and the greatest chance of a sentence."""
+        none = np.full(len(texts), -1)
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
+            return np.full(len(texts), self.constant), np.zeros(len(texts), np.int64), none, np.full(len(texts), self.constant)
         b = bag(texts)
         ids, logit = self.sentence_logits(b)
         n = np.diff(b.first)
         owner = np.searchsorted(b.first, ids, "right") - 1
         known = np.bincount(owner, minlength=len(texts))
         stay = -np.logaddexp(0, self.bias) * (n - known) - np.bincount(owner, np.logaddexp(0, logit), len(texts))
-        return -np.expm1(stay)
+        flagged = np.bincount(owner, logit >= 0, len(texts)).astype(np.int64) + (n - known) * (self.bias >= 0)
+        top = np.where(n > 0, self.bias, -np.inf)
+        order = np.lexsort((ids, -logit, owner))
+        which, first = np.unique(owner[order], return_index=True)
+        best = order[first]
+        out = logit[best] > self.bias
+        none[which[out]] = (ids[best] - b.first[which])[out]
+        top[which] = np.where(known[which] < n[which], np.maximum(top[which], logit[best]), logit[best])
+        return -np.expm1(stay), flagged, none, 1 / (1 + np.exp(-top))
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return self.judge(texts)[0]
 
     def locate(self, text: str, least: float = 0.5) -> list[tuple[int, float]]:
         """``(sentence number, chance)`` of the sentences of at least that chance."""
@@ -191,39 +226,67 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ro
 
     The sample's words are counted here on the driver, so ``max_docs`` bounds what is gathered.
     """
-    known = labels.where(F.col(row_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(row_id).alias("__id")).agg(F.max(label).alias("__toxic"))
+    known = labels.where(named(row_id).isNotNull() & named(label).isNotNull()).groupBy(named(row_id).alias("__id")).agg(F.max(named(label)).alias("__toxic"))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("__id")), F.lit(1 << 30))
     n = known.count()
     if n > max_docs:
         known = known.where(draw < int(max_docs / n * (1 << 30)))
-    sample = docs.select(F.col(row_id).alias("__i"), F.col(text).alias("__t")).join(F.broadcast(known), F.col("__i") == F.col("__id"))  # about max_docs rows
+    rows = docs.select(named(row_id).alias("__i"), named(text).alias("__t"))
+    sample = rows.join(F.broadcast(known), F.col("__i") == F.col("__id"))  # about max_docs ids
+    sample = sample.groupBy("__id", F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t"), F.first("__toxic").cast("int").alias("y"))
     texts: list[bytes] = []
     toxic: list[int] = []
-    for r in sample.select("__t", F.col("__toxic").cast("int").alias("y")).toLocalIterator(prefetchPartitions=True):
+    for r in sample.orderBy("__h", "__id").limit(2 * max_docs).select("__t", "y").toLocalIterator(prefetchPartitions=True):
         texts.append((r["__t"] or "").encode())
         toxic.append(int(r["y"] > 0))
     return fit(texts, np.array(toxic))
 
 
+#: What ``predict`` adds besides the score: toxic sentences, the worst (from 0; null where none stands out), the greatest chance.
+FOUND = {"n_flagged": "long", "worst_sentence": "long", "worst_score": "double"}
+
+
 def predict(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; every other column passes through."""
+    """``docs`` with a score from 0 to 1 and the columns ``FOUND``; every other column passes through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES words
-    kept = [f for f in docs.schema.fields if f.name != score]
+    kept = [f for f in docs.schema.fields if f.name not in (score, *FOUND)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
-            parts = [np.zeros(0)]
+            texts = b.column(names.index(text))
+            parts = [(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))]
             for lo, hi in slices(texts, SLICE_BYTES):
-                parts.append(shared.value.score([x or b"" for x in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(np.concatenate(parts))], names=[*names, score])
+                parts.append(shared.value.judge([x or b"" for x in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]))
+            scores, flagged, worst, chance = (np.concatenate(x) for x in zip(*parts))
+            worst = pa.array(worst.astype(np.int64), mask=worst < 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array(flagged.astype(np.int64)), worst, pa.array(chance)], names=[*names, score, *FOUND])
+
+    return map_arrow(docs.select(*map(named, names)), run, extended(kept, **{score: "double"}, **FOUND))
+
+
+def locate_all(docs: DataFrame, model: ToxicityModel, row_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """``(doc_id, sentence_no, sentence_text, chance)``: a row for each sentence of at least that chance."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, numbers, found, chances = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for k, p in shared.value.locate(t, least) if t else ():
+                    at.append(i)
+                    numbers.append(k)
+                    chances.append(p)
+                    found.append(sentences_of(t)[k])
+            ids = b.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int64()), pa.array(found, pa.string()), pa.array(chances, pa.float64())], names=["doc_id", "sentence_no", "sentence_text", "chance"])
 
-    return docs.mapInArrow(run, extended(kept, **{score: "double"}))
+    kind = docs.schema[row_id].dataType.simpleString()
+    return map_arrow(docs.select(named(row_id), named(text)), run, f"doc_id {kind}, sentence_no bigint, sentence_text string, chance double")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     out = predict(docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text"), model)
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FOUND)
