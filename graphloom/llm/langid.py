@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import extended, fold, slices, table
+from graphloom.llm.common import extended, fold, map_arrow, named, slices, table
 
 #: log2 of the number of hashed n-gram buckets: bounds the model at 2**BITS x languages numbers.
 BITS = 17
 ORDERS = (1, 2, 3, 4)
-#: The classifier is fitted on about this many labelled rows, chosen by a hash of the id.
+#: The classifier is fitted on about this many labelled rows, chosen by a hash of id and text.
 MAX_TRAIN_DOCS = 6_000
 #: Cost, in nats of word score, of changing language between two words.
 SWITCH = 12.0
@@ -186,14 +186,14 @@ def _viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, text: str = "text", lang: str = "lang", row_id: str = "doc_id") -> LanguageModel:
-    """Fit on the rows of ``docs`` with a label, or on about ``max_docs`` of them chosen by a hash of the id.
+    """Fit on the rows of ``docs`` with a label, or on about ``max_docs`` of them chosen by a hash of id and text.
 
     Only the n-gram counts (at most 2**BITS for each language) come to the driver.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("langid"), F.col(row_id)).alias("draw")
+    labelled = docs.where(named(lang).isNotNull() & named(text).isNotNull()).select(
+        named(lang).cast("string").alias("lang"), named(text).alias("text"), F.xxhash64(F.lit("langid"), named(row_id), named(text)).alias("draw")
     )
-    n = docs.where(F.col(lang).isNotNull()).count()
+    n = docs.where(named(lang).isNotNull()).count()
     if n > max_docs:
         labelled = labelled.where(F.pmod("draw", F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
     counts = (
@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
+            texts = b.column(names.index(text))
             labels: list[str] = []
             scores: list[float] = []
             for lo, hi in slices(texts, SLICE_BYTES):
@@ -255,11 +255,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: st
                 labels += a
                 scores += s
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+                [*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 names=[*names, label, score],
             )
 
-    return docs.mapInArrow(run, extended(kept, **{label: "string", score: "double"}))
+    return map_arrow(docs.select(*map(named, names)), run, extended(kept, **{label: "string", score: "double"}))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import materialise, named, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,8 +71,8 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFra
         )
         for k in sorted({t[3] for t in templates()})
     }
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
-    rows = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(row_id, text).alias("row"), words.alias("w"))
+    words = F.regexp_extract_all(F.translate(F.coalesce(named(text), F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    rows = docs.select(named(row_id).alias("doc_id"), F.struct(named(row_id).alias("id"), F.xxhash64(named(text)).alias("h")).alias("row"), words.alias("w"))
     rows = rows.select("doc_id", "row", "w", F.posexplode_outer("w").alias("pos", "word"))
     for k, grams in by_gram.items():
         gram = F.array(*(F.get("w", F.col("pos") + i) for i in range(k)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import free_names, materialise, named, table
 from graphloom.operators.components import component_roots
 
 BUDGET = 3
@@ -60,14 +60,14 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, row, fp)``: a hash of id and text, and the fingerprint as a signed long."""
+    """``(doc_id, row, fp)``: a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(row_id, text).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(named(row_id).alias("doc_id"), F.xxhash64(named(text)).alias("row"), named(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[row_id].dataType.simpleString()}, row bigint, fp bigint")
 
 
@@ -219,10 +219,14 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     roots = component_roots(links(distinct), finish=FINISH_LINKS)
     first = (
         distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min("least").alias("least")).select(F.col("least.row").alias("__keep"))
+        .agg(F.min("least").alias("least"))
     )
-    kept = docs.withColumn("__row", F.xxhash64(row_id, text)).join(first, F.col("__row") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*docs.columns)
+    i, row, n = free_names(docs.columns, "__id", "__row", "__n")
+    first = first.select(F.col("least.doc_id").alias(i), F.col("least.row").alias(row))
+    out = docs.withColumn(n, F.xxhash64(named(text)))
+    kept = out.join(first, named(row_id).eqNullSafe(F.col(i)) & (F.col(n) == F.col(row)), "left_semi")
+    # of equal rows one is kept; those of one id share a task, at most as many as there are copies under it
+    return kept.groupBy(named(row_id).alias(i), n).agg(F.first(F.struct(*(named(c) for c in docs.columns))).alias(row)).select(f"{row}.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import extended, materialise, table
+from graphloom.llm.common import extended, free_names, map_arrow, materialise, named, table
 
 RUN = 2
 MIN_WORDS = 20
@@ -146,9 +146,9 @@ def cut(text: bytes, starts: list[int]) -> tuple[bytes, int, int, int]:
 
 
 def repeated_runs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(row, starts)``: for each document (by a hash of id and text) the sentences at which a non-first run starts."""
+    """``(id, row, starts)``: for each document (by its id and a hash of its text) the sentences at which a non-first run starts."""
     kind = docs.schema[row_id].dataType.simpleString()
-    keyed = docs.select(F.col(row_id).alias("id"), F.xxhash64(row_id, text).alias("row"), F.col(text).alias("text"))
+    keyed = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("row"), named(text).alias("text"))
     places = keyed.mapInArrow(_find, f"id {kind}, row bigint, h array<bigint>").select("id", "row", F.posexplode("h").alias("at", "h"))
     rep = materialise(
         places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "at")).alias("first")).where("n > 1"), "spans-repeated"
@@ -157,11 +157,11 @@ def repeated_runs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
     hot = materialise(top.select(F.col("h").alias("hot"), F.col("first").alias("hot_first")), "spans-hot")
     rest = rep.join(F.broadcast(hot), rep["h"] == hot["hot"], "left_anti").select(F.col("h").alias("of"), "first")
     dealt = places.join(F.broadcast(hot), places["h"] == hot["hot"], "left").withColumn(
-        "of", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("row", "at"))
+        "of", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("id", "row", "at"))
     )
     found = dealt.join(rest, "of", "left").withColumn("first", F.coalesce("hot_first", "first"))
     later = found.where(F.col("first").isNotNull() & ~F.struct("id", "row", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return later.groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,14 +169,15 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
     added = ("n_sentences", "n_removed", "words_removed")
     kept = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in kept]
-    starts = repeated_runs(docs, row_id, text).select(F.col("row").alias("__row"), F.col("starts").alias("__starts"))
-    joined = docs.select(*(F.col(f"`{n}`") for n in names), F.xxhash64(row_id, text).alias("__key")).join(starts, F.col("__key") == F.col("__row"), "left")
+    i, row, at_ = free_names(names, "__id", "__row", "__starts")
+    starts = repeated_runs(docs, row_id, text).select(F.col("id").alias(i), F.col("row").alias(row), F.col("starts").alias(at_))
+    same = named(row_id).eqNullSafe(F.col(i)) & (F.xxhash64(named(text)) == F.col(row))
+    joined = docs.select(*(named(n) for n in names)).join(starts, same, "left").select(*(named(n) for n in names), at_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text)
             texts, counts = [], []
-            for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column("__starts").to_pylist()):
+            for t, s in zip(b.column(names.index(text)).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist()):
                 if not t or not s:
                     texts.append(t)
                     counts.append((len(sentences(t)[0]) if t else 0, 0, 0))
@@ -184,11 +185,11 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
                     out, *n = cut(t, s)
                     texts.append(out)
                     counts.append(tuple(n))
-            columns = [b.column(b.schema.get_field_index(n)) for n in names]
+            columns = b.columns[: len(names)]
             columns[names.index(text)] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], names=[*names, *added])
 
-    return joined.select(*(F.col(f"`{n}`") for n in names), "__starts").mapInArrow(run, extended(kept, **dict.fromkeys(added, "long")))
+    return map_arrow(joined, run, extended(kept, **dict.fromkeys(added, "long")))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

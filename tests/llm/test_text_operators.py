@@ -393,12 +393,45 @@ def test_toxicity_learns_and_locates(spark):
     model = toxicity.train(d.where("doc_id < 600"), lab)
     out = toxicity.predict(d, model)
     got = {r["doc_id"]: r["score"] for r in out.collect()}
-    assert out.count() == len(rows) + len(ODD) and out.columns[-1] == "score" and all(0 <= x <= 1 for x in got.values())
+    assert out.count() == len(rows) + len(ODD) and out.columns[-4:] == ["score", *toxicity.FOUND] and all(0 <= x <= 1 for x in got.values())
     hit = sum((got[i] >= 0.5) == bool(t) for i, _, t in labels if i >= 600)
     assert hit / 200 > 0.97
     text = "Kan lort misse. " * 5 + "You vilify kan. Lort misse."
     assert [s for s, _ in model.locate(text)] == [5]
+    assert toxicity.sentences_of(text)[5] == "You vilify kan."
     assert got[900] == got[901] == 0.0
+    found = {r["doc_id"]: r for r in out.collect()}
+    located = collections.defaultdict(list)
+    for r in toxicity.locate_all(d.withColumnRenamed("row", "sentence"), model).collect():
+        located[r["doc_id"]].append((r["sentence_no"], r["sentence_text"]))
+    for i, t in rows:
+        mine = [(k, x) for k, x in enumerate(toxicity.sentences_of(t)) if toxicity.fold_words(x) & {"vilify", "vilified", "grubby"}]
+        assert found[i]["n_flagged"] == len(located[i]) and (not mine or found[i]["worst_sentence"] in [k for k, _ in located[i]] or found[i]["n_flagged"] == 0)
+        if i >= 600 and mine and found[i]["n_flagged"]:
+            assert set(mine) <= set(located[i])
+
+
+def test_noisy_or_against_its_definition():
+    rng = random.Random(21)
+    rows, labels = toxic_corpus(rng, 300)
+    model = toxicity.fit([t.encode() for _, t in rows], np.array([y for _, _, y in labels]))
+    score, n_flagged, worst, chance = model.judge([t.encode() for _, t in rows])
+    for k, (_, t) in enumerate(rows):
+        p = []
+        for x in toxicity.sentences_of(t):
+            logit = model.bias + sum(model.weight.get(f, 0.0) for w in toxicity.fold_words(x) for f in toxicity.features_of(w.encode()))
+            p.append(1 / (1 + math.exp(-logit)))
+        assert score[k] == pytest.approx(1 - math.prod(1 - x for x in p), abs=1e-9) and n_flagged[k] == sum(x >= 0.5 for x in p)
+        if max(p) > 1 / (1 + math.exp(-model.bias)) + 1e-9:
+            assert p[worst[k]] == pytest.approx(max(p)) and chance[k] == pytest.approx(max(p))
+
+
+def test_repeated_rows_do_not_swell_the_training_sample(spark):
+    rows, labels = toxic_corpus(random.Random(22), 60)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    once = toxicity.train(docs(spark, rows), lab)
+    many = toxicity.train(docs(spark, rows + rows[:1] * 500), lab)
+    assert once.weight == pytest.approx(many.weight)
 
 
 def test_toxicity_without_labels(spark):
@@ -476,3 +509,32 @@ def test_constant_path_is_the_viterbi_path():
             s = rng.normal(0, 2, (n, 3)) + rng.normal(0, 1, 3)
             value = lambda p: s[np.arange(n), p].sum() - 6.0 * (np.diff(p) != 0).sum()
             assert value(model.spans(s)) == pytest.approx(value(langid._viterbi(s, 6.0)))
+
+
+# names and ids
+
+
+def test_awkward_names_and_ids(spark):
+    rng = random.Random(20)
+    text, leak = prose(rng, 9, WORDS), " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(25))
+    rows = [("a", text), ("b", text), (None, text), (None, leak), ("c", leak + " " + text[:40]), ("c", leak + " " + text[:40]), ("d", None)]
+    names = ["__row", "__id", "__n", "__starts", "__leak", "a.b", "fp", "row", "__KEY"]
+    df = spark.createDataFrame([(*r, *("x" * (k + 1) for k in range(len(names)))) for r in rows], f"`doc.id` string, text string, {', '.join(f'`{n}` string' for n in names)}")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", leak, "too short", leak])], "item_id bigint, text string")
+    outs = {
+        "cut": spans.dedup(df, row_id="doc.id"), "one": simhash.keep_one(df, row_id="doc.id"), "clean": decontam.decontaminate(df, bench, row_id="doc.id"),
+    }
+    got = {k: v.collect() for k, v in outs.items()}
+    assert [len(got[k]) for k in outs] == [7, 4, 4]
+    for k, v in outs.items():
+        assert v.columns[: len(df.columns)] == df.columns or k == "cut"
+        assert all(r["__row"] == "x" and r["a.b"] == "x" * 6 and r["__leak"] == "x" * 5 for r in got[k])
+    assert {r["doc.id"]: r["text"] for r in got["cut"] if r["text"] == text} == {None: text}  # a null id sorts first
+    found = decontam.matches(df, bench, row_id="doc.id", block_items=1).collect()
+    assert collections.Counter((r["doc_id"], r["item_id"]) for r in found) == {(None, 2): 1, (None, 4): 1, ("c", 2): 2, ("c", 4): 2}
+    assert licenses.scan(df, row_id="doc.id").count() == 7 and len(simhash.components(df, row_id="doc.id").collect()) == 7
+
+
+def test_leak_words_of_other_scripts():
+    assert decontam.words_of("Größe „quoted“ — x_y") == ["größe".encode(), b"quoted", b"x", b"y"]
+    assert decontam.words_of("Plain, ASCII_text!") == [b"plain", b"ascii", b"text"] and decontam.words_of(None) == []
