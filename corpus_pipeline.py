@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import decontam, langid, mixing, simhash, spans
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import free_names, materialise, named, table
 
 #: A document whose predicted language holds less of it than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -18,8 +18,9 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those of which no language has at least half."""
     model = langid.train(docs)
-    named = langid.predict(docs, model, label="__lang", score="__score")
-    return named.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    label, score = free_names(docs.columns, "__lang", "__score")
+    found = langid.predict(docs, model, label=label, score=score)
+    return found.where((F.col(label) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(label, score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, n).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*map(named, docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
