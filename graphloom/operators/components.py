@@ -10,37 +10,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.storage import materialise
 
-#: Once so few edges are left, one task finishes them with union-find.
-FINISH_EDGES = 100_000
+#: Once so few edges are left, one task finishes them.
+FINISH_EDGES = 1_000_000
+
+
+def least_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of the vertices 0 .. n-1 the least one that the edges connect it with."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v = a[apart], b[apart]  # from now on between the labels only
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for b in batches:
-        for u, v in zip(b["u"].tolist(), b["v"].tolist()):
-            a, c = find(u), find(v)
-            if a != c:
-                parent[max(a, c)] = min(a, c)
-    if parent:
-        keys = list(parent)
-        yield pd.DataFrame({"id": keys, "hook": [find(k) for k in keys]})
-
-
-def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, finish: int | None = None) -> DataFrame:
+    held = [b[["u", "v"]].to_numpy(np.int64) for b in batches if len(b)]
+    if held:
+        ids, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"id": ids, "hook": ids[least_labels(len(ids), at[:, 0], at[:, 1])]})
+
+
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, finish: int | None = None) -> DataFrame:
     """``(node, root)`` for every end of ``edges``; the ends of an edge share a root.
 
     The root is some member of the component (not always the least). Self-loops and rows with a null

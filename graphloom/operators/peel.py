@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.storage import materialise
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import connected_components, least_labels
 from graphloom.operators.graph import symmetrise
 
 #: Width of the id ranges within which global positions are counted.
 RANGE = 1_000_000
 #: Vertices in a batch of small components.
 BATCH = 20_000
+#: A graph of at most so many vertices and edges is one batch, and its components are found there.
+ONE_BATCH = 1_000_000
 
 
 def adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,17 +63,26 @@ def peel_arrays(off: np.ndarray, adj: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def components_of(pdf: pd.DataFrame) -> np.ndarray:
-    """The component of each node, in id order."""
+    """The component (named by its least node) of each node, in id order."""
     own = pdf[pdf["d"].isna()].sort_values("s")
-    return own["component"].to_numpy(np.int64)
+    if own["component"].notna().all():
+        return own["component"].to_numpy(np.int64)
+    nodes, off, adj = adjacency(pdf)
+    return nodes[least_labels(len(nodes), np.repeat(np.arange(len(nodes)), np.diff(off)), adj)]
 
 
 def batched(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(batch, component, s, d)``: every directed edge with its component, and ``d`` null once for each vertex.
 
     Components do not interact, so small ones share a batch of about BATCH vertices (a kernel run costs far
-    more than a small component); a component of BATCH vertices or more is a batch of its own.
+    more than a small component); a component of BATCH vertices or more is a batch of its own. A small graph is one
+    batch, with null components: the kernel finds them (``components_of``).
     """
+    if vertices.count() + edges.count() <= ONE_BATCH:
+        none = F.lit(None).cast("bigint")
+        known = vertices.select(F.col("node").cast("bigint").alias("s")).distinct()
+        both = symmetrise(edges).join(known, "s", "left_semi").select("s", "d")
+        return both.unionByName(known.select("s", none.alias("d"))).select(F.lit(0).cast("bigint").alias("batch"), none.alias("component"), "s", "d")
     comp = materialise(connected_components(vertices, edges), "components")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.where(F.col("n") < BATCH).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
@@ -156,7 +167,7 @@ def densest(vertices: DataFrame, edges: DataFrame, least: int = 10) -> DataFrame
     return s.orderBy(F.desc("value"), F.desc("n")).limit(1)
 
 
-def quasi_clique(vertices: DataFrame, edges: DataFrame, least: int = 10) -> DataFrame:
+def dense_suffix(vertices: DataFrame, edges: DataFrame, least: int = 10) -> DataFrame:
     """Best suffix of more than ``least`` vertices by edge density, ties (to 1e-12) to the larger."""
     s = suffixes(vertices, edges).where((F.col("n") > least) & (F.col("n") > 1))
     s = s.withColumn("value", F.col("m") * 2.0 / (F.col("n") * (F.col("n") - 1)))
@@ -172,7 +183,3 @@ def charikar_density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def suffix_members(order: DataFrame, best: DataFrame) -> DataFrame:
     """The vertices of a best suffix."""
     return order.crossJoin(F.broadcast(best.select(F.col("pos").alias("__from")))).where("pos >= __from").select("node")
-
-
-def degeneracy(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return peel_by_component(vertices, edges).agg(F.max("core").alias("degeneracy"))

@@ -175,9 +175,15 @@ def core_numbers(spark, d):
     return cores.core_numbers(vertices(spark, d), edges(spark, d))
 
 
+@query("core_numbers_by_rounds", _sql("SELECT node, max(deg) OVER (ORDER BY pos)::BIGINT AS core FROM po", _PEEL))
+def core_numbers_by_rounds(spark, d):
+    """The way taken by graphs beyond one task."""
+    return cores.core_rounds(vertices(spark, d), edges(spark, d))
+
+
 @query("degeneracy", _sql("SELECT max(deg)::BIGINT AS degeneracy FROM po", _PEEL))
 def degeneracy(spark, d):
-    return peel.degeneracy(vertices(spark, d), edges(spark, d))
+    return cores.degeneracy(vertices(spark, d), edges(spark, d))
 
 
 _SWEEP = """cn AS MATERIALIZED (SELECT node, max(deg) OVER (ORDER BY pos)::BIGINT AS core FROM po),
@@ -219,9 +225,9 @@ def charikar_densest(spark, d):
     return peel.densest(vertices(spark, d), edges(spark, d)).withColumn("value", F.round("value", 9))
 
 
-@query("quasi_clique", _sql("SELECT pos, n::BIGINT AS n, m::BIGINT AS m, round(m * 2.0 / (n * (n - 1)), 9) AS value FROM sf WHERE n > 10 ORDER BY round(m * 2.0 / (n * (n - 1)), 12) DESC, n DESC LIMIT 1", _PEEL, _SUFFIX))
-def quasi_clique(spark, d):
-    return peel.quasi_clique(vertices(spark, d), edges(spark, d)).withColumn("value", F.round("value", 9))
+@query("dense_suffix", _sql("SELECT pos, n::BIGINT AS n, m::BIGINT AS m, round(m * 2.0 / (n * (n - 1)), 9) AS value FROM sf WHERE n > 10 ORDER BY round(m * 2.0 / (n * (n - 1)), 12) DESC, n DESC LIMIT 1", _PEEL, _SUFFIX))
+def dense_suffix(spark, d):
+    return peel.dense_suffix(vertices(spark, d), edges(spark, d)).withColumn("value", F.round("value", 9))
 
 
 @query("charikar_density", _sql("SELECT pos, n::BIGINT AS n, m::BIGINT AS m, round(m / n, 9) AS value FROM sf ORDER BY m / n DESC, n DESC LIMIT 1", _PEEL, _SUFFIX))
@@ -248,8 +254,8 @@ def fullgraph_degree_q(spark, d):
     return snapshots.snapshots(vertices(spark, d), edges(spark, d)).select("node", "q_full")
 
 
-@query("lrmc_best", _sql(f"SELECT mm.x AS node, b.nc, round(b.nc / (b.q + {EPS}), 12) AS score FROM (SELECT * FROM sn ORDER BY nc / (q + {EPS}) DESC, nc DESC, pos DESC LIMIT 1) b JOIN mm ON mm.pos = b.pos", _SNAP))
-def lrmc_best(spark, d):
+@query("energy_best", _sql(f"SELECT mm.x AS node, b.nc, round(b.nc / (b.q + {EPS}), 12) AS score FROM (SELECT * FROM sn ORDER BY nc / (q + {EPS}) DESC, nc DESC, pos DESC LIMIT 1) b JOIN mm ON mm.pos = b.pos", _SNAP))
+def energy_best(spark, d):
     s = snaps(spark, d)
     top = materialise(snapshots.best(s, snapshots.score(EPS)), "best")
     m = snapshots.members(s, top)
@@ -316,8 +322,8 @@ def calibrated_best(spark, d):
     return c.select("component", "sid", "node", "nc", "alpha", "score").orderBy(F.desc("score"), "component", "sid").limit(50)
 
 
-@query("lrmc_edge_best")
-def lrmc_edge_best(spark, d):
+@query("energy_edge_best")
+def energy_edge_best(spark, d):
     return snapshots.best_by_edge(vertices(spark, d), edges(spark, d), EPS)
 
 

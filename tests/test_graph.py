@@ -121,11 +121,11 @@ def test_known_rmc(spark, n, text, rmc):
 
 
 def test_small_rmc_cases(spark):
-    # two triangles joined by a path, and a 4-clique: 4 * 3
+    # two triangles joined by a path, and a complete graph of 4: 4 * 3
     pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (4, 6), (7, 8), (7, 9), (7, 10), (8, 9), (8, 10), (9, 10)]
     v, e = frames(spark, 12, pairs)
-    assert snapshots.rmc(snapshots.snapshots(v, e)).first()["rmc"] == 14  # seven vertices of degree two or more, against the clique's 12
-    assert peel.degeneracy(v, e).first()["degeneracy"] == 3
+    assert snapshots.rmc(snapshots.snapshots(v, e)).first()["rmc"] == 14  # seven vertices of degree two or more, against the complete's 12
+    assert cores.degeneracy(v, e).first()["degeneracy"] == 3
 
 
 def test_rmc_is_best_core_component(spark):
@@ -141,7 +141,7 @@ def test_rmc_is_best_core_component(spark):
         assert snapshots.rmc(snapshots.snapshots(v, e)).first()["rmc"] == best
 
 
-def test_clique_has_no_energy(spark):
+def test_complete_graph_has_no_energy(spark):
     v, e = frames(spark, 5, list(itertools.combinations(range(5), 2)))
     top = snapshots.best(snapshots.snapshots(v, e), snapshots.score(1.0)).first()
     assert (top["nc"], top["q"], top["score"]) == (5, 0, 5.0)
@@ -187,8 +187,8 @@ def test_distances(spark):
 
 
 def test_lambda2_of_known_graphs(spark):
-    clique = list(itertools.combinations(range(6), 2))
-    v, e = frames(spark, 6, clique)
+    complete = list(itertools.combinations(range(6), 2))
+    v, e = frames(spark, 6, complete)
     sets = v.selectExpr("7L AS set_id", "node")
     assert paths.lambda2(e, sets, "shift").first()["lambda2"] == pytest.approx(6, abs=1e-6)
     assert paths.lambda2(e, sets, "damped").first()["lambda2"] == pytest.approx(6, abs=1e-6)
@@ -205,3 +205,21 @@ def test_set_relations(spark):
     inside, outside = graph.neighbours(e, m)
     assert ({r["node"] for r in inside.collect()}, {r["node"] for r in outside.collect()}) == ({0, 1, 2}, {3})
     assert graph.simple(spark.createDataFrame([(1, 1), (2, 1), (1, 2)], "src bigint, dst bigint")).count() == 1
+
+
+@pytest.mark.parametrize("n, p, seed", GRAPHS)
+def test_cores_by_rounds(spark, monkeypatch, n, p, seed):
+    pairs = random_graph(n, p, seed)
+    v, e = frames(spark, n, pairs)
+    want = {r["node"]: r["core"] for r in cores.core_numbers(v, e).collect()}
+    assert {r["node"]: r["core"] for r in cores.core_rounds(v, e).collect()} == want
+    monkeypatch.setattr(cores, "ONE_TASK_EDGES", 0)
+    assert cores.degeneracy(v, e).first()["degeneracy"] == max(want.values())
+    for k in (1, 2, 3):
+        assert {r["node"] for r in cores.kcore(e, k).collect()} == {x for x, c in want.items() if c >= k}
+
+
+def test_kcore_of_a_long_path_is_empty(spark):
+    _, e = frames(spark, 3_000, [(i, i + 1) for i in range(2_999)])
+    assert cores.kcore(e, 2).count() == 0 and cores.kcore(e, 1).count() == 3_000
+    assert cores.kcore(e.limit(0), 1).count() == 0

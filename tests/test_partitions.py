@@ -50,7 +50,7 @@ def test_greedy_selection(spark):
 def test_selection_goes_on_until_covered(spark, monkeypatch):
     from graphloom.plans import queries
 
-    # of 4000 vertices 500 in cliques of 5, whose nested snapshots fill the head of the list
+    # of 4000 vertices 500 in complete graphs of 5, whose nested snapshots fill the head of the list
     pairs = [(5 * c + i, 5 * c + j) for c in range(100) for i in range(5) for j in range(i + 1, 5)]
     v, e = spark.range(4_000).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "src bigint, dst bigint")
     s = snapshots.snapshots(v, e)
@@ -171,4 +171,4 @@ def test_generators(spark):
 
 def test_sweep_recovers_a_planted_set(spark):
     got = {r["method"]: r["f1"] for r in generate.sweep(spark, 120, [40], [0.8], [0.02], [1, 2], eps=1e3).collect()}
-    assert got["L-RMC"] > 0.5 and got["densest"] > 0.8 and set(got) == {"L-RMC", "densest", "quasi-clique", "k-core"}
+    assert got["size-over-energy"] > 0.5 and got["densest"] > 0.8 and set(got) == {"size-over-energy", "densest", "dense-suffix", "k-core"}

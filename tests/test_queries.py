@@ -11,7 +11,7 @@ from graphloom.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 SOME = [
-    "supplier_pairs", "subgraph_density", "connected_components", "kcore_k", "core_sweep", "peel_order", "snapshot_stats", "lrmc_best",
+    "supplier_pairs", "subgraph_density", "connected_components", "kcore_k", "core_sweep", "peel_order", "snapshot_stats", "energy_best",
     "best_partition", "uncovered_singletons", "seed_rank", "charikar_density", "diameter_2sweep", "nearest_seed_owner", "compress_partition_k",
     "topk_degree_partition", "merge_tiny_clusters_one_round", "macro_f1_all", "column_profile", "upper_median", "gcn_propagate_once",
 ]
