@@ -221,6 +221,13 @@ def test_lm_against_brute_force(spark, monkeypatch):
         same = [x for x in want[r["doc_id"]] if x[0] == r["n_tokens"] and abs(x[2] - r["base_score"]) < 1e-9]
         assert same and same[0][1] == r["n_known"] and r["train_tokens"] == n and r["held_out"] == (f(r["doc_id"]) == 1)
         assert r["score"] == pytest.approx(same[0][3], rel=2e-3)  # EM works on binned ratios
+    for limit in (0, 10):  # with a step between, and groups of two blocks
+        monkeypatch.setattr(ngram_lm, "ROWS", limit)
+        monkeypatch.setattr(ngram_lm, "STEPS", 3)
+        monkeypatch.setattr(ngram_lm, "GROUP", 2)
+        again = ngram_lm.score(docs(spark, rows).repartition(3), part != 1, part == 2).collect()
+        key = lambda x: (str(x["doc_id"]), round(x["base_score"], 9), round(x["score"], 3))
+        assert sorted(map(key, again)) == sorted(map(key, out)) and {x["train_tokens"] for x in again} == {n}
     assert ngram_lm.score(docs(spark, []), part != 1, part == 2).count() == 0
     only_held_out = ngram_lm.score(docs(spark, [(1, "a b")]), F.lit(False), F.lit(False)).first()
     assert (only_held_out["train_tokens"], only_held_out["n_known"]) == (0, 0)
@@ -231,6 +238,8 @@ def test_packing_round_trip():
     x = np.sort(rng.integers(0, 1 << 56, 1_000).astype(np.uint64))
     assert (ngram_lm.unpack(ngram_lm.pack(x, True), True) == x).all()
     assert len(ngram_lm.unpack(ngram_lm.pack(x[:0], True), True)) == 0
+    y = np.exp(rng.normal(0, 8, 500))
+    assert np.allclose(ngram_lm.restored(ngram_lm.rounded(y)), y, rtol=1 / 16_000) and len(ngram_lm.restored(ngram_lm.rounded(y[:0]))) == 0
 
 
 # op4
