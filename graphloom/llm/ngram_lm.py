@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.common import fold, materialise, named, slices, table, total_chars
 
-BLOCK_BYTES = 16_000_000
-BUCKET_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
+BUCKET_BYTES = 16_000_000
 #: Rows of an exchange without a step between, and beyond it wide ranges, and blocks that are merged.
 ROWS, STEPS, GROUP = 4_000_000, 64, 64
 #: log2 buckets of context frequencies: 0 (unseen), 1, 2-3, 4-7, ...
