@@ -123,11 +123,16 @@ def runs(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hashes = [runs(sentences(t or b"")[1])[0] for t in b.column("text").cast(pa.binary()).to_pylist()]
+        hashes, counts = [], []
+        for t in b.column("text").cast(pa.binary()).to_pylist():
+            words = sentences(t or b"")[1]
+            hashes.append(runs(words)[0])
+            counts.append(len(words))
         sizes = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("row"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64()))], names=["id", "row", "h"]
+            [b.column("id"), b.column("row"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64()))],
+            names=["id", "row", "n_sentences", "h"],
         )
 
 
@@ -146,10 +151,12 @@ def cut(text: bytes, starts: list[int]) -> tuple[bytes, int, int, int]:
 
 
 def repeated_runs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, row, starts)``: for each document (by its id and a hash of its text) the sentences at which a non-first run starts."""
+    """``(id, row, n_sentences, starts)``: for each document (by its id and a hash of its text) the sentences at which a
+    non-first run starts, null where none does. The runs are written once, as arrays."""
     kind = docs.schema[row_id].dataType.simpleString()
     keyed = docs.select(named(row_id).alias("id"), F.xxhash64(named(text)).alias("row"), named(text).alias("text"))
-    places = keyed.mapInArrow(_find, f"id {kind}, row bigint, h array<bigint>").select("id", "row", F.posexplode("h").alias("at", "h"))
+    found = materialise(keyed.mapInArrow(_find, f"id {kind}, row bigint, n_sentences bigint, h array<bigint>"), "spans-runs")
+    places = found.select("id", "row", F.posexplode("h").alias("at", "h"))
     rep = materialise(
         places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "at")).alias("first")).where("n > 1"), "spans-repeated"
     )
@@ -159,9 +166,12 @@ def repeated_runs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
     dealt = places.join(F.broadcast(hot), places["h"] == hot["hot"], "left").withColumn(
         "of", F.when(F.col("hot").isNull(), F.col("h")).otherwise(F.xxhash64("id", "row", "at"))
     )
-    found = dealt.join(rest, "of", "left").withColumn("first", F.coalesce("hot_first", "first"))
-    later = found.where(F.col("first").isNotNull() & ~F.struct("id", "row", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    met = dealt.join(rest, "of", "left").withColumn("first", F.coalesce("hot_first", "first"))
+    later = met.where(F.col("first").isNotNull() & ~F.struct("id", "row", "at").eqNullSafe(F.col("first"))).select("id", "row", "at")
+    # one aggregation of a row for each document and each later place
+    every = found.select("id", "row", "n_sentences", F.lit(None).cast("int").alias("at")).unionByName(later.withColumn("n_sentences", F.lit(None).cast("bigint")))
+    out = every.groupBy("id", "row").agg(F.max("n_sentences").alias("n_sentences"), F.collect_set("at").alias("starts"))
+    return out.withColumn("starts", F.when(F.size("starts") > 0, F.sort_array("starts")))
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,18 +179,18 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
     added = ("n_sentences", "n_removed", "words_removed")
     kept = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in kept]
-    i, row, at_ = free_names(names, "__id", "__row", "__starts")
-    starts = repeated_runs(docs, row_id, text).select(F.col("id").alias(i), F.col("row").alias(row), F.col("starts").alias(at_))
+    i, row, at_, n_ = free_names(names, "__id", "__row", "__starts", "__n")
+    starts = repeated_runs(docs, row_id, text).select(F.col("id").alias(i), F.col("row").alias(row), F.col("starts").alias(at_), F.col("n_sentences").alias(n_))
     same = named(row_id).eqNullSafe(F.col(i)) & (F.xxhash64(named(text)) == F.col(row))
-    joined = docs.select(*(named(n) for n in names)).join(starts, same, "left").select(*(named(n) for n in names), at_)
+    joined = docs.select(*(named(n) for n in names)).join(starts, same, "left").select(*(named(n) for n in names), at_, n_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = [], []
-            for t, s in zip(b.column(names.index(text)).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist()):
+            for t, s, held in zip(b.column(names.index(text)).cast(pa.binary()).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()):
                 if not t or not s:
                     texts.append(t)
-                    counts.append((len(sentences(t)[0]) if t else 0, 0, 0))
+                    counts.append((held, 0, 0))
                 else:
                     out, *n = cut(t, s)
                     texts.append(out)
