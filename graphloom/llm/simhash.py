@@ -60,14 +60,14 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, row, fp)``: a hash of the text, and the fingerprint as a signed long."""
+    """``(doc_id, row, fp)``: a hash of id and text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    rows = docs.select(named(row_id).alias("doc_id"), F.xxhash64(named(text)).alias("row"), named(text).alias("text"))
+    rows = docs.select(named(row_id).alias("doc_id"), F.xxhash64(named(row_id), named(text)).alias("row"), named(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[row_id].dataType.simpleString()}, row bigint, fp bigint")
 
 
@@ -223,9 +223,11 @@ def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> Dat
     )
     i, row, n = free_names(docs.columns, "__id", "__row", "__n")
     first = first.select(F.col("least.doc_id").alias(i), F.col("least.row").alias(row))
-    out = docs.withColumn(n, F.xxhash64(named(text)))
-    kept = out.join(first, named(row_id).eqNullSafe(F.col(i)) & (F.col(n) == F.col(row)), "left_semi")
-    # of equal rows one is kept; those of one id share a task, at most as many as there are copies under it
+    out = docs.withColumn(n, F.xxhash64(named(row_id), named(text)))
+    # joined by the hash alone, so that the grouping needs no second shuffle; the ids are compared as well, as hashes may meet
+    mine, kept_id = F.struct(named(row_id)), F.struct(F.col(i))  # null ids are equal; written so that the planner makes no join key of it
+    same_id = (mine >= kept_id) & (mine <= kept_id)
+    kept = out.join(first, (F.col(n) == F.col(row)) & same_id, "left_semi")
     return kept.groupBy(named(row_id).alias(i), n).agg(F.first(F.struct(*(named(c) for c in docs.columns))).alias(row)).select(f"{row}.*")
 
 
