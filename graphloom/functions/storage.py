@@ -10,17 +10,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (local tests).
+#: Used only where the session names no folder and runs in this one process (local tests).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/graphloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a local one where none is set."""
+    """The cluster's shared checkpoint folder; in local mode, where none need be set, a local one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     active = spark.sparkContext.getCheckpointDir()
     if not active:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_FALLBACK)
         active = LOCAL_FALLBACK
     return active.rstrip("/")

@@ -276,7 +276,7 @@ def kmeans(points: DataFrame, k: int, rounds: int = 30, weight: str | None = Non
 def stratified_split(labels: DataFrame, per_class: int, n_val: int, n_test: int, seed: int = 42) -> DataFrame:
     """``(node, role)``: the first ``per_class`` of each class in hash order train; of the rest, in hash order,
     ``n_val`` validate, ``n_test`` test and the others have no role."""
-    draw = F.xxhash64(F.lit(seed), "node")
+    draw = F.md5(F.concat_ws(",", F.lit(seed), "node"))
     train = labels.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(draw, "node"))).where(F.col("k") <= per_class).select("node", F.lit("train").alias("role"))
     rest = labels.join(train.select("node"), "node", "left_anti").orderBy(draw, "node").limit(n_val + n_test)
     k = F.row_number().over(W.orderBy(draw, "node"))

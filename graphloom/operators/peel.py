@@ -24,7 +24,7 @@ RANGE = 1_000_000
 #: Vertices in a batch of small components.
 BATCH = 20_000
 #: A graph of at most so many vertices and edges is one batch, and its components are found there.
-ONE_BATCH = 1_000_000
+ONE_BATCH = 2_000_000
 
 
 def adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -452,10 +452,13 @@ def nms_coverage_select(spark, d):
 @query("weighted_kmeans")
 def weighted_kmeans(spark, d):
     e = _t(spark, d, "embeddings")
-    return partitions.kmeans(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")), 10)
+    return partitions.kmeans(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), (F.col("label") + 1).alias("w")), 10, weight="w")
 
 
-@query("stratified_split")
+@query("stratified_split", """WITH l AS (SELECT vec_id AS node, label, md5(concat_ws(',', 42, vec_id)) AS h FROM embeddings),
+t AS (SELECT node, true AS first FROM l QUALIFY row_number() OVER (PARTITION BY label ORDER BY h, node) <= 20),
+r AS (SELECT node, row_number() OVER (ORDER BY h, node) AS k FROM l WHERE node NOT IN (SELECT node FROM t))
+SELECT node, CASE WHEN first THEN 'train' WHEN k <= 100 THEN 'val' WHEN k <= 300 THEN 'test' ELSE 'none' END AS role FROM l LEFT JOIN t USING (node) LEFT JOIN r USING (node)""")
 def stratified_split(spark, d):
     e = _t(spark, d, "embeddings")
     return partitions.stratified_split(e.select(F.col("vec_id").alias("node"), "label"), 20, 100, 200)
