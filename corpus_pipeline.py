@@ -2,6 +2,10 @@
 
 ``run(spark, sf_dir)`` applies STAGES to ``documents``. All stages but the last return the columns of
 ``documents``; the last returns the mix: what it takes of each document that is left.
+
+Defined results: a row without text, or whose text has no letter, goes with the first stage, as it has no language. Repeated
+rows are one group of copies. Rows with a null id are kept or dropped by their own text. A null source is a source of
+its own. Extra columns of any name pass through to the last stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -56,7 +60,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The stages before the mix cannot be said in SQL; tests hold them against brute force.
+#: The stages before the mix cannot be said in SQL.
 ORACLE_SQL = None
 
 
