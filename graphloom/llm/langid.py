@@ -3,7 +3,7 @@
 A word's score for a language is a naive Bayes sum over its hashed character 1- to 4-grams (with word
 boundaries). The script of a word narrows the languages it may belong to. The Viterbi path over the
 words of a text, with a fixed cost for each change of language, labels its spans; the text gets the
-language that most of its letters carry.
+language that most of its letters carry. ``label_all`` gives each span its row.
 
 Everything per word runs as NumPy array operations over a slice of texts. The explicit Viterbi loop is
 only entered for texts where some run of words could pay for a switch; for the others one language
@@ -262,6 +262,27 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", label: st
     return map_arrow(docs.select(*map(named, names)), run, extended(kept, **{label: "string", score: "double"}))
 
 
+def label_all(docs: DataFrame, model: LanguageModel, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, first_word, end_word, lang)``: a row for each span of a text in one language (words from 0)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, spans = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = shared.value.label_spans(t) if t else []
+                at += [i] * len(found)
+                spans += found
+            first, end, lang = zip(*spans) if spans else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(lang, pa.string())],
+                names=["doc_id", "first_word", "end_word", "lang"],
+            )
+
+    kind = docs.schema[row_id].dataType.simpleString()
+    return map_arrow(docs.select(named(row_id), named(text)), run, f"doc_id {kind}, first_word bigint, end_word bigint, lang string")
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(fold("doc_id", 3) != 1))

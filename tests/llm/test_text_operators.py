@@ -505,11 +505,57 @@ def test_language_spans_and_odd_rows(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902, 904)) and got[905]["lang_pred"] in LANGS
     mixed = "kan lort misse the then kan lort привет мир это слово да это мир żółć łąka ćma węże się łąka"
     assert model.label_spans(mixed) == [(0, 7, "aa"), (7, 14, "cc"), (14, 20, "bb")]
+    spans_ = langid.label_all(docs(spark, [(1, mixed), (2, None), (3, "123")]), model).orderBy("first_word").collect()
+    assert [tuple(r) for r in spans_] == [(1, 0, 7, "aa"), (1, 7, 14, "cc"), (1, 14, 20, "bb")]
     assert langid.predict(docs(spark, []), model).count() == 0
     empty = langid.train(docs(spark, [(1, "text", None)]))
     assert langid.predict(d, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_language(model, text):
+    """Words, their scores, the best path and the result, one character and one path at a time."""
+    import itertools
+    import unicodedata
+
+    mask, starts = (1 << 32) - 1, [a for a, _ in langid.SCRIPT_STARTS]
+    words = ["".join(g) for inside, g in itertools.groupby(text.lower(), lambda c: unicodedata.category(c)[0] in "LM") if inside]
+    scores, letters = [], []
+    for w in words:
+        total, c = np.zeros(len(model.langs)), [32, *map(ord, w), 32]
+        for n in langid.ORDERS:
+            for i in range(len(c) - n + 1):
+                if n == 1 and i in (0, len(c) - 1):
+                    continue
+                h = c[i] * 0x9E3779B1 & mask
+                for k in range(2, n + 1):
+                    h = (h ^ c[i + k - 1] + k) * 0x85EBCA6B & mask
+                    h ^= h >> 15
+                total += model.weight[(h * 0xC2B2AE35 & mask) >> 32 - langid.BITS]
+        script = langid.SCRIPT_STARTS[max(k for k, a in enumerate(starts) if a <= ord(w[0]))][1]
+        scores.append(total / 2 - 100.0 * ~model.allowed[script])
+        letters.append(sum(unicodedata.category(x)[0] == "L" for x in w))
+    if not sum(letters):
+        return "und", 0.0
+    best = max(itertools.product(range(len(model.langs)), repeat=len(words)), key=lambda p: sum(s[k] for s, k in zip(scores, p)) - model.switch * sum(a != b for a, b in zip(p, p[1:])))
+    share = [sum(x for x, k in zip(letters, best) if k == j) for j in range(len(model.langs))]
+    top = max(range(len(share)), key=share.__getitem__)
+    own = sum(s for s, k in zip(scores, best) if k == top)
+    return model.langs[top], 1 / sum(math.exp(max(-700, min(50, x - own[top]))) for x in own) * share[top] / sum(letters)
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(LANGS[x]) for _ in range(20)), x) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    model = langid.train(docs(spark, rows))
+    texts = ["", "12 !", "kan", "the ćma 7 мир", "kan lort misse привет мир это", "żółć łąka, węże; then", "x-y zażółć", "мир the слово"]
+    for _ in range(25):
+        texts.append(" ".join(rng.choice(LANGS[rng.choice("abc") * 2]) for _ in range(rng.randint(1, 7))))
+    names, values = model.predict([t.encode() for t in texts])
+    for t, name, value in zip(texts, names, values):
+        want = brute_language(model, t)
+        assert name == want[0] and value == pytest.approx(want[1], rel=1e-6, abs=1e-9), t
+
+
 def test_constant_path_is_the_viterbi_path():
     rng = np.random.default_rng(14)
     model = langid.LanguageModel(["a", "b", "c"], np.zeros((1, 3)), np.ones((1, 3), bool), switch=6.0)
