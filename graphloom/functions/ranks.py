@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Width of an id range, and rows to a value range.
+#: Rows to a range, beyond which a table is cut into several.
 RANGE = 1_000_000
 
 
+def _ranged(df: DataFrame, value: str, rows: int) -> DataFrame:
+    """``df`` with ``__r``: the range of ``value`` that a row falls in, of about ``rows`` rows each (approximate quantiles),
+    whether the values are dense, sparse or hashed."""
+    n = df.count()
+    if n <= rows:
+        return df.withColumn("__r", F.lit(0.0))
+    parts = -(-n // rows) * 2
+    splits = sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__v", outputCol="__r")
+    return cut.transform(df.withColumn("__v", F.col(value).cast("double"))).drop("__v")
+
+
 def number(df: DataFrame, by: str, name: str, first: int = 0, width: int = RANGE) -> DataFrame:
-    """Adds ``name``: the place of each row in the order of the integer column ``by`` (distinct values), from ``first``."""
-    rows = df.withColumn("__r", F.floor(F.col(by) / width))
+    """Adds ``name``: the place of each row in the order of the number column ``by`` (distinct values), from ``first``."""
+    rows = _ranged(df, by, width)
     before = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
     before = before.select("__r", (F.sum("__n").over(W.orderBy("__r")) - F.col("__n")).alias("__b"))
     inner = F.row_number().over(W.partitionBy("__r").orderBy(by)) - 1 + first
@@ -19,18 +31,9 @@ def number(df: DataFrame, by: str, name: str, first: int = 0, width: int = RANGE
 
 
 def running_count(counts: DataFrame, value: str, count: str, name: str = "upto", rows: int = RANGE) -> DataFrame:
-    """Adds ``name`` to a table of distinct numbers and their counts: how many there are up to each.
-
-    Beyond ``rows`` values the table is cut into ranges at approximate quantiles and counted in two steps.
-    """
-    n = counts.count()
-    if n <= rows:
-        return counts.withColumn(name, F.sum(count).over(W.orderBy(value)))
-    parts = -(-n // rows) * 2
-    splits = sorted(set(counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.1 / parts)))
-    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="__v", outputCol="__r")
-    ranged = cut.transform(counts.withColumn("__v", F.col(value).cast("double")))
+    """Adds ``name`` to a table of distinct numbers and their counts: how many there are up to each, in two steps."""
+    ranged = _ranged(counts, value, rows)
     before = ranged.groupBy("__r").agg(F.sum(count).alias("__n"))
     before = before.select("__r", (F.sum("__n").over(W.orderBy("__r")) - F.col("__n")).alias("__b"))
     inner = F.sum(count).over(W.partitionBy("__r").orderBy(value))
-    return ranged.withColumn(name, inner).join(before, "__r").withColumn(name, F.col(name) + F.col("__b")).drop("__r", "__b", "__v")
+    return ranged.withColumn(name, inner).join(before, "__r").withColumn(name, F.col(name) + F.col("__b")).drop("__r", "__b")

@@ -172,3 +172,16 @@ def test_generators(spark):
 def test_sweep_recovers_a_planted_set(spark):
     got = {r["method"]: r["f1"] for r in generate.sweep(spark, 120, [40], [0.8], [0.02], [1, 2], eps=1e3).collect()}
     assert got["size-over-energy"] > 0.5 and got["densest"] > 0.8 and set(got) == {"size-over-energy", "densest", "dense-suffix", "k-core"}
+
+
+def test_numbers_within_ranges_of_sparse_ids(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import ranks
+
+    ids = [r["x"] for r in spark.range(500).select(F.xxhash64("id").alias("x")).collect()]
+    rows = spark.createDataFrame([(x,) for x in ids], "x bigint")
+    want = {x: i + 1 for i, x in enumerate(sorted(ids))}
+    for width in (7, 100, 1_000):
+        assert {r["x"]: r["k"] for r in ranks.number(rows, "x", "k", first=1, width=width).collect()} == want
+    assert ranks.number(rows.limit(0), "x", "k").count() == 0
