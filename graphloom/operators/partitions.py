@@ -159,14 +159,17 @@ def select_seeds(candidates: DataFrame, n_vertices: int, overlap: float = 0.80,
     )
 
 
-def select_snapshots(snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15) -> DataFrame:
-    """``select_seeds`` over all snapshots, best ``value`` first (ties to the lower component, then the earlier).
+def select_snapshots(
+    snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15, among: DataFrame | None = None
+) -> DataFrame:
+    """``select_seeds`` over all snapshots, best ``value`` first (ties to the lower component, then the earlier), or
+    over those of ``among``, rows of the snapshots with any further columns.
 
     Snapshots of a component are nested or apart and their members are intervals of ``tin``, so the scan needs
     no members. It is sequential by definition: the sorted list streams to the driver range by range until
     the coverage is reached, and the driver keeps the chosen intervals only.
     """
-    order = snaps.withColumn("score", value).orderBy(F.desc("score"), "component", "sid").select("component", "tin", "tout")
+    order = (snaps if among is None else among).withColumn("score", value).orderBy(F.desc("score"), "component", "sid").select("component", "tin", "tout")
     chosen: list[tuple[int, int, int, int]] = []
     # by component, ascending: the chosen intervals that lie in no other, each with all chosen ones in it
     outermost: dict[int, list[tuple[int, int, list[tuple[int, int]]]]] = {}

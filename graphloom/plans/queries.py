@@ -311,17 +311,6 @@ def seed_rank(spark, d):
     return r.join(s.select("component", "sid", "node"), ["component", "sid"]).select("rank", "node", "nc", F.round("score", 12).alias("score"))
 
 
-@query("calibrated_best")
-def calibrated_best(spark, d):
-    """Best snapshots by the calibrated score, alpha from two-sweep diameters of the low-energy candidates."""
-    s = snaps(spark, d)
-    low = materialise(snapshots.low_energy(s), "low")
-    sets = snapshots.members(s, low).select(F.xxhash64("component", "sid").alias("set_id"), "node")
-    alpha = paths.alphas(edges(spark, d), sets)
-    c = low.withColumn("set_id", F.xxhash64("component", "sid")).join(alpha, "set_id").withColumn("score", snapshots.calibrated(F.col("alpha"), 1e-6))
-    return c.select("component", "sid", "node", "nc", "alpha", "score").orderBy(F.desc("score"), "component", "sid").limit(50)
-
-
 @query("energy_edge_best")
 def energy_edge_best(spark, d):
     return snapshots.best_by_edge(vertices(spark, d), edges(spark, d), EPS)
@@ -368,11 +357,6 @@ def nearest_seed_owner(spark, d):
     return paths.owners(e, seeds, max_hops=2)
 
 
-@query("set_lambda2")
-def set_lambda2(spark, d):
-    return paths.lambda2(edges(spark, d), connected_components(vertices(spark, d), edges(spark, d)).select(F.col("component").alias("set_id"), "node"), "damped")
-
-
 # partitions
 
 
@@ -444,11 +428,6 @@ def set_overlap_jaccard(spark, d):
     return partitions.jaccard(s).withColumn("overlap", F.round("overlap", 9))
 
 
-@query("nms_coverage_select")
-def nms_coverage_select(spark, d):
-    return partitions.select_snapshots(snaps(spark, d), snapshots.score(EPS), vertices(spark, d).count())
-
-
 @query("weighted_kmeans")
 def weighted_kmeans(spark, d):
     e = _t(spark, d, "embeddings")

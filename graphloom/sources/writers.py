@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from graphloom.functions.ranks import number
 
 
+def header_edge_list(edges: DataFrame, n: int, path: str) -> None:
+    """``n m`` and a line for each pair, ids from 1. The format is one file with the header first, so one task writes it;
+    ``edge_list`` writes in parallel."""
+    pairs = edges.select(F.lit(1).alias("k"), F.concat_ws(" ", "src", "dst").alias("value"))
+    head = edges.agg(F.lit(0).alias("k"), F.concat_ws(" ", F.lit(n), F.count(F.lit(1))).alias("value"))
+    head.unionByName(pairs).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+
 
 def edge_list(edges: DataFrame, path: str) -> None:
     """Canonical pairs, one to a line."""
@@ -32,9 +39,11 @@ def clusters(partition: DataFrame, scores: DataFrame | None = None) -> DataFrame
 
 
 def clusters_json(rows: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """One JSON document with all fields that readers of such files ask for. The document is one row, so this is for
-    partitions that fit one file; larger ones are written as a table."""
-    c = F.struct("cluster_id", "score", F.col("members"), F.col("members").alias("seed_nodes"))
+    """One JSON document of ``rows(cluster_id, score, members)``, with all fields that readers of such files ask for;
+    further columns, such as a component and a snapshot, follow. The document is one row, so this is for partitions
+    that fit one file; larger ones are written as a table."""
+    more = [F.col(c) for c in rows.columns if c not in ("cluster_id", "score", "members", "k_seed", "seed_nodes")]
+    c = F.struct("cluster_id", "score", *more, F.size("members").alias("k_seed"), F.col("members"), F.col("members").alias("seed_nodes"))
     doc = rows.agg(F.array_sort(F.collect_list(c)).alias("clusters")).select(F.create_map(*(F.lit(x) for kv in (meta or {"format": "1"}).items() for x in kv)).alias("meta"), "clusters")
     doc.select(F.to_json(F.struct("meta", "clusters")).alias("value")).write.text(path)
 

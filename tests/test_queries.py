@@ -14,6 +14,8 @@ SOME = [
     "supplier_pairs", "subgraph_density", "connected_components", "kcore_k", "core_sweep", "peel_order", "snapshot_stats", "energy_best",
     "best_partition", "uncovered_singletons", "seed_rank", "charikar_density", "diameter_2sweep", "nearest_seed_owner", "compress_partition_k",
     "topk_degree_partition", "merge_tiny_clusters_one_round", "macro_f1_all", "column_profile", "upper_median", "gcn_propagate_once",
+    "header_file_edges", "plain_file_edges", "reindexed_edges", "citation_file_vertices", "cluster_file", "result_files", "seed_text_file",
+    "citation_seeds_to_pools", "set_lambda2", "calibrated_best", "nms_coverage_select", "ranked_seed_nearest_eval", "seed_sweep",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
