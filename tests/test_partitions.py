@@ -48,7 +48,7 @@ def test_greedy_selection(spark):
 
 
 def test_selection_goes_on_until_covered(spark, monkeypatch):
-    from graphloom.plans import queries
+    from graphloom.plans import queries, seeds
 
     # of 4000 vertices 500 in complete graphs of 5, whose nested snapshots fill the head of the list
     pairs = [(5 * c + i, 5 * c + j) for c in range(100) for i in range(5) for j in range(i + 1, 5)]
@@ -56,7 +56,7 @@ def test_selection_goes_on_until_covered(spark, monkeypatch):
     s = snapshots.snapshots(v, e)
     monkeypatch.setattr(queries, "vertices", lambda *_: v)
     monkeypatch.setattr(queries, "snaps", lambda *_: s)
-    got = queries.nms_coverage_select(spark, "").toPandas()
+    got = seeds.nms_coverage_select(spark, "").toPandas()
     assert got["node"].nunique() >= 600  # 15 %
 
     every = materialise(snapshots.ranked(s, snapshots.score(1e4), 4_000), "ranked")
