@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from graphloom.functions.storage import materialise, shared_dir
 
@@ -57,7 +57,7 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def extended(fields: list[StructField], **added: str) -> StructType:
+def extended(fields: list[StructField], **added: str | DataType) -> StructType:
     """A schema of these fields and the added ones."""
     out = StructType(list(fields))
     for name, kind in added.items():

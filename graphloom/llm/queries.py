@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import ann, decontam, langid, licenses, mixing, ngram_lm, simhash, spans, toxicity, webpages
+from graphloom.llm import (
+    ann, bytepair, decontam, divergence, langid, licenses, mixing, ngram_lm, simhash, spans, toxicity, turns, webpages,
+)
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": langid.op8_language_id,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_html_extraction": webpages.op10_html_extraction,
+        "op11_byte_bpe": bytepair.op11_byte_bpe,
+        "op12_turn_repair": turns.op12_turn_repair,
+        "op13_divergence": divergence.op13_divergence,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op7_license_scan": licenses.OP7_SQL}
+    return {
+        "op4_mixing": mixing.OP4_SQL,
+        "op7_license_scan": licenses.OP7_SQL,
+        "op12_turn_repair": turns.OP12_SQL,
+        "op13_divergence": divergence.OP13_SQL,
+    }
