@@ -34,9 +34,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 from graphloom.llm.common import extended, map_arrow, named, slices, table
 
 #: Text that is cut into pieces at a time, and the length beyond which a text is itself cut at white space.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 #: Pieces whose merges are remembered, and the longest that is.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+CACHE_PIECES, CACHE_BYTES = 200_000, 64
 #: New pieces that are merged together, and the rank of a pair that is no token.
 MERGE_ROWS, NO_RANK = 4_096, 2**31 - 1
 
@@ -187,14 +187,14 @@ class Merges(dict):
     def __init__(self, tokens: tuple[bytes, ...]):
         super().__init__()
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
-        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for whole, rank in self.ranks.items():
             for k in range(1, len(whole)):
                 if (a := self.ranks.get(whole[:k])) is not None and (b := self.ranks.get(whole[k:])) is not None:
                     pairs[a << 32 | b] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([*(pairs[k] for k in self.keys.tolist()), NO_RANK], np.int32)
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([*(pairs[k] for k in self.pair_keys.tolist()), NO_RANK], np.int32)
 
     def __missing__(self, piece: bytes) -> bytes:
         """Long pieces, which are not kept."""
@@ -217,9 +217,9 @@ class Merges(dict):
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of neighbours; NO_RANK if it is no token or a side is missing (negative)."""
         key = a.astype(np.int64) << 32 | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.values[at], NO_RANK) if len(self.keys) else np.full(len(a), NO_RANK, np.int32)
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK) if len(self.pair_keys) else np.full(len(a), NO_RANK, np.int32)
 
     def merged(self, part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces of similar length, and how many each has: every round merges in each piece the adjacent pair
@@ -228,7 +228,7 @@ class Merges(dict):
         width = int(size.max()) + 2  # an empty place before and at least one behind
         ids = np.full((rows, width), -1, np.int32)
         inside = np.arange(width - 1)[None, :] < size[:, None]
-        ids[:, 1:][inside] = self.bytes[np.frombuffer(b"".join(part), np.uint8)]
+        ids[:, 1:][inside] = self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]
         rank = np.full((rows, width), NO_RANK, np.int32)
         flat_ids, flat = ids.ravel(), rank.ravel()
         left = np.flatnonzero((ids[:, :-1] >= 0) & (ids[:, 1:] >= 0))
@@ -299,6 +299,11 @@ def _merges(tokens: tuple[bytes, ...]) -> Merges:
     return Merges(tokens)
 
 
+@lru_cache(2)
+def _bytes_of(tokens: tuple[bytes, ...]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array([t or None for t in tokens], pa.large_binary()), np.array([len(t) for t in tokens], np.int32)
+
+
 def encode_slice(texts: list[str], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """The ids of some texts in their order, and how many each text has."""
     parts = [windows(t) for t in texts]
@@ -350,27 +355,26 @@ def decode(rows: DataFrame, tokens: list[bytes], ids: str = "ids", out: str = "d
     schema = extended(rows.schema.fields, **{out: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array([t or None for t in shared.value], pa.large_binary())
-        size = np.array([len(t) for t in shared.value], np.int64)
         for b in batches:
-            column = b.column(at)
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
-            flat = pc.list_flatten(column)
-            ok = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(size))), False).to_numpy(zero_copy_only=False)
-            place = np.where(ok, pc.fill_null(flat, 0).to_numpy(zero_copy_only=False), 0)
-            bad = np.concatenate([[0], np.cumsum(~ok | (size[place] == 0))])
-            none = column.is_null().to_numpy(zero_copy_only=False) | (np.diff(bad[offsets]) > 0)
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False))])
             lo = 0
-            while lo < len(column):  # as many rows at a time as hold SLICE_BYTES tokens
+            while lo < b.num_rows:  # as many rows at a time as hold SLICE_BYTES tokens
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
-                own = place[offsets[lo] : offsets[hi]]
-                data = known.take(pa.array(own)).buffers()[2] if len(own) else pa.py_buffer(b"")
-                upto = np.concatenate([[0], np.cumsum(size[own])])[offsets[lo : hi + 1] - offsets[lo]]
-                mask = pa.array(~none[lo:hi]).buffers()[1]
-                made = pa.Array.from_buffers(pa.binary(), hi - lo, [mask, pa.py_buffer(upto.astype(np.int32)), data])
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, made], names=schema.names)
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined(part.column(at), offsets[lo : hi + 1] - offsets[lo])], names=schema.names)
                 lo = hi
 
+    def joined(column: pa.Array, offsets: np.ndarray) -> pa.Array:
+        known, size = _bytes_of(shared.value)
+        flat = pc.list_flatten(column)
+        ok = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(size))), False).to_numpy(zero_copy_only=False)
+        place = np.where(ok, pc.fill_null(flat, 0).to_numpy(zero_copy_only=False), 0).astype(np.int32)
+        bad = np.concatenate([[0], np.cumsum(~ok | (size[place] == 0))])
+        none = column.is_null().to_numpy(zero_copy_only=False) | (np.diff(bad[offsets]) > 0)
+        data = known.take(pa.array(place)).buffers()[2] if len(place) else pa.py_buffer(b"")
+        upto = np.concatenate([[0], np.cumsum(size[place], dtype=np.int64)])[offsets]
+        return pa.Array.from_buffers(pa.binary(), len(column), [pa.array(~none).buffers()[1], pa.py_buffer(upto.astype(np.int32)), data])
+
     return map_arrow(rows, run, schema)
 
 

@@ -21,6 +21,7 @@ columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,10 +35,10 @@ MIN_DOCS = 30
 PRIOR, SCALE = 5, 1_000_000_000
 #: Terms to a group in the result.
 TOP_TERMS = 50
-SLICE_BYTES = 4_000_000
-SHARD_ROWS = 200_000
+SLICE_BYTES = 2_000_000
+SHARD_ROWS = 100_000
 #: Memory of DuckDB in a task.
-MEMORY = "400MB"
+MEMORY = "250MB"
 
 #: What each byte is read as: letters and bytes beyond ASCII are kept, A-Z lower-cased, all else parts terms.
 _READ = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -78,16 +79,19 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY p - q DESC, term) <= {TO
 """
 
 
+@lru_cache(1)
 def _duckdb():
+    """The task's own database: one thread, bounded memory, nothing on disk."""
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
-    con.execute("SET temp_directory = ''")  # nothing on the worker's own disk
+    con.execute("SET temp_directory = ''")
     con.execute("SET preserve_insertion_order = false")
     return con
 
 
-def _asked(con, sql: str, **tables: pa.Table) -> pa.Table:
+def _asked(sql: str, **tables: pa.Table) -> pa.Table:
+    con = _duckdb()
     for name, rows in tables.items():
         con.register(name, rows)
     out = con.sql(sql).to_arrow_table()
@@ -102,7 +106,6 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     own = docs.select(*(F.coalesce(named(c).cast("string"), empty).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = _duckdb()
         schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
         for b in batches:
             for lo, hi in slices(b.column("text"), SLICE_BYTES):
@@ -113,7 +116,7 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
                 read = pa.py_buffer(data.to_pybytes().translate(_READ) if data else b"")
                 texts = pa.Array.from_buffers(pa.large_string(), len(raw), [None, offsets, read], offset=raw.offset)
                 rows = pa.table({"lang": part.column("lang"), "source": part.column("source"), "doc": pa.array(range(lo, hi)), "text": texts})
-                yield from _asked(con, _COUNT, texts=rows).cast(schema).to_batches()
+                yield from _asked(_COUNT, texts=rows).cast(schema).to_batches()
 
     found = own.mapInArrow(run, "lang string, term string, source string, n bigint, docs bigint")
     return found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -128,7 +131,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
 
     def keep(rows: pa.Table) -> pa.Table:
         first = rows.slice(0, 1)
-        out = _asked(_duckdb(), _KEEP, counts=rows.select(["term", "source", "n", "docs"]))
+        out = _asked(_KEEP, counts=rows.select(["term", "source", "n", "docs"]))
         same = {c: pa.array([first.column(c)[0].as_py()] * len(out), rows.schema.field(c).type) for c in ("lang", "shard")}
         return pa.table({"lang": same["lang"], "shard": same["shard"], "term": out.column("term").cast(pa.string()), "source": out.column("source").cast(pa.string()), "n": out.column("n").cast(pa.int64())})
 
@@ -148,7 +151,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         if not len(per):
             raise ValueError("a shard's language has no totals")
         name = per.column("lang")[0].as_py()
-        out = _asked(_duckdb(), _PARTS, counts=rows.select(["term", "source", "n"]), totals=per.select(["source", "total", "kept"]))
+        out = _asked(_PARTS, counts=rows.select(["term", "source", "n"]), totals=per.select(["source", "total", "kept"]))
         columns = {c: out.column(c).cast(pa.string()) for c in ("part", "source", "item")}
         return pa.table({"lang": pa.array([name] * len(out), pa.string()), **columns, "value": out.column("value").cast(pa.int64())})
 
