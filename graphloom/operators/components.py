@@ -42,11 +42,10 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": ids, "hook": ids[least_labels(len(ids), at[:, 0], at[:, 1])]})
 
 
-def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, finish: int | None = None) -> DataFrame:
-    """``(node, root)`` for every end of ``edges``; the ends of an edge share a root.
+def contract(edges: DataFrame, src: str, dst: str, finish: int, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """``(node, root)`` of clusters that hang together, and the edges ``(u, v)`` left between their roots: at most ``finish``.
 
-    The root is some member of the component (not always the least). Self-loops and rows with a null
-    end are ignored; an empty edge table gives an empty result.
+    Self-loops and rows with a null end are ignored.
     """
     live = materialise(
         edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b"))
@@ -57,14 +56,8 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     )
     labels = live.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
     for turn in range(max_rounds):
-        left = live.count()
-        if left == 0:
-            break
-        if left <= (FINISH_EDGES if finish is None else finish):
-            hooks = live.coalesce(1).mapInPandas(_finish, "id bigint, hook bigint")
-            labels = _relabel(labels, hooks)
-            live = live.limit(0)
-            break
+        if live.count() <= finish:
+            return labels, live
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x"))
         ends = live.select("u", rank("v").alias("r")).unionByName(live.select(F.col("v").alias("u"), rank("u").alias("r")))
         hooks = (
@@ -80,10 +73,17 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
             .select(F.least("hu", "hv").alias("u"), F.greatest("hu", "hv").alias("v")).distinct(),
             "cc-edges",
         )
-    else:
-        if live.count():
-            raise RuntimeError("connected components did not converge")
-    return labels
+    raise RuntimeError("connected components did not converge")
+
+
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, finish: int | None = None) -> DataFrame:
+    """``(node, root)`` for every end of ``edges``; the ends of an edge share a root.
+
+    The root is some member of the component (not always the least). Self-loops and rows with a null
+    end are ignored; an empty edge table gives an empty result.
+    """
+    labels, live = contract(edges, src, dst, FINISH_EDGES if finish is None else finish, max_rounds)
+    return _relabel(labels, live.coalesce(1).mapInPandas(_finish, "id bigint, hook bigint"))
 
 
 def _relabel(labels: DataFrame, hooks: DataFrame) -> DataFrame:

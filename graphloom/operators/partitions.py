@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from graphloom.functions.ranks import number
+from graphloom.functions.ranks import number, placed, running_count
 from graphloom.functions.storage import materialise
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import component_roots, connected_components
 from graphloom.operators.graph import degree, symmetrise
+from graphloom.operators.snapshots import best_above
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
@@ -134,66 +136,95 @@ def merge_tiny(edges: DataFrame, partition: DataFrame, least: int, rounds: int =
     return part
 
 
+def until_covered(free: DataFrame, first: DataFrame, enough: float) -> DataFrame:
+    """The chosen sets ``free(place, ..)`` up to the one that brings the covered vertices to ``enough``; ``first(node, place)``
+    is the first chosen set that holds a vertex."""
+    counts = free.select("place").join(first.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "place", "left").na.fill(0, ["n"])
+    before = materialise(running_count(counts, "place", "n").select("place", (F.col("upto") - F.col("n")).alias("covered")), "covered-before")
+    return before.where((F.col("covered") == 0) | (F.col("covered") < F.lit(enough))).drop("covered").join(free, "place")
+
+
 def select_seeds(candidates: DataFrame, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15) -> DataFrame:
-    """Greedy selection from ``candidates(rank, set_id, node)``: in rank order, a set is skipped if its Jaccard
+    """Greedy selection from any sets ``candidates(rank, set_id, node)``: in rank order, a set is skipped if its Jaccard
     overlap with a chosen one exceeds ``overlap``; it ends once ``coverage`` of all vertices are covered.
 
-    The scan is sequential by definition and runs in one task; give it a bounded ranked list.
+    Rivals come from a join on the members. In each round the sets that no undecided rival precedes are chosen, and their
+    rivals are out. For snapshots ``select_snapshots`` needs no members and no pairs.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[tuple[int, int, set[int]]] = []
-        covered: set[int] = set()
-        for (rank, set_id), g in pdf.groupby(["rank", "set_id"], sort=True):
-            if covered and len(covered) >= coverage * n_vertices:
-                break
-            s = set(g["node"].tolist())
-            if any((i := len(s & t)) / (len(s) + len(t) - i) > overlap for _, _, t in chosen):
-                continue
-            chosen.append((rank, set_id, s))
-            covered |= s
-        return pd.DataFrame([(r, i, v) for r, i, s in chosen for v in sorted(s)], columns=["rank", "set_id", "node"])
-
-    return candidates.select("rank", "set_id", "node", F.lit(0).alias("all")).groupBy("all").applyInPandas(
-        lambda pdf: run(pdf), "rank bigint, set_id bigint, node bigint"
-    )
+    rows = materialise(candidates.select(F.col("rank").alias("place"), "set_id", "node").distinct(), "candidates")
+    pairs = jaccard(rows.select(F.col("place").alias("set_id"), "node")).where(F.col("overlap") > overlap).select("a", "b")
+    pairs = materialise(pairs, "rivals")
+    live, chosen = materialise(rows.select("place").distinct(), "undecided"), []
+    while not live.isEmpty():
+        waits = pairs.join(live.select(F.col("place").alias("a")), "a", "left_semi").select(F.col("b").alias("place"))
+        free = materialise(live.join(waits, "place", "left_anti"), "rivals-chosen")
+        chosen.append(free)
+        out = pairs.join(free.select(F.col("place").alias("a")), "a", "left_semi").select(F.col("b").alias("place"))
+        live = materialise(live.join(free, "place", "left_anti").join(out, "place", "left_anti"), "undecided")
+    free = reduce(DataFrame.unionByName, chosen, rows.select("place").limit(0))
+    first = rows.join(free, "place", "left_semi").groupBy("node").agg(F.min("place").alias("place"))
+    kept = until_covered(materialise(free, "chosen"), materialise(first, "covered"), coverage * n_vertices)
+    return rows.join(kept, "place", "left_semi").select(F.col("place").alias("rank"), "set_id", "node")
+
+
+def heavy_paths(snaps: DataFrame) -> DataFrame:
+    """``(node, path)``: snapshots in chains in which each holds more than half of the vertices of the next larger one; the
+    chain is named by one of its snapshots' vertices."""
+    above = snaps.select(F.col("component").alias("c"), F.col("sid").alias("p"), F.col("node").alias("over"), F.col("nc").alias("size"))
+    links = snaps.join(above, (F.col("component") == F.col("c")) & (F.col("parent") == F.col("p"))).where(2 * F.col("nc") > F.col("size"))
+    roots = component_roots(links.select(F.col("node").alias("src"), F.col("over").alias("dst")))
+    named = roots.select(F.col("node").alias("of"), F.col("root"))
+    return snaps.select("node").join(named, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("path"))
+
+
+def independent(candidates: DataFrame, overlap: float) -> DataFrame:
+    """The rows of ``candidates(place, path, nc)`` that a scan in the order of ``place`` would choose.
+
+    Two sets of a path are rivals if the smaller has more than ``overlap`` of the larger's vertices, and sets of different paths
+    never are (for an overlap of half or more). A set is chosen once no rival that stands before it is undecided, and its
+    rivals are out. Sets are put in classes by size, so that rivals are in the same class or in neighbouring ones, and a class
+    has at most one chosen set a round: the first of it. A round joins each set with the first ones of three classes.
+    """
+    width = -math.log(max(overlap, 0.5)) + 1e-9
+    rows = candidates.withColumn("class", F.floor(F.log("nc") / width))
+    live = materialise(rows, "rivals")
+    chosen = []
+    rival = F.least("nc", "n2") > F.lit(overlap) * F.greatest("nc", "n2")
+    near = lambda df: df.select(F.col("path").alias("path2"), F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class2"), F.col("place").alias("place2"), F.col("nc").alias("n2"))
+    meets = (F.col("path") == F.col("path2")) & (F.col("class") == F.col("class2")) & rival
+    while not live.isEmpty():
+        first = live.groupBy("path", "class").agg(F.min_by("nc", "place").alias("nc"), F.min("place").alias("place")).select("place", "path", "nc", "class")
+        # a first one waits if any undecided rival stands before it
+        waits = live.join(near(first), meets).where("place < place2").select(F.col("place2").alias("place"))
+        free = materialise(first.join(waits, "place", "left_anti"), "rivals-chosen")
+        chosen.append(free)
+        live = materialise(live.join(near(free), meets, "left_anti"), "rivals")
+    return reduce(DataFrame.unionByName, chosen, candidates.limit(0).withColumn("class", F.lit(0).cast("bigint"))).drop("class")
 
 
 def select_snapshots(
     snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15, among: DataFrame | None = None
 ) -> DataFrame:
-    """``select_seeds`` over all snapshots, best ``value`` first (ties to the lower component, then the earlier), or
-    over those of ``among``, rows of the snapshots with any further columns.
+    """``(rank, set_id, node)``: greedy selection, best ``value`` first (ties to the lower component, then the earlier): a
+    snapshot is skipped if its Jaccard overlap with a chosen one exceeds ``overlap`` (at least a half); the list ends once
+    ``coverage`` of all vertices are covered. ``among``: rows of the snapshots, with any further columns, that take part.
 
-    Snapshots of a component are nested or apart and their members are intervals of ``tin``, so the scan needs
-    no members. It is sequential by definition: the sorted list streams to the driver range by range until
-    the coverage is reached, and the driver keeps the chosen intervals only.
+    Snapshots are nested or apart, and two that share more than half of their vertices lie on one heavy path of the forest, so
+    the scan is carried out on all paths at once, in rounds (``independent``). A vertex is covered from the least rank on of the
+    chosen snapshots above it, found by pointer doubling; the covered vertices are summed in the order of ranks.
     """
-    order = (snaps if among is None else among).withColumn("score", value).orderBy(F.desc("score"), "component", "sid").select("component", "tin", "tout")
-    chosen: list[tuple[int, int, int, int]] = []
-    # by component, ascending: the chosen intervals that lie in no other, each with all chosen ones in it
-    outermost: dict[int, list[tuple[int, int, list[tuple[int, int]]]]] = {}
-    covered = 0
-    for rank, (component, lo, hi) in enumerate(order.toLocalIterator(), 1):
-        if covered and covered >= coverage * n_vertices:
-            break
-        tops, n = outermost.setdefault(component, []), hi - lo + 1
-        at = bisect_right(tops, lo, key=lambda t: t[0]) - 1
-        if at >= 0 and tops[at][1] >= hi:  # within a chosen one
-            near = tops[at][2]
-            if any(min(hi, b) - max(lo, a) + 1 > overlap * (max(hi, b) - min(lo, a) + 1) for a, b in near):
-                continue
-            near.append((lo, hi))
-        else:
-            first, end = bisect_left(tops, lo, key=lambda t: t[0]), bisect_right(tops, hi, key=lambda t: t[0])
-            if any(b - a + 1 > overlap * n for a, b, _ in tops[first:end]):
-                continue
-            covered += n - sum(b - a + 1 for a, b, _ in tops[first:end])
-            tops[first:end] = [(lo, hi, [(lo, hi), *(x for t in tops[first:end] for x in t[2])])]
-        chosen.append((rank, component, lo, hi))
-    picked = snaps.sparkSession.createDataFrame(chosen, "rank bigint, component bigint, lo bigint, hi bigint")
-    places = picked.select("rank", "component", F.explode(F.sequence("lo", "hi")).alias("tin"))
-    return places.join(snaps.select("component", "tin", "node"), ["component", "tin"]).select("rank", F.col("rank").alias("set_id"), "node")
+    if overlap < 0.5:
+        raise ValueError("overlaps below a half are not found along heavy paths")
+    taking = (snaps if among is None else among).withColumn("score", value)
+    ranks = placed(taking.select("score", "component", "sid", "node", "nc"), "place", F.desc("score"), F.col("component"), F.col("sid"), first=1)
+    ranks = materialise(ranks.join(heavy_paths(snaps), "node").select("place", "path", "nc", "node"), "ranks")
+    free = materialise(independent(ranks.select("place", "path", "nc"), overlap).join(ranks.select("place", "node"), "place").select("place", "node"), "chosen")
+    marked = snaps.join(free.select(F.col("node").alias("maker"), "place"), F.col("node") == F.col("maker"), "left")
+    first = materialise(best_above(marked, -F.col("place")).where("best IS NOT NULL").select("node", (-F.col("best")).alias("place")), "covered")
+    kept = until_covered(free, first, coverage * n_vertices)
+    picked = kept.join(snaps.select("node", "component", "tin", "tout"), "node").select("place", "component", F.explode(F.sequence("tin", "tout")).alias("tin"))
+    members = picked.join(snaps.select("component", "tin", "node"), ["component", "tin"])
+    return members.select(F.col("place").alias("rank"), F.col("place").alias("set_id"), "node")
 
 
 def jaccard(sets: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from graphloom.functions.ranks import placed
 from graphloom.functions.storage import materialise
 from graphloom.operators.components import connected_components, least_labels
 from graphloom.operators.graph import symmetrise
 
-#: Width of the id ranges within which global positions are counted.
+#: Width of the ranges of positions within which suffixes are summed.
 RANGE = 1_000_000
 #: Vertices in a batch of small components.
 BATCH = 20_000
@@ -121,16 +122,11 @@ def peel_by_component(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def global_order(peeled: DataFrame) -> DataFrame:
     """Adds ``pos`` (from 1), the place in the peel of the whole graph.
 
-    Positions are counted within ranges of (degree, id) and the ranges' totals added up, so the order is
-    never sorted in one task.
+    The order of (degree, id, place in the component) is dealt out by ranges sampled from it, dense ids or hashed ones, and
+    positions are counted within the ranges.
     """
-    p = peeled.withColumn("range", F.floor(F.col("top_node") / RANGE))
-    total = p.groupBy("top_deg", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = total.select("top_deg", "range", (F.sum("n").over(W.orderBy("top_deg", "range")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(W.partitionBy("top_deg", "range").orderBy("top_node", "local"))
-    return p.withColumn("inner", inner).join(before, ["top_deg", "range"]).withColumn("pos", F.col("before") + F.col("inner")).select(
-        "pos", "node", "deg", "component", "local", "core"
-    )
+    p = placed(peeled, "pos", F.col("top_deg"), F.col("top_node"), F.col("local"), first=1)
+    return p.select("pos", "node", "deg", "component", "local", "core")
 
 
 def peel_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from graphloom.functions.ranks import number, running_count
+from graphloom.functions.ranks import number, placed, running_count
+from graphloom.functions.storage import materialise
 from graphloom.operators.peel import adjacency, apply_kernel, components_of, peel_arrays
 
 _SCHEMA = (
@@ -165,15 +166,6 @@ def calibrated(alpha: Column | float, eps: float | Column) -> Column:
     return F.col("nc") * (F.col("sum_deg") / F.col("nc") - alpha * F.sqrt(F.col("q") + eps))
 
 
-def rmc(snaps: DataFrame) -> DataFrame:
-    """Greatest size times least internal degree over connected sets.
-
-    At its addition a vertex has the least degree of all vertices present, so size times that degree is
-    reached by its component; and the last vertex of an optimal set sees all of the set.
-    """
-    return snaps.agg(F.coalesce(F.max(F.col("nc") * F.col("deg")), F.lit(0)).alias("rmc"))
-
-
 def best(snaps: DataFrame, value: Column) -> DataFrame:
     """The one best snapshot: ties to the larger, then the lower component, then the earlier."""
     return snaps.withColumn("score", value).orderBy(F.desc("score"), F.desc("nc"), "component", "sid").limit(1)
@@ -192,25 +184,29 @@ def uncovered(vertices: DataFrame, covered: DataFrame) -> DataFrame:
     return vertices.select("node").join(covered.select("node").distinct(), "node", "left_anti")
 
 
-def best_per_node(snaps: DataFrame, value: Column) -> DataFrame:
-    """``(node, component, sid, score, nc)``: of the snapshots that hold a vertex the best (then larger, then earlier).
+def best_above(snaps: DataFrame, key: Column) -> DataFrame:
+    """``(component, sid, node, best)``: the greatest ``key`` of a snapshot and all that hold it; null keys do not count.
 
-    A vertex's snapshots are its ancestors in the forest; the best is passed down from parents to children
-    within the component's kernel.
+    Pointer doubling over the forest: every row looks up the row of its farthest ancestor so far, takes the greater key and
+    that row's own farthest ancestor, so the number of rounds is the logarithm of the depth.
     """
-    s = snaps.select("batch", "component", "sid", "node", "parent", "nc", value.alias("score"))
+    up = F.when(F.col("parent") >= 0, F.col("parent"))
+    rows = materialise(snaps.select("component", "sid", "node", up.alias("up"), key.alias("best")), "best-above")
+    while not (rest := rows.where("up IS NOT NULL")).isEmpty():
+        above = rows.select(F.col("component").alias("c"), F.col("sid").alias("p"), F.col("up").alias("next"), F.col("best").alias("over"))
+        risen = rest.join(above, (F.col("component") == F.col("c")) & (F.col("up") == F.col("p")))
+        risen = risen.select("component", "sid", "node", F.col("next").alias("up"), F.greatest("best", "over").alias("best"))
+        rows = materialise(rows.where("up IS NULL").unionByName(risen), "best-above")
+    return rows.select("component", "sid", "node", "best")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["component", "sid"]).reset_index(drop=True)
-        key = list(zip(pdf["score"], pdf["nc"], -pdf["sid"]))
-        base = np.arange(len(pdf)) - pdf["sid"].to_numpy()  # where the component's rows begin
-        up, at = np.where(pdf["parent"] >= 0, pdf["parent"] + base, -1).tolist(), list(range(len(pdf)))
-        for i in range(len(pdf) - 1, -1, -1):
-            if up[i] >= 0 and key[at[up[i]]] > key[i]:
-                at[i] = at[up[i]]
-        return pd.DataFrame({"node": pdf["node"], "component": pdf["component"], "sid": pdf["sid"].to_numpy()[at], "score": pdf["score"].to_numpy()[at], "nc": pdf["nc"].to_numpy()[at]})
 
-    return s.groupBy("batch").applyInPandas(run, "node bigint, component bigint, sid bigint, score double, nc bigint")
+def best_per_node(snaps: DataFrame, value: Column) -> DataFrame:
+    """``(node, component, sid, score, nc)``: of the snapshots that hold a vertex the best (then larger, then earlier).
+
+    A vertex's snapshots are the one that it made and that one's ancestors in the forest.
+    """
+    best = best_above(snaps, F.struct(value.alias("score"), "nc", (-F.col("sid")).alias("later")))
+    return best.select("node", "component", (-F.col("best.later")).alias("sid"), "best.score", "best.nc")
 
 
 def best_partition(chosen: DataFrame) -> DataFrame:
@@ -235,11 +231,11 @@ def low_energy(snaps: DataFrame, share: float = 0.05, least: int = 50) -> DataFr
 
 
 def ranked(snaps: DataFrame, value: Column, limit: int | None = None) -> DataFrame:
-    """``(rank, component, sid, score, nc)``, best first; ranks over the whole table only for a bounded ``limit``."""
+    """``(rank, component, sid, score, nc)``, best first."""
     s = snaps.withColumn("score", value).select("component", "sid", "score", "nc", "tin", "tout")
     if limit is not None:
         s = s.orderBy(F.desc("score"), "component", "sid").limit(limit)
-    return s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "component", "sid")).cast("bigint"))
+    return placed(s, "rank", F.desc("score"), F.col("component"), F.col("sid"), first=1)
 
 
 def score_sweep(snaps: DataFrame, eps: list[float]) -> DataFrame:

@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from graphloom.functions.ranks import placed
 from graphloom.operators.graph import simple
 
 
 def header_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(vertices, edges)`` of a file of whitespace-separated integers: ``n m``, then m pairs; ids from 1.
+    """``(vertices, edges)`` of a stream of whitespace-separated integers: ``n m``, then m pairs; ids from 1.
 
-    Lines hold whole pairs and are read in parallel; the header is the first line. Loops and pairs out of
-    range are left out.
+    Lines may break anywhere, between the ends of a pair too. Every block of the file is read by its own task; the place of
+    a line's first token comes from the counts of the blocks before it and of the lines before it in its block. Pairs
+    that stand in one line are cut out of it; only single ends are brought together by their pair's number. Loops, pairs
+    out of range and what follows the m-th pair are left out.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), F.monotonically_increasing_id().alias("at")).where("t[0] <> ''")
-    head = lines.orderBy("at").first()
-    n = int(head["t"][0])
-    pairs = lines.where(F.col("at") != head["at"]).select(F.posexplode("t").alias("k", "a"), "t").where("k % 2 = 0")
-    pairs = pairs.select(F.expr("try_cast(a AS bigint)").alias("src"), F.expr("try_cast(get(t, k + 1) AS bigint)").alias("dst"))
-    edges = simple(pairs.where(F.col("src").between(1, n) & F.col("dst").between(1, n)), multigraph=multigraph)
-    return spark.range(1, n + 1).select(F.col("id").alias("node")), edges
+    line = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"),
+        F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"),
+    ).where(F.size("t") > 0)
+    block = line.groupBy("f", "b").agg(F.sum(F.size("t")).alias("n"))
+    block = block.select("f", "b", (F.sum("n").over(W.orderBy("f", "b")) - F.col("n")).alias("before"))  # a row for each block of the file
+    place = F.sum(F.size("t")).over(W.partitionBy("f", "b").orderBy("at")) - F.size("t")
+    line = line.withColumn("place", place).join(F.broadcast(block), ["f", "b"]).select("t", (F.col("place") + F.col("before")).alias("place"))
+    head = line.where("place < 2").select("place", F.slice("t", 1, 2).alias("t")).orderBy("place").take(2)
+    n, m = (int(x) for x in ([x for r in head for x in r["t"]] + ["0", "0"])[:2])
+    # from here on places count from the first pair's first end
+    skip = F.greatest(F.lit(0), 2 - F.col("place")).cast("int")
+    body = line.select(F.slice("t", skip + 1, F.size("t")).alias("t"), (F.greatest(F.col("place"), F.lit(2)) - 2).alias("place")).where(F.size("t") > 0)
+    odd = (F.col("place") % 2).cast("int")
+    body = body.select("t", "place", odd.alias("odd"), F.slice("t", odd + 1, F.size("t")).alias("rest"))
+    first, pairs = F.floor((F.col("place") + F.col("odd")) / 2), F.floor(F.size("rest") / 2).cast("int")
+    whole = F.transform(
+        F.filter(F.sequence(F.lit(0), pairs), lambda i: i < pairs),
+        lambda i: F.struct((first + i).alias("k"), F.get("rest", 2 * i).alias("src"), F.get("rest", 2 * i + 1).alias("dst")),
+    )
+    none = F.lit(None).cast("string")
+    before = F.struct(F.floor(F.col("place") / 2).alias("k"), none.alias("src"), F.col("t")[0].alias("dst"))
+    after = F.struct((first + pairs).alias("k"), F.element_at("t", -1).alias("src"), none.alias("dst"))
+    single = F.filter(F.array(F.when(F.col("odd") == 1, before), F.when(F.size("rest") % 2 == 1, after)), lambda x: x.isNotNull())
+    met = body.select(F.inline(single)).groupBy("k").agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
+    ends = body.select(F.inline(whole)).unionByName(met).where((F.col("k") < m) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    ends = ends.select(*(F.expr(f"try_cast({c} AS bigint)").alias(c) for c in ("src", "dst"))).where(F.col("src").between(1, n) & F.col("dst").between(1, n))
+    return spark.range(1, n + 1).select(F.col("id").alias("node")), simple(ends, multigraph=multigraph)
 
 
 def plain_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -33,10 +57,9 @@ def plain_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tup
 
 
 def dictionary(values: DataFrame, value: str, name: str = "code") -> DataFrame:
-    """``(value, code)``: distinct values numbered from 0 in sorted order, counted within ranges of their first two characters."""
-    v = values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__k", F.substring(F.col(value).cast("string"), 1, 2))
-    before = v.groupBy("__k").count().select("__k", (F.sum("count").over(W.orderBy("__k")) - F.col("count")).alias("__b"))
-    return v.join(before, "__k").select(value, (F.row_number().over(W.partitionBy("__k").orderBy(value)) - 1 + F.col("__b")).cast("bigint").alias(name))
+    """``(value, code)``: distinct values numbered from 0 in sorted order, nulls left out. Ranges are split between the values
+    themselves, so a start that all have in common makes no difference."""
+    return placed(values.select(value).where(F.col(value).isNotNull()).distinct(), name, F.col(value))
 
 
 def citation_graph(spark: SparkSession, content: str | None, cites: str) -> dict[str, DataFrame]:
