@@ -41,7 +41,8 @@ CLOSES = {
 }
 REPEAT = frozenset("p li dt dd tr td th h2 h3 h4 h5 h6 blockquote pre option".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-#: Words of class and id that name a region which is no part of the article.
+#: Words of class and id that are mostly given to regions which are no part of the article. They are no proof: a region that
+#: holds nearly all of the varying text stays (``webpages.decide``).
 NAMED_OUT = frozenset(
     "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies disqus "
     "footer masthead menu modal nav navbar navigation newsletter popup replies share sharing sidebar social sponsor sponsored "
@@ -51,11 +52,11 @@ NAMED_OUT = frozenset(
 NAMED_DOUBTFUL = frozenset("banner header notice promo related respond widget".split())
 #: Words that say a region is text of the article, whatever doubtful words stand beside them.
 NAMED_TEXT = frozenset("article body content entry main post story text work works".split())
-#: Words that leave out even an ``article``.
+#: Words that make even an ``article`` such a region.
 NAMED_NEVER = frozenset("ad ads advert advertisement comment comments sponsored".split())
 
-#: Marks of nodes.
-OUT, DOUBTFUL, MAIN, HEADING, REPEATS = 1, 2, 4, 8, 16
+#: Marks of nodes. NAMED: by a word of NAMED_OUT; WITHIN: so marked itself, or below one that is.
+OUT, DOUBTFUL, MAIN, HEADING, REPEATS, NAMED, WITHIN = 1, 2, 4, 8, 16, 32, 64
 #: Cells of a table of alignment that are held at once.
 CELLS = 1 << 22
 
@@ -82,9 +83,11 @@ def _read(tag: str, attributes: str) -> tuple[int, int]:
     words = {w for v in named for w in _WORD.split(v)}
     whole = tag in ("html", "body", "h1")
     if tag in ("article", "main"):
-        marks |= OUT if words & NAMED_NEVER else MAIN
+        marks |= NAMED if words & NAMED_NEVER else MAIN
+    elif tag not in BLOCK:  # a few words within a text: only the plain name counts
+        marks |= OUT if {w for v in named for w in v.split()} & NAMED_OUT else 0
     elif not whole and words & NAMED_OUT:
-        marks |= OUT
+        marks |= NAMED
     elif not whole and words & NAMED_DOUBTFUL and not words & NAMED_TEXT:
         marks |= DOUBTFUL
     if tag in ("h1", "hgroup"):
@@ -246,12 +249,14 @@ def _settle(t: Tree) -> None:
     """Marks go down to all below. A region named as left out that holds an ``article``, ``main`` or ``h1`` is a frame, and stays."""
     holds = [0] * len(t.parent)
     for i in range(len(t.parent) - 1, 0, -1):
-        if holds[i] or t.mark[i] & (MAIN | HEADING) and not t.mark[i] & OUT:
+        if holds[i] or t.mark[i] & (MAIN | HEADING) and not t.mark[i] & (OUT | NAMED):
             holds[t.parent[i]] = 1
     for i in range(1, len(t.parent)):
-        if t.mark[i] & (OUT | DOUBTFUL) and holds[i]:
-            t.mark[i] &= ~(OUT | DOUBTFUL)
-        t.mark[i] |= t.mark[t.parent[i]] & (OUT | DOUBTFUL | MAIN)
+        if t.mark[i] & (OUT | DOUBTFUL | NAMED) and holds[i]:
+            t.mark[i] &= ~(OUT | DOUBTFUL | NAMED)
+        if t.mark[i] & NAMED:
+            t.mark[i] |= WITHIN
+        t.mark[i] |= t.mark[t.parent[i]] & (OUT | DOUBTFUL | MAIN | WITHIN)
 
 
 class Shapes:

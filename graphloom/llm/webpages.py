@@ -11,9 +11,12 @@ slots are weighed by the characters that vary in them over all pages of the mode
   text; an ``article`` or ``main`` is the region at once if it holds half of it;
 * slots outside the region are left out, but for headings beside the way down to it; so are slots whose
   varying text stands mostly in links, outside an ``article`` or ``main``;
-* what HTML itself marks (``nav``, ``footer``, ``aside``, ``form``, ``hidden``, ...) or class, id and role name as
-  advert, comments and the like weighs nothing and is left out. A region with a doubtful name (notice,
-  banner, related, ...) is left out unless it holds most of the text.
+* what HTML itself marks (``nav``, ``footer``, ``aside``, ``form``, ``hidden``, roles, ...) weighs nothing and is left out,
+  headings in a ``header`` too;
+* class and id are no proof. A region that they name as advert, comments and the like is left out, unless the text
+  beside all such regions is less than a third of its own, headings not counted, and no ``article`` or ``main`` stands there: then the
+  name is that of the article. A region with a doubtful name (notice, banner, related, ...) is left out unless it holds most of
+  the text.
 
 A text of a page without partner in the model belongs to the slot of its next ancestor that has one.
 
@@ -48,6 +51,8 @@ LAYOUT_PAGES = 3
 DOMINANT = 0.6
 #: A slot with more of its varying characters in links than this is a menu.
 LINK_SHARE = 0.5
+#: A region named as no part of the article stays if the text beside such regions is at most this share of its own.
+BESIDE = 1 / 3
 #: Tables of models or wrappers of at most so many bytes are broadcast.
 BROADCAST_BYTES = 8_000_000
 #: Beyond it, a layout of more pages than this is dealt out by salt.
@@ -66,6 +71,39 @@ class Wrapper:
         self.model, self.keep, self.constant = model, keep, constant
 
 
+def misnamed(model: dom.Tree, unlinked: dict[int, int]) -> list[bool]:
+    """The named regions that are left out: those beside which the article stands. ``unlinked``: slot -> varying characters
+    outside links. In a region that stays, the regions within are judged in the same way."""
+    n = len(model.parent)
+    total, inner, scope, main = [0] * n, [0] * n, [0] * n, [False] * n
+    in_heading = [False] * n
+    for i in range(1, n):
+        up = model.parent[i]
+        in_heading[i] = in_heading[up] or bool(model.mark[i] & dom.HEADING)
+        scope[i] = up if model.mark[up] & dom.NAMED else scope[up]
+    for i, k in unlinked.items():
+        total[i] = 0 if in_heading[i] else k
+    for i in range(n - 1, 0, -1):
+        total[model.parent[i]] += total[i]
+    named: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if model.mark[i] & dom.NAMED:
+            named.setdefault(scope[i], []).append(i)
+            inner[scope[i]] += total[i]
+        elif model.mark[i] & dom.MAIN and not model.mark[i] & dom.OUT and total[i]:
+            main[scope[i]] = True
+    out, todo = [False] * n, [0]
+    while todo:
+        at = todo.pop()
+        beside, most = total[at] - inner[at], max((total[i] for i in named.get(at, ())), default=0)
+        for i in named.get(at, ()):
+            if main[at] or not total[i] or beside > BESIDE * total[i] or 2 * total[i] < most:
+                out[i] = True
+            else:
+                todo.append(i)
+    return out
+
+
 def decide(model: dom.Tree, varying: dict[int, tuple[int, int]]) -> list[bool]:
     """For each node of the model whether its texts are content; ``varying``: slot -> characters that vary, and those in links."""
     n = len(model.parent)
@@ -73,9 +111,13 @@ def decide(model: dom.Tree, varying: dict[int, tuple[int, int]]) -> list[bool]:
     for slot, (chars, links) in varying.items():
         linked[slot] = links > LINK_SHARE * chars
         total[slot] = 0 if linked[slot] or model.mark[slot] & dom.OUT else chars - links
+    out = misnamed(model, dict(enumerate(total)))
+    out = [o or bool(m & dom.OUT) for o, m in zip(out, model.mark)]
+    for i in range(1, n):
+        out[i] |= out[model.parent[i]]
+        total[i] = 0 if out[i] else total[i]
     for i in range(n - 1, 0, -1):
         total[model.parent[i]] += total[i]
-    out = [bool(m & dom.OUT) for m in model.mark]
     for i in range(1, n):  # doubtful names hold only for the lesser part of the text
         up = model.parent[i]
         out[i] |= out[up]
@@ -140,7 +182,7 @@ def main_text(page: str | None, wrapper: Wrapper | None = None, shapes: dom.Shap
         if not wrapper.keep[slot] or (slot, tree.key[i]) in wrapper.constant:
             continue
         if partners[i] < 0:  # no node of the model vouches for it: its own marks and links decide
-            if tree.mark[i] & dom.DOUBTFUL and not wrapper.model.mark[slot] & dom.DOUBTFUL:
+            if tree.mark[i] & ~wrapper.model.mark[slot] & (dom.DOUBTFUL | dom.WITHIN):
                 continue
             if tree.linked[i] > LINK_SHARE * tree.chars[i] and not tree.mark[i] & dom.MAIN:
                 continue

@@ -152,3 +152,32 @@ def test_tree_matching_is_maximal(cells, monkeypatch):
         for i in range(1, len(found)):
             if found[i] >= 0:
                 assert a.label[i] == b.label[found[i]] and found[a.parent[i]] == b.parent[found[i]]
+
+
+LONG = "".join(f"<p>Paragraph {i} of a long piece, with a good many words in it.</p>" for i in range(6))
+NAMES = ["comments-free-story", "social-history", "menu-essay", "share-report", "article-comments", "comments"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_does_not_leave_out_the_article(spark, name):
+    t = webpages.main_text
+    alone = t(f'<body><div class="{name}">{LONG}</div></body>')
+    assert alone.count("Paragraph") == 6
+    assert t(f'<body><div class=top><a href=/>home</a></div><h1>T</h1><div class="{name}">{LONG}</div><footer>x</footer></body>') == "T\n\n" + alone
+    rng = random.Random(name)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    parts = [[say(40) for _ in range(4)] for _ in range(8)]
+    page = '<body><div>The house</div><div class="x"><h1>Head {i}</h1><div class="{name}">{text}</div></div><div class="newsletter">Mail us</div></body>'
+    rows = [(i, f"http://n.example.com/{i}", page.format(i=i, name=name, text="".join(f"<p>{p}</p>" for p in own))) for i, own in enumerate(parts)]
+    got = extracted(spark, rows)
+    assert all(got[i] == "\n\n".join([f"Head {i}", *own]) for i, own in enumerate(parts))
+
+
+def test_a_name_leaves_out_what_stands_beside_the_article():
+    t = webpages.main_text
+    short = "<p>The article is short but it is one, with some words.</p>"
+    assert t(f"<body><div>{short * 3}</div><div class=comments>{LONG}</div></body>").count("Paragraph") == 0
+    assert t(f"<body><article>{short}</article><div id=comments>{LONG}</div></body>").count("Paragraph") == 0
+    inside = t(f'<body><div class="share-report">{LONG}<div class="comments"><p>a reader</p><p>another</p></div></div></body>')
+    assert inside.count("Paragraph") == 6 and "reader" not in inside
+    assert t('<article><p>a <span class="social-history">kept</span> <span class="ad">no</span> c</p></article>') == "a kept c"
