@@ -6,22 +6,27 @@ pieces, at least one piece of it then stands unchanged in the passage; every exa
 by a rolling hash, and the passage around it is verified with Myers' bit-parallel edit distance, one bit
 for each word of the item.
 
-The test set is the stated query set: it is read in blocks of at most ``BLOCK_ITEMS`` items, and all blocks are held
-against all documents in one scan, so neither side is shuffled. A task holds about ``HELD_BYTES`` of text and goes
-through the blocks one after the other, so no block outgrows it. The packed blocks are broadcast; a test set of more
-than ``SCAN_BYTES`` packed takes another scan for each so many.
-
-Defined results: null and empty texts match nothing. Items of fewer than ``MIN_ITEM_WORDS`` words tell
-nothing and are left out. Of overlapping passages that match one item, the one with the fewest edits is
-reported (the first of equals). Repeated rows are reported for each row; repeated items for each item id.
+A piece that many items share (a prompt that they open with) is not looked up for each of them. Of any k + 3 other words of the
+item at least 3 must stand unchanged as well, so such an item is filed under the piece together with each of its k + 3 words
+that fewest items have; a text that holds the piece asks with its own words and gets the items that it can match.
+
+The test set is the stated query set: it is read in blocks, and packed blocks of up to ``SCAN_BYTES`` are broadcast and held
+against all documents in one scan, so neither side is shuffled. A Python worker prepares them once for all its tasks, and a
+text is cut into words once for all items. A larger test set takes another scan for each so many bytes.
+
+Defined results: null and empty texts match nothing, nor do items without a word. Items of so few words that no edit is
+allowed (fewer than 5) match where they stand exactly. Of overlapping passages that match one item, the one with the fewest
+edits is reported (the first of equals). Repeated rows are reported for each row; repeated items for each item id.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -32,11 +37,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from graphloom.llm.common import free_names, map_arrow, named, slices, table
 
 SIMILARITY = 0.8
-MIN_ITEM_WORDS = 5
 BLOCK_ITEMS = 5_000
 SLICE_BYTES = 4_000_000
-#: Text that a task holds while it goes through several blocks, and packed items to a scan.
-HELD_BYTES, SCAN_BYTES = 64_000_000, 200_000_000
+#: Packed items to a scan.
+SCAN_BYTES = 50_000_000
+#: A piece of more items than this is looked up together with another word.
+SHARED = 8
+#: So many words beside a shared piece must stand unchanged too (fewer if the item has fewer than its budget and these).
+WITNESSES = 3
+#: Items whose bits are kept for the verification.
+KEPT_ITEMS = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -92,25 +102,54 @@ def bits_of(symbols: list[int]) -> dict[int, int]:
 
 
 class Matcher:
-    """The pieces of a block of items, ready to be held against texts."""
+    """The pieces of items, ready to be held against texts."""
 
-    def __init__(self, items: list[tuple[object, str]], similarity: float = SIMILARITY, min_words: int = MIN_ITEM_WORDS):
+    def __init__(self, items: Iterable[tuple[object, str]], similarity: float = SIMILARITY):
         self.vocab: dict[bytes, int] = {}
-        self.items = []
-        rows = []
+        self.ids: list[object] = []
+        words, size, rows = array("i"), [0], []
         for item_id, text in items:
             w = words_of(text)
-            if len(w) < min_words:
+            if not w:
                 continue
             ids = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w]
-            k = budget(len(w), similarity)
-            for a, b in pieces(len(w), k):
-                rows.append((b - a, self._hash(np.array(ids[a:b], np.uint64), b - a)[0], len(self.items), a))
-            self.items.append((item_id, len(w), k, bits_of(ids), bits_of(ids[::-1])))
-        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for a, b in pieces(len(w), budget(len(w), similarity)):
+                rows.append((b - a, self._hash(np.array(ids[a:b], np.uint64), b - a)[0], len(self.ids), a))
+            self.ids.append(item_id)
+            words.extend(ids)
+            size.append(len(words))
+        self.words, self.first, self.similarity = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32), size, similarity
+        self.kept: dict[int, tuple] = {}
+        many = np.bincount(self.words, minlength=len(self.vocab) + 1)
+        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in {r[0] for r in rows}:
             own = sorted((r[1:] for r in rows if r[0] == n), key=lambda r: r[0])
-            self.by_len[n] = (np.array([r[0] for r in own], np.uint64), np.array([r[1] for r in own]), np.array([r[2] for r in own]))
+            keys, item, offset = np.array([r[0] for r in own], np.uint64), np.array([r[1] for r in own]), np.array([r[2] for r in own])
+            self.by_len[n] = keys, item, offset, *self._filed(n, keys, item, offset, many)
+
+    def _filed(self, n: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of shared pieces ``(first row << 32 | word, row)``, sorted, and for each row how many of its words must be found."""
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        need, pairs = np.zeros(len(keys), np.int64), []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            for r in range(lo, hi) if hi - lo > SHARED else ():
+                w = self.words[self.first[item[r]] : self.first[item[r] + 1]]
+                k = budget(len(w), self.similarity)
+                rest = np.concatenate([w[: offset[r]], w[offset[r] + n :]])
+                if len(rest) > k:
+                    need[r] = min(WITNESSES, len(rest) - k)
+                    pairs += [(lo << 32 | x, r) for x in rest[np.argsort(many[rest], kind="stable")[: k + need[r]]].tolist()]
+        pairs.sort()
+        return np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64), need
+
+    def _item(self, i: int) -> tuple[object, int, int, dict[int, int], dict[int, int]]:
+        """Id, words, budget, and the bits of the words forward and backward."""
+        if i not in self.kept:
+            if len(self.kept) >= KEPT_ITEMS:
+                self.kept.clear()
+            w = self.words[self.first[i] : self.first[i + 1]].tolist()
+            self.kept[i] = self.ids[i], len(w), budget(len(w), self.similarity), bits_of(w), bits_of(w[::-1])
+        return self.kept[i]
 
     @staticmethod
     def _hash(ids: np.ndarray, n: int) -> np.ndarray:
@@ -119,10 +158,10 @@ class Matcher:
             h = h * _STEP + ids[i : len(ids) - n + 1 + i] + np.uint64(1)
         return h ^ h >> np.uint64(29)
 
-    def _found(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each piece length: places of exact hits, their ranges among the pieces, and the pieces' items and offsets."""
+    def _found(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each piece length: places of exact hits, and their ranges among the pieces."""
         run = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, (keys, item, offset) in self.by_len.items():
+        for n, (keys, *_) in self.by_len.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(run[n:] - run[:-n] == n)  # only where all words occur in some item
@@ -132,17 +171,29 @@ class Matcher:
             h ^= h >> np.uint64(29)
             lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             hit = hi > lo
-            yield at[hit], lo[hit], hi[hit], item, offset
+            yield n, at[hit], lo[hit], hi[hit]
 
     def hit_places(self, ids: np.ndarray) -> np.ndarray:
         """Places of exact piece hits."""
-        return np.concatenate([np.zeros(0, np.int64), *(f[0] for f in self._found(ids))])
+        return np.concatenate([np.zeros(0, np.int64), *(f[1] for f in self._found(ids))])
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """``(item, supposed start of the item)`` of every exact piece hit; start may lie before the text."""
-        for at, lo, hi, item, offset in self._found(ids):
+        """``(item, supposed start of the item)`` of every exact piece hit that can be a match; start may lie before the text."""
+        here = None
+        for n, at, lo, hi in self._found(ids):
+            _, item, offset, filed, rows, need = self.by_len[n]
+            asked: dict[int, list[int]] = {}
             for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                for r in range(a, b):
+                if a not in asked:
+                    if b - a <= SHARED:
+                        asked[a] = list(range(a, b))
+                    else:
+                        here = np.unique(ids[ids > 0]).astype(np.int64) if here is None else here
+                        key = here | a << 32
+                        left, right = np.searchsorted(filed, key, "left"), np.searchsorted(filed, key, "right")
+                        got = np.bincount(np.concatenate([rows[x:y] for x, y in zip(left, right) if y > x] or [rows[:0]]) - a, minlength=b - a)
+                        asked[a] = (a + np.flatnonzero(got >= need[a:b])).tolist()
+                for r in asked[a]:
                     yield int(item[r]), p - int(offset[r])
 
     def match(self, ids: np.ndarray) -> list[tuple[object, int, int, int]]:
@@ -152,7 +203,7 @@ class Matcher:
             around.setdefault(item, []).append(start)
         out = []
         for item, starts in around.items():
-            item_id, m, k, forward, backward = self.items[item]
+            item_id, m, k, forward, backward = self._item(item)
             places = sorted(set(starts))
             spans: list[list[int]] = []
             for s in places:  # windows that touch are verified together
@@ -204,29 +255,15 @@ def scans(items: DataFrame, item_id: str, item_text: str, block_items: int) -> I
         yield group
 
 
-def _each(shared, similarity: float, batches: Iterator[pa.RecordBatch], text_at: int, use: Callable) -> Iterator[list]:
-    """Batches in lots, each with what ``use(batch, row, passages)`` gave for its hits with all blocks."""
-    alone = Matcher(pickle.loads(zlib.decompress(shared.value[0])), similarity) if len(shared.value) == 1 else None
+_READY: dict[str, Matcher] = {}
 
-    def lots() -> Iterator[list[pa.RecordBatch]]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.column(text_at).nbytes
-            if alone or size >= HELD_BYTES:
-                yield held
-                held, size = [], 0
-        if held:
-            yield held
 
-    for lot in lots():
-        out = [(b, []) for b in lot]
-        for packed in shared.value:
-            m = alone or Matcher(pickle.loads(zlib.decompress(packed)), similarity)
-            for b, got in out:
-                for i, own in passages(m, b.column(text_at)):
-                    got += use(b, i, own)
-        yield out
+def _ready(name: str, shared, similarity: float) -> Matcher:
+    """The matcher of a scan, prepared once in a Python worker."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = Matcher((x for packed in shared.value for x in pickle.loads(zlib.decompress(packed))), similarity)
+    return _READY[name]
 
 
 def matches(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -240,11 +277,12 @@ def matches(docs: DataFrame, items: DataFrame, row_id: str = "doc_id", text: str
     for group in scans(items, item_id, item_text, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(group)  # at most SCAN_BYTES and one block
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for lot in _each(shared, similarity, batches, 1, lambda b, i, own: [(b.column(0)[i].as_py(), *x) for x in own]):
-                for b, found in lot:
-                    kinds = pa.schema([("doc_id", b.column(0).type), ("item_id", to_arrow_type(item_kind)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found], schema=kinds)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _ready(name, shared, similarity)
+            for b in batches:
+                found = [(b.column(0)[i].as_py(), *x) for i, own in passages(matcher, b.column(1)) for x in own]
+                kinds = pa.schema([("doc_id", b.column(0).type), ("item_id", to_arrow_type(item_kind)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in found], schema=kinds)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -260,12 +298,12 @@ def contaminated(docs: DataFrame, items: DataFrame, flag: str, text: str = "text
     for group in scans(items, item_id, item_text, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(group)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for lot in _each(shared, similarity, batches, names.index(text), lambda b, i, own: [i] if own else []):
-                for b, found in lot:
-                    leak = np.array(b.column(len(names)).to_pylist(), bool)
-                    leak[found] = True
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leak)], names=[*names, flag])
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            matcher = _ready(name, shared, similarity)
+            for b in batches:
+                leak = np.array(b.column(len(names)).to_pylist(), bool)
+                leak[[i for i, own in passages(matcher, b.column(names.index(text))) if own]] = True
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leak)], names=[*names, flag])
 
         out = map_arrow(out, run, schema)
     return out
