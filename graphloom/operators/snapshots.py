@@ -200,6 +200,23 @@ def best_above(snaps: DataFrame, key: Column) -> DataFrame:
     return rows.select("component", "sid", "node", "best")
 
 
+def least_members(snaps: DataFrame) -> DataFrame:
+    """``(component, sid, least)``: the least vertex of every snapshot.
+
+    Doubling the other way: after j rounds a row knows the least vertex of the snapshots less than 2^j steps below it, and is
+    told, as one minimum, what those 2^j steps below know.
+    """
+    up = F.when(F.col("parent") >= 0, F.col("parent"))
+    rows = materialise(snaps.select("component", "sid", up.alias("up"), F.col("node").alias("least")), "least")
+    while not (rest := rows.where("up IS NOT NULL")).isEmpty():
+        told = rest.groupBy(F.col("component").alias("c"), F.col("up").alias("p")).agg(F.min("least").alias("below"))
+        above = rows.select(F.col("component").alias("c2"), F.col("sid").alias("p2"), F.col("up").alias("next"))
+        known = rows.join(told, (F.col("component") == F.col("c")) & (F.col("sid") == F.col("p")), "left")
+        known = known.join(above, (F.col("component") == F.col("c2")) & (F.col("up") == F.col("p2")), "left")
+        rows = materialise(known.select("component", "sid", F.col("next").alias("up"), F.least("least", "below").alias("least")), "least")
+    return rows.select("component", "sid", "least")
+
+
 def best_per_node(snaps: DataFrame, value: Column) -> DataFrame:
     """``(node, component, sid, score, nc)``: of the snapshots that hold a vertex the best (then larger, then earlier).
 

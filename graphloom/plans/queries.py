@@ -359,6 +359,17 @@ def stream_peaks(spark, d):
     return spark.table(name).select("component", "nc", F.round("score", 12).alias("score"))
 
 
+@query("stream_peaks_keyed", _sql(_PEAK_ROWS, _SNAP, _CC, _PEAK))
+def stream_peaks_keyed(spark, d):
+    """The peaks from a stream in several files, one to a batch, by keyed state, written batch by batch."""
+    s = snaps(spark, d)
+    path = f"{shared_dir(spark)}/peaks_{uuid.uuid4().hex}"
+    s.repartition(4, "sid").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    peaks.follow(stream, EPS, f"{path}/out", f"{path}/state").awaitTermination()
+    return peaks.latest(spark, f"{path}/out").select("component", "nc", F.round("score", 12).alias("score"))
+
+
 # distances
 
 

@@ -151,25 +151,34 @@ b2(pos, node, dist) AS (SELECT pos, node, 0 FROM f1 UNION SELECT b2.pos, ie.d, d
 dm AS MATERIALIZED (SELECT pos, max(dist)::DOUBLE AS alpha FROM (SELECT pos, node, min(dist) AS dist FROM b2 GROUP BY ALL) GROUP BY pos)"""
 
 
-def _lambda2(sets: str) -> str:
-    """``l2(set_id, lambda2)`` of ``sets``, a query of set_id and node, by the same damped power iteration."""
-    step = "x[i] - (len(adj[i]) * x[i] - coalesce(list_sum(list_transform(adj[i], lambda j: x[j])), 0)) / (dmax + 1)"
-    lap = "x[i] * (len(adj[i]) * x[i] - coalesce(list_sum(list_transform(adj[i], lambda j: x[j])), 0))"
+def _lambda2(sets: str, variant: str = "damped") -> str:
+    """``l2(set_id, lambda2)`` of ``sets``, a query of set_id and node, by the same power iteration."""
+    near = "len(adj[i]) * x[i] - coalesce(list_sum(list_transform(adj[i], lambda j: x[j])), 0)"
+    damped = variant == "damped"
+    step = f"x[i] - ({near}) / (dmax + 1)" if damped else f"(2 * dmax + 1) * x[i] - ({near})"
+    rounds, floor = ("greatest(40, least(200, 20 + 2 * n))", "1e-3") if damped else ("30", "1e-12")
+    lap = f"x[i] * ({near})"
 
     def unit(inner: str) -> str:
         centred = f"SELECT * EXCLUDE (y), list_transform(y, lambda v: v - list_avg(y)) AS z FROM ({inner})"
         return f"SELECT set_id, k, list_transform(z, lambda v: v / sqrt(list_sum(list_transform(z, lambda u: u * u)))) AS x FROM ({centred}) WHERE list_sum(list_transform(z, lambda u: u * u)) > 0"
 
     start = "SELECT set_id, 0 AS k, list_transform(range(1, n + 1), lambda i: sin(i * 12.9898) * 43758.5453 - floor(sin(i * 12.9898) * 43758.5453) - 0.5) AS y FROM lg WHERE n > 1"
-    then = f"SELECT pw2.set_id, k + 1 AS k, list_transform(range(1, n + 1), lambda i: {step}) AS y FROM pw2 JOIN lg USING (set_id) WHERE k < greatest(40, least(200, 20 + 2 * n))"
+    then = f"SELECT pw2.set_id, k + 1 AS k, list_transform(range(1, n + 1), lambda i: {step}) AS y FROM pw2 JOIN lg USING (set_id) WHERE k < {rounds}"
     return f"""l0 AS MATERIALIZED (SELECT set_id, node, row_number() OVER (PARTITION BY set_id ORDER BY node) AS i FROM ({sets})),
 la AS (SELECT a.set_id, a.i, coalesce(list(b.i ORDER BY b.i) FILTER (WHERE b.i IS NOT NULL), []) AS nb FROM l0 a LEFT JOIN sym ON s = a.node LEFT JOIN l0 b ON b.node = d AND b.set_id = a.set_id GROUP BY ALL),
 lg AS MATERIALIZED (SELECT set_id, count(*) AS n, list(nb ORDER BY i) AS adj, max(len(nb)) AS dmax FROM la GROUP BY set_id),
 pw2(set_id, k, x) AS ({unit(start)} UNION ALL {unit(then)}),
-l2 AS MATERIALIZED (SELECT lg.set_id, greatest(1e-3, coalesce(list_sum(list_transform(range(1, n + 1), lambda i: {lap})), 0)) AS lambda2
+l2 AS MATERIALIZED (SELECT lg.set_id, greatest({floor}, coalesce(list_sum(list_transform(range(1, n + 1), lambda i: {lap})), 0)) AS lambda2
  FROM lg LEFT JOIN (SELECT set_id, arg_max(x, k) AS x FROM pw2 GROUP BY set_id) USING (set_id))"""
 
 
+@query("set_lambda2_shift", q._sql("SELECT set_id, round(lambda2, 6) AS lambda2 FROM l2", q._CC, _lambda2("SELECT component AS set_id, node FROM cc", "shift")))
+def set_lambda2_shift(spark, d):
+    parts = q.components(spark, d).select(F.col("component").alias("set_id"), "node")
+    return _rounded(paths.lambda2(q.edges(spark, d), parts, "shift"), 6, "lambda2")
+
+
 @query("set_lambda2", q._sql("SELECT set_id, round(lambda2, 6) AS lambda2 FROM l2", q._CC, _lambda2("SELECT component AS set_id, node FROM cc")))
 def set_lambda2(spark, d):
     parts = q.components(spark, d).select(F.col("component").alias("set_id"), "node")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import ranks
-from graphloom.operators import cores, partitions, regions, snapshots
+from graphloom.operators import cores, partitions, paths, regions, snapshots
 from graphloom.sources import readers
 
 
@@ -182,3 +182,56 @@ def test_pairs_that_break_over_lines(spark, tmp_path):
     (tmp_path / "empty").write_text("\n")
     v, e = readers.header_edges(spark, str(tmp_path / "empty"))
     assert v.count() == e.count() == 0
+
+
+def hops(near, inside, start):
+    dist, todo = {start: 0}, [start]
+    for v in todo:
+        for w in near[v]:
+            if w in inside and w not in dist:
+                dist[w] = dist[v] + 1
+                todo.append(w)
+    top = max(dist.values())
+    return top, min(v for v in dist if dist[v] == top)
+
+
+def test_diameters_of_many_sets_at_once(spark, monkeypatch):
+    monkeypatch.setattr(paths, "LEVELS", 3)
+    n, rng = 70, random.Random(15)
+    pairs = [*((i, i + 1) for i in range(24)), *clustered(rng, n, 0.04)]
+    v, e = frames(spark, n, pairs)
+    e = e.where("src <> dst")
+    near = {x: set() for x in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    snaps = snapshots.snapshots(v, e).cache()
+    rows = snaps.collect()
+    held = {r["node"]: {x["node"] for x in rows if x["component"] == r["component"] and r["tin"] <= x["tin"] <= r["tout"]} for r in rows}
+    want = {k: hops(near, s, hops(near, s, min(s))[1])[0] for k, s in held.items()}
+    assert {r["set_id"]: r["diameter"] for r in paths.snapshot_diameters(e, snaps, snaps).collect()} == want
+    assert {(r["component"], r["sid"]): r["least"] for r in snapshots.least_members(snaps).collect()} == {(r["component"], r["sid"]): min(held[r["node"]]) for r in rows}
+    some = [k for k in held if len(held[k]) in (1, 2, 5, 9, 25, 40)]
+    sets = spark.createDataFrame([(k, x) for k in some for x in held[k]], "set_id bigint, node bigint")
+    assert {r["set_id"]: r["diameter"] for r in paths.diameters(e, sets).collect()} == {k: want[k] for k in some}
+    assert paths.diameters(e, sets.limit(0)).count() == 0
+    dist = {r["node"]: r["dist"] for r in paths.bfs(v, e, v.where("node = 0")).collect()}
+    full = {0: 0}
+    todo = [0]
+    for x in todo:
+        for w in sorted(near[x]):
+            if w not in full:
+                full[w] = full[x] + 1
+                todo.append(w)
+    assert dist == {x: full.get(x, -1) for x in range(n)}
+    snaps.unpersist()
+
+
+def test_connectivity_of_sets_beyond_a_task(spark):
+    """Rounds over spread-out vectors against the one-task iteration: a clique, a path, one vertex, two vertices without an edge."""
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)] + [(10, 11), (11, 12), (12, 13)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    sets = spark.createDataFrame([(1, x) for x in range(5)] + [(2, x) for x in range(10, 14)] + [(3, 20), (4, 30), (4, 31)], "set_id bigint, node bigint")
+    one = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, "shift").collect()}
+    many = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, "shift", one_task=4).collect()}
+    assert many == pytest.approx(one) and one[1] == pytest.approx(5, abs=1e-6)

@@ -67,11 +67,34 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):  # three files, so several batches
         df.where(F.col("sid") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     want = {r["component"]: (r["sid"], r["nc"]) for r in snapshots.peak_per_component(df, snapshots.score(1.0)).collect()}
-    for name, track, mode in (("built", peaks.track_peaks, "complete"), ("state", peaks.track_peaks_stateful, "update")):
-        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = track(stream, 1.0).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = peaks.track_peaks(stream, 1.0).writeStream.outputMode("complete").format("memory").queryName("built").option("checkpointLocation", str(tmp_path / "built")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    best = {}
+    for r in spark.table("built").collect():
+        best[r["component"]] = max(best.get(r["component"], (-1.0,)), (r["score"], r["nc"], -r["sid"]))
+    assert {c: (-b[2], b[1]) for c, b in best.items()} == want
+
+
+def test_keyed_state_is_kept_over_a_restart(spark, tmp_path):
+    rows = [(c if c else None, s, s + 1, (s * 7 + (c or 0)) % 5) for c in range(4) for s in range(9)]
+    df = spark.createDataFrame([*rows, (9, 1, None, 1), (9, 2, 5, None), (8, 0, 1, 0)], "component bigint, sid bigint, nc bigint, q bigint")
+    files, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run(part):
+        df.where(part).coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(files)
+        peaks.follow(stream, 1.0, out, state).awaitTermination()
+        return {r["component"]: (r["sid"], r["nc"], r["score"]) for r in peaks.latest(spark, out).collect()}
+
+    def want(part):
         best = {}
-        for r in spark.table(name).collect():
-            best[r["component"]] = max(best.get(r["component"], (-1.0,)), (r["score"], r["nc"], -r["sid"]))
-        assert {c: (-b[2], b[1]) for c, b in best.items()} == want
+        for c, s, nc, q in (r for r in rows if part(r[1])):
+            if nc > 1:
+                best[c] = max(best.get(c, (-1.0,)), (nc / (q + 1.0), nc, -s))
+        return {c: (-b[2], b[1], b[0]) for c, b in best.items()}
+
+    assert run("sid < 4") == want(lambda s: s < 4)
+    assert run("sid >= 4 AND sid < 7") == want(lambda s: s < 7)  # another query, from the same checkpoint
+    assert run("sid >= 7") == want(lambda s: True)
+    assert run("false") == want(lambda s: True)
