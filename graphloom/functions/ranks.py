@@ -55,3 +55,12 @@ def placed(df: DataFrame, name: str, *by: Column, first: int = 0) -> DataFrame:
     before = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min(inside).alias("__0"))
     before = before.select("__p", "__0", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n") + first).alias("__b"))  # a row for each range
     return rows.join(F.broadcast(before), "__p").withColumn(name, (inside - F.col("__0") + F.col("__b")).cast("bigint")).drop("__p", "__i", "__0", "__b")
+
+
+def running(df: DataFrame, amount: str, name: str, *by: Column) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over all rows up to each in the order of ``by`` (distinct), dealt out as in ``placed``."""
+    rows = materialise(df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()), "running")
+    before = rows.groupBy("__p").agg(F.sum(amount).alias("__n"))
+    before = before.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row for each range
+    inner = F.sum(amount).over(W.partitionBy("__p").orderBy(*by))
+    return rows.withColumn(name, inner).join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__b")).drop("__p", "__b")

@@ -90,10 +90,13 @@ def target_count(n: int, ratio: float) -> int:
 
 def compress(edges: DataFrame, partition: DataFrame, k: int) -> DataFrame:
     """At most ``k`` clusters: the k largest stay (ties to the lower id), each other joins the kept cluster
-    with which it has most edges, ties and clusters without such edges going to the greatest kept id."""
+    with which it has most edges, ties and clusters without such edges going to the greatest kept id. What stays is numbered
+    from 0 in the order of the ids, unless the ids already ended below ``k``."""
     sizes = partition.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     kept = materialise(sizes.orderBy(F.desc("size"), "cluster_id").limit(k).select("cluster_id"), "kept")
     top = kept.agg(F.max("cluster_id").alias("top"))
+    numbers = kept.select(F.col("cluster_id").alias("to"), (F.row_number().over(W.orderBy("cluster_id")) - 1).cast("bigint").alias("place"))  # k rows
+    ends = sizes.agg(F.max("cluster_id").alias("end"))
     w = cluster_edges(edges, partition)
     sym = w.select("cu", "cv", "weight").unionByName(w.select(F.col("cv").alias("cu"), F.col("cu").alias("cv"), "weight"))
     near = sym.join(kept, sym["cv"] == kept["cluster_id"], "left_semi")
@@ -101,6 +104,8 @@ def compress(edges: DataFrame, partition: DataFrame, k: int) -> DataFrame:
     stay = kept.withColumn("stays", F.lit(True))
     move = sizes.select("cluster_id").join(stay, "cluster_id", "left").join(best, "cluster_id", "left").crossJoin(F.broadcast(top))
     move = move.select("cluster_id", F.when(F.col("stays"), F.col("cluster_id")).otherwise(F.coalesce("to", "top")).alias("to"))
+    move = move.join(F.broadcast(numbers), "to").crossJoin(F.broadcast(ends))
+    move = move.select("cluster_id", F.when(F.col("end") < k, F.col("to")).otherwise(F.col("place")).alias("to"))
     return partition.join(move, "cluster_id").select("node", F.col("to").alias("cluster_id"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -341,9 +342,21 @@ def seed_rank(spark, d):
     return r.join(s.select("component", "sid", "node"), ["component", "sid"]).select("rank", "node", "nc", F.round("score", 12).alias("score"))
 
 
-@query("energy_edge_best")
+# every step of the replay (a vertex, or one more of its edges) with the set that it makes, by definition
+_STEPS = f"""st AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos DESC, d NULLS FIRST) AS k, node AS u, d AS x FROM
+ (SELECT pos, node, NULL AS d FROM po UNION ALL SELECT a.pos, a.node, sym.d FROM po a JOIN sym ON s = a.node JOIN po b ON b.node = d WHERE b.pos > a.pos)),
+en AS MATERIALIZED (SELECT k, u AS a, x AS b FROM st WHERE x IS NOT NULL UNION ALL SELECT k, x, u FROM st WHERE x IS NOT NULL),
+rs(k, a) AS (SELECT k, u FROM st UNION SELECT rs.k, en.b FROM rs JOIN en ON en.a = rs.a AND en.k <= rs.k),
+rm AS MATERIALIZED (SELECT * FROM rs),
+rd AS MATERIALIZED (SELECT rm.k, rm.a, count(en.k) AS deg FROM rm LEFT JOIN en ON en.a = rm.a AND en.k <= rm.k GROUP BY ALL),
+rq AS (SELECT p.k, sum((p.deg - o.deg) * (p.deg - o.deg)) / 2 AS q FROM rd p JOIN en ON en.a = p.a AND en.k <= p.k JOIN rd o ON o.k = p.k AND o.a = en.b GROUP BY p.k),
+sc AS (SELECT component, k, size, size / (coalesce(q, 0) + {EPS}) AS score FROM (SELECT k, count(*)::BIGINT AS size FROM rm GROUP BY k) LEFT JOIN rq USING (k) JOIN st USING (k) JOIN cc ON cc.node = u)"""
+
+
+@query("energy_edge_best", _sql("SELECT component, round(score, 12) AS score, size, a AS node FROM sc JOIN (SELECT component, arg_max(k, (score, -k)) AS k FROM sc GROUP BY component) USING (component, k) JOIN rm USING (k)",
+    _PEEL, _CC, _STEPS))
 def energy_edge_best(spark, d):
-    return snapshots.best_by_edge(vertices(spark, d), edges(spark, d), EPS)
+    return snapshots.best_by_edge(vertices(spark, d), edges(spark, d), EPS).withColumn("score", F.round("score", 12))
 
 
 @query("stream_peaks", _sql(_PEAK_ROWS, _SNAP, _CC, _PEAK))
@@ -440,7 +453,8 @@ def mask_small_clusters(spark, d):
     return partitions.mask_small(p, p.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("double").alias("value")), 10)
 
 
-@query("compress_partition_k", _sql("""SELECT node, CASE WHEN cluster_id IN (FROM kp) THEN cluster_id ELSE coalesce(to_id, (SELECT max(cluster_id) FROM kp)) END AS cluster_id FROM part0 LEFT JOIN mv ON mv.cu = cluster_id""",
+@query("compress_partition_k", _sql("""SELECT node, CASE WHEN (SELECT max(cluster_id) FROM part0) < 5 THEN x.cluster_id ELSE (SELECT count(*) FROM kp WHERE kp.cluster_id < x.cluster_id) END AS cluster_id FROM
+ (SELECT node, CASE WHEN cluster_id IN (FROM kp) THEN cluster_id ELSE coalesce(to_id, (SELECT max(cluster_id) FROM kp)) END AS cluster_id FROM part0 LEFT JOIN mv ON mv.cu = cluster_id) x""".replace("5", str(K)),
     _CE, _CS, f"kp AS MATERIALIZED (SELECT cluster_id FROM cz ORDER BY size DESC, cluster_id LIMIT {K})",
     "mv AS (SELECT cu, arg_max(cv, (weight, cv)) AS to_id FROM (SELECT cu, cv, weight FROM ce UNION ALL SELECT cv, cu, weight FROM ce) WHERE cv IN (FROM kp) GROUP BY cu)"))
 def compress_partition_k(spark, d):
@@ -594,10 +608,22 @@ def lsq_origin(spark, d):
 
 @query("paired_t", "SELECT count(d)::BIGINT AS n, round(avg(d), 9) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t, round(avg(d) / stddev_pop(d), 9) AS cohen_d FROM (SELECT l_discount - l_tax AS d FROM lineitem)")
 def paired_t(spark, d):
-    t = stats.paired_t(_t(spark, d, "lineitem"), "l_discount", "l_tax")
+    t = stats.paired_t(_t(spark, d, "lineitem"), "l_discount", "l_tax").drop("p_value")
     return t.withColumns({"mean_diff": F.round("mean_diff", 9), "t": F.round("t", 6), "cohen_d": F.round("cohen_d", 9)})
 
 
+@query("paired_t_by_group", """WITH g AS (SELECT l_suppkey, count(*) AS n, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM (SELECT l_suppkey, l_discount - (l_tax + 0.01) AS x FROM lineitem) GROUP BY 1),
+a AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS o FROM g),
+s AS (SELECT *, list_sum(list_transform(range(0, (v - v % 2) // 2), lambda j: CASE WHEN v % 2 = 1
+  THEN exp(lgamma(j + 1.0) + 0.5 * ln(pi()) - ln(2) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(o))) ELSE exp(lgamma(j + 0.5) - 0.5 * ln(pi()) - lgamma(j + 1.0) + 2 * j * ln(cos(o))) END)) AS q FROM a)
+SELECT l_suppkey, n, round(t, 6) AS t, round(CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (o + sin(o) * coalesce(q, 0)) ELSE 1 - sin(o) * q END, 9) AS p_value FROM s""")
+def paired_t_by_group(spark, d):
+    """p as a column; the SQL sums the finite series that whole degrees of freedom have."""
+    rows = _t(spark, d, "lineitem").withColumn("other", F.col("l_tax") + 0.01)
+    t = stats.paired_t(rows, "l_discount", "other", ["l_suppkey"])
+    return t.select("l_suppkey", "n", F.round("t", 6).alias("t"), F.round("p_value", 9).alias("p_value"))
+
+
 _COLUMNS = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 _PROFILE = " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(v)::BIGINT AS filled, count(x)::BIGINT AS "numeric", count(DISTINCT v)::BIGINT AS distinct_values, round(avg(x), 4) AS mean, round(median(x), 4) AS median,
@@ -660,6 +686,22 @@ def gcn_propagate_once(spark, d):
     return features.propagate(vertices(spark, d), edges(spark, d), v).withColumn("x", F.round("x", 6))
 
 
+_VARIANTS = {"x2": "s_acctbal * CASE WHEN rich THEN 2 ELSE 1 END", "x5": "s_acctbal * CASE WHEN rich THEN 5 ELSE 1 END", "plus1": "s_acctbal + rich::INT"}
+
+
+@query("feature_variants", " UNION ALL ".join(f"SELECT '{how}' AS how, s_suppkey::BIGINT AS node, {x} AS x FROM (SELECT *, s_acctbal > 0 AS rich FROM supplier)" for how, x in _VARIANTS.items()))
+def feature_variants(spark, d):
+    f = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("node"), F.array("s_acctbal").alias("vector"))
+    made = [features.integrate(f, rich(spark, d), how).select(F.lit(how).alias("how"), "node", F.col("vector")[0].alias("x")) for how in _VARIANTS]
+    return reduce(DataFrame.unionByName, made)
+
+
+@query("virtual_edges", _sql("SELECT src, dst, sum(n)::BIGINT AS n FROM (SELECT src, dst, 1 AS n FROM e UNION ALL SELECT a.node, b.node, 3 FROM rich a JOIN rich b ON a.node < b.node) GROUP BY src, dst"))
+def virtual_edges(spark, d):
+    """Three more edges for each pair of the chosen set, counted with those of the graph."""
+    return features.virtual_edges(edges(spark, d), rich(spark, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("feature_integration", _sql("SELECT node, (i - 1)::INT AS j, CASE WHEN i = 1 THEN s_acctbal ELSE (s_acctbal > 0)::INT::DOUBLE END AS x FROM (SELECT s_suppkey::BIGINT AS node, s_acctbal FROM supplier), range(1, 3) t(i)"))
 def feature_integration(spark, d):
     f = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("node"), F.array("s_acctbal").alias("vector"))

@@ -269,7 +269,7 @@ def seed_sweep(spark, d):
     return _rounded(seeds.sweep(s, v, e, q.regions(spark, d), q._regions_of(spark, d), SEED_EPS, max_hops=HOPS), 9, *_SCORES)
 
 
-@query("seed_text_file", q._sql(f"""SELECT CASE i WHEN 1 THEN printf('# seed %d, score=%.6f', rank, nc / (q + {EPS})) ELSE array_to_string(m, ' ') END AS value
+@query("seed_text_file", q._sql(f"""SELECT CASE i WHEN 1 THEN printf('# seed %d, score=%.6f', rank - 1, nc / (q + {EPS})) ELSE array_to_string(m, ' ') END AS value
 FROM (SELECT row_number() OVER (ORDER BY nc / (q + {EPS}) DESC, component, pos DESC) AS rank, nc, q, m FROM sn JOIN cc USING (node) JOIN ml USING (pos) QUALIFY rank <= {K}), range(1, 3) t(i)""",
     q._SNAP, q._CC, _MEMBERS))
 def seed_text_file(spark, d):
@@ -277,4 +277,6 @@ def seed_text_file(spark, d):
     top = materialise(snapshots.ranked(s, snapshots.score(EPS), K).join(s.select("component", "sid", "node"), ["component", "sid"]), "top")
     held = seeds.members_by_maker(s, top).groupBy("set_id").agg(F.sort_array(F.collect_list("node")).alias("members"))
     writers.seeds_text(top.join(held, top["node"] == held["set_id"]).select("rank", "score", "members"), path)
-    return spark.read.text(path)
+    score = F.regexp_extract("value", r"^# seed \d+, score=(.*)$", 1).cast("double")  # written in full, compared to six digits
+    head = F.concat(F.regexp_extract("value", "^(.*=)", 1), F.format_string("%.6f", score))
+    return spark.read.text(path).select(F.when(F.col("value").startswith("#"), head).otherwise(F.col("value")).alias("value"))

@@ -49,8 +49,10 @@ def clusters_json(rows: DataFrame, path: str, meta: dict[str, str] | None = None
 
 
 def seeds_text(seeds: DataFrame, path: str) -> None:
-    """``# seed i, score=s`` and a line of members for each of ``seeds(rank, score, members)``."""
-    lines = F.array(F.format_string("# seed %d, score=%.6f", "rank", "score"), F.concat_ws(" ", F.col("members").cast("array<string>")))
+    """``# seed i, score=s`` (i from 0, the score in full) and a line of members for each of ``seeds(rank, score, members)``, ranks
+    from 1."""
+    head = F.concat(F.lit("# seed "), (F.col("rank") - 1).cast("string"), F.lit(", score="), F.col("score").cast("double").cast("string"))
+    lines = F.array(head, F.concat_ws(" ", F.col("members").cast("array<string>")))
     seeds.orderBy("rank").select(F.explode(lines).alias("value")).write.text(path)
 
 

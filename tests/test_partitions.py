@@ -1,7 +1,9 @@
 """Partitions, metrics, statistics, features and generators."""
 
 import math
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def as_dict(df, k, v):
 def test_compress_and_merge(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5)], "src bigint, dst bigint")
     p = part(spark, [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (5, 2), (6, 3)])
-    assert as_dict(partitions.compress(e, p, 2), "node", "cluster_id") == {0: 0, 1: 0, 2: 0, 3: 2, 4: 2, 5: 2, 6: 2}
+    assert as_dict(partitions.compress(e, p, 2), "node", "cluster_id") == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1}  # what stays is numbered anew
     merged = as_dict(partitions.merge_tiny(e, p, 2, rounds=1), "node", "cluster_id")
     assert merged[3] in (0, 1) and merged[3] == merged[0] and merged[6] == 3
 
@@ -115,6 +117,35 @@ def test_paired_t_and_p(spark):
     assert stats.p_value(0.0, 5) == 1.0
 
 
+def test_p_as_a_column(spark):
+    cases = [(t, n) for n in (2, 3, 5, 6, 30, 31, 1000, 200_000) for t in (0.0, 1e-9, -0.3, 1.0, 1.7, -2.5, 6.0, 40.0)]
+    df = spark.createDataFrame([*cases, (1.0, 1), (None, 5), (float("inf"), 5), (1.0, None)], "t double, n bigint")
+    got = {(r["t"], r["n"]): r["p"] for r in df.select("t", "n", stats.t_tail(F.col("t"), F.col("n") - 1).alias("p")).collect()}
+    for t, n in cases:
+        want = stats.p_value(t, n)
+        assert got[t, n] == pytest.approx(want, rel=2e-9, abs=1e-300), (t, n)
+    assert got[1.0, 1] is None and got[None, 5] is None and got[1.0, None] is None and got[float("inf"), 5] == 0.0
+    # half the mass of Cauchy's distribution lies within 1
+    assert got[1.0, 2] == pytest.approx(0.5)
+    rows = [("a", 1.0, 0.5), ("a", 2.0, 1.0), ("a", 3.0, 2.7), ("b", 1.0, 0.0), ("b", 2.0, 1.0), ("c", 1.0, 1.0), ("d", None, 1.0)]
+    by = {r["g"]: r for r in stats.paired_t(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", ["g"]).collect()}
+    assert by["a"]["p_value"] == pytest.approx(stats.p_value(by["a"]["t"], 3)) and by["a"]["n"] == 3
+    assert by["b"]["t"] is None and by["c"]["t"] is None and by["d"]["n"] == 0 and by["d"]["p_value"] is None
+
+
+def test_profile_against_pandas(spark):
+    rng = random.Random(4)
+    frame = pd.DataFrame({"x": [rng.choice(["1", "2.5", " 7 ", "1e3", "", None, "no"]) for _ in range(999)], "y": [str(rng.gauss(0, 5)) for _ in range(999)], "z": [None] * 999})
+    got = {r["column"]: r for r in stats.profile(spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "x string, y string, z string"), digits=9).collect()}
+    for c in ("x", "y"):
+        v = frame[c][frame[c].notna() & (frame[c].str.strip() != "")]
+        n = pd.to_numeric(v, errors="coerce").dropna()
+        r = got[c]
+        assert (r["filled"], r["distinct_values"], r["numeric"]) == (len(v), v.nunique(), len(n))
+        assert [r[k] for k in ("mean", "median", "sd", "min", "max", "sum")] == pytest.approx([n.mean(), n.median(), n.std(), n.min(), n.max(), n.sum()], abs=1e-6)
+    assert got["z"]["filled"] == got["z"]["distinct_values"] == 0 and got["z"]["median"] is None and got["z"]["sd"] is None
+
+
 def test_profile_and_pick(spark):
     df = spark.createDataFrame([("1", "x"), ("2", ""), ("bad", "y"), (None, "x")], "a string, b string")
     got = {r["column"]: r for r in stats.profile(df).collect()}

@@ -49,7 +49,7 @@ def test_clusters_round_trip(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"meta": {"a": "b"}, "clusters": [{"cluster_id": 7, "members": [4, 5]}]}))
     assert {r["cluster_id"] for r in readers.clusters_json(spark, str(tmp_path / "m.json")).collect()} == {7}
     writers.seeds_text(rows.where("score IS NOT NULL").withColumn("rank", F.lit(1)), str(tmp_path / "seeds"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "seeds")).collect()] == ["# seed 1, score=2.500000", "1 2"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "seeds")).collect()] == ["# seed 0, score=2.5", "1 2"]
 
 
 def test_result_files(spark, tmp_path):
