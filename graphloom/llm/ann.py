@@ -13,8 +13,9 @@ all rows, one scan tells how early in the opened files their true neighbours sta
 Pivots are vectors of a bounded sample of different ones that lie farthest apart, and nearness is the cosine of
 the differences from the sample's mean, so a narrow cone or a few clusters are told apart as well as a sphere.
 There are about sqrt(N) of them, from ``PIVOTS[0]`` to ``PIVOTS[1]``, so a file grows as the root of the table.
-Every vector is indexed. What is shuffled is linear in the table: POSTED copies of each vector, and a copy of
-each query for each file it opens. A file of more than ``CHUNK`` vectors (a popular pivot, or a group of copies) is
+Every vector is indexed. What is shuffled: POSTED copies of each vector, and a copy of each query for each file it
+opens and each chunk of it. As pivots end at ``PIVOTS[1]``, beyond some 16 million vectors the chunks of a file grow with the
+table, and the copies with its square. A file of more than ``CHUNK`` vectors (a popular pivot, or a group of copies) is
 dealt out in chunks, and its queries by ``QUERY_CHUNK``, so no task grows with it. A query that finds fewer than
 ``k`` candidates is searched again in all files without a cut, so none comes out short.
 
