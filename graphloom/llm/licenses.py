@@ -3,8 +3,9 @@
 Every word k-gram of every text is hashed and joined to the positions of the same k-gram in the license
 templates. A hit at word p of a text and word q of a template votes for the diagonal p - q: where the
 template would start. Votes are counted for each diagonal, neighbouring diagonals are merged (words put in
-or left out move a copy to the next diagonal) and the merged spans are verified by the share of the
-template's k-grams they hold.
+or left out, such as the name of a holder, move what follows to another diagonal) and the merged spans are verified by the
+share of the template's k-grams they hold. Templates are phrases, notices and whole bodies of licenses, so a body is
+recognised without its heading and with parts missing.
 
 The templates are a fixed list, so their table is small by construction and is broadcast; the k-grams
 stream through that join inside one scan, and only hits and one row for each text are shuffled.
@@ -16,16 +17,19 @@ for each phrase that stands there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.llm.common import materialise, named, table
+from graphloom.llm.license_texts import BODIES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a k-gram; templates of fewer words use k-grams of their own length.
 K = 3
-#: Diagonals at most so far apart are merged.
-NEAR = 2
+#: Diagonals at most so far apart are merged; of long templates, as far as one word in so many.
+NEAR, NEAR_SHARE = 2, 20
 #: Least share of a template's k-grams in a verified span.
 COVER = 0.6
 
@@ -52,8 +56,8 @@ NOTICES = (
 def templates() -> list[tuple[int, str, bool, int, int, int, str]]:
     """``(template, label, is_base, k, grams, position, gram)`` of every k-gram."""
     out = []
-    for t, (label, phrase, base) in enumerate([*((a, b, True) for a, b in BASE), *((a, b, False) for a, b in NOTICES)]):
-        w = phrase.split(" ")
+    for t, (label, phrase, base) in enumerate([*((a, b, True) for a, b in BASE), *((a, b, False) for a, b in (*NOTICES, *BODIES))]):
+        w = re.findall(WORD, phrase.lower())
         k = min(K, len(w))
         out += [(t, label, base, k, len(w) - k + 1, i, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)]
     return out
@@ -89,7 +93,8 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFra
     votes = hits.groupBy("row", "tpl", "label", "base", "grams", "diag").agg(F.collect_set("tpos").alias("tpos"))
     places = votes.where(F.col("base") & (F.size("tpos") == F.col("grams")))
     order = W.partitionBy("row", "tpl").orderBy("diag")
-    apart = F.coalesce(F.col("diag") - F.lag("diag").over(order) > NEAR, F.lit(False)).cast("int")
+    near = F.greatest(F.lit(NEAR), F.floor(F.col("grams") / NEAR_SHARE))
+    apart = F.coalesce(F.col("diag") - F.lag("diag").over(order) > near, F.lit(False)).cast("int")
     spans = (
         votes.where(~F.col("base")).withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
         .groupBy("row", "tpl", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("n"))
@@ -126,7 +131,7 @@ g AS (SELECT rid, pos, 2 AS k, word || ' ' || w1 AS gram FROM n UNION ALL SELECT
 h AS (SELECT rid, tpl, label, base, grams, tpos, pos - tpos AS diag FROM g JOIN tg USING (k, gram)),
 v AS (SELECT rid, tpl, label, base, grams, diag, list(DISTINCT tpos) AS tpos FROM h GROUP BY ALL),
 b AS (SELECT rid, label, true AS base, diag::BIGINT AS start, 1.0::DOUBLE AS cover FROM v WHERE base AND len(tpos) = grams),
-s0 AS (SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY rid, tpl ORDER BY diag) > {NEAR})::INT, 0) AS apart FROM v WHERE NOT base),
+s0 AS (SELECT *, coalesce((diag - lag(diag) OVER (PARTITION BY rid, tpl ORDER BY diag) > greatest({NEAR}, grams // {NEAR_SHARE}))::INT, 0) AS apart FROM v WHERE NOT base),
 s1 AS (SELECT *, sum(apart) OVER (PARTITION BY rid, tpl ORDER BY diag) AS span FROM s0),
 s2 AS (SELECT rid, label, grams, len(list_distinct(flatten(list(tpos)))) / grams AS cover FROM s1 GROUP BY rid, tpl, label, grams, span),
 f AS (SELECT * FROM b UNION ALL SELECT rid, label, false, NULL, cover FROM s2 WHERE cover >= {COVER}),
