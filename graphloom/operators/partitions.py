@@ -13,7 +13,7 @@ from graphloom.functions.ranks import number, placed, running_count
 from graphloom.functions.storage import materialise
 from graphloom.operators.components import component_roots, connected_components
 from graphloom.operators.graph import degree, symmetrise
-from graphloom.operators.snapshots import best_above
+from graphloom.operators.snapshots import best_above, unrolled
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def select_snapshots(
     marked = snaps.join(free.select(F.col("node").alias("maker"), "place"), F.col("node") == F.col("maker"), "left")
     first = materialise(best_above(marked, -F.col("place")).where("best IS NOT NULL").select("node", (-F.col("best")).alias("place")), "covered")
     kept = until_covered(free, first, coverage * n_vertices)
-    picked = kept.join(snaps.select("node", "component", "tin", "tout"), "node").select("place", "component", F.explode(F.sequence("tin", "tout")).alias("tin"))
-    members = picked.join(snaps.select("component", "tin", "node"), ["component", "tin"])
+    picked = kept.join(snaps.select("node", "component", "tin", "tout"), "node")
+    members = unrolled(picked, ["place"]).join(snaps.select("component", "tin", "node"), ["component", "tin"])
     return members.select(F.col("place").alias("rank"), F.col("place").alias("set_id"), "node")
 
 

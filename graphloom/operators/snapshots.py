@@ -150,10 +150,25 @@ def snapshots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return apply_kernel(vertices, edges, _replay, _SCHEMA)
 
 
+#: Places of an interval that are unrolled at a time.
+STRETCH = 65_536
+
+
+def unrolled(chosen: DataFrame, keep: list[str]) -> DataFrame:
+    """``(component, tin, *keep)``: a row for each vertex of each chosen snapshot (component, tin, tout), by its place.
+
+    Intervals are unrolled in stretches, so a giant set is no giant array, and places are then found by equality: a component
+    is no key by itself.
+    """
+    own = chosen.select("component", F.col("tin").alias("__lo"), F.col("tout").alias("__hi"), *(F.col(c) for c in keep))
+    own = own.withColumn("__at", F.explode(F.sequence("__lo", "__hi", F.lit(STRETCH))))
+    places = F.sequence("__at", F.least(F.col("__at") + (STRETCH - 1), "__hi"))
+    return own.withColumn("tin", F.explode(places)).select("component", "tin", *keep)
+
+
 def members(snaps: DataFrame, chosen: DataFrame) -> DataFrame:
     """``(component, sid, node)``: the vertices of the chosen snapshots (component, sid, tin, tout)."""
-    c = chosen.select("component", "sid", F.col("tin").alias("lo"), F.col("tout").alias("hi"))
-    return snaps.select("component", "node", "tin").join(c, "component").where("tin BETWEEN lo AND hi").select("component", "sid", "node")
+    return unrolled(chosen, ["sid"]).join(snaps.select("component", "tin", "node"), ["component", "tin"]).select("component", "sid", "node")
 
 
 def score(eps: float | Column, q: str = "q") -> Column:

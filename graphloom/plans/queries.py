@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import metrics, stats
 from graphloom.functions.storage import materialise, shared_dir
-from graphloom.operators import cores, features, graph, partitions, paths, peel, snapshots
+from graphloom.operators import cores, features, graph, networks, partitions, paths, peel, snapshots
 from graphloom.operators.components import connected_components
 from graphloom.plans import generate
 from graphloom.streaming import peaks
@@ -716,6 +716,24 @@ def gcn_train(spark, d):
     return features.gcn(vertices(spark, d), edges(spark, d), f, lab, partitions.stratified_split(lab, 8, 20, 20), rounds=60)
 
 
+def _network(spark, d, clusters):
+    s = _t(spark, d, "supplier")
+    f = s.select(F.col("s_suppkey").cast("bigint").alias("node"), F.array(F.col("s_acctbal") / 10000, (F.col("s_acctbal") > 0).cast("double"), F.lit(1.0)).alias("vector"))
+    lab = regions(spark, d)
+    return networks.train(vertices(spark, d), edges(spark, d), f, lab, partitions.stratified_split(lab, 8, 20, 20), clusters, hidden=8, rounds=3)[0]
+
+
+@query("seeded_pool_train")
+def seeded_pool_train(spark, d):
+    """Three steps of the network that pools by given clusters; its losses are tested against numeric gradients."""
+    return _network(spark, d, classes(spark, d))
+
+
+@query("topk_pool_train")
+def topk_pool_train(spark, d):
+    return _network(spark, d, 10)
+
+
 @query("planted_generator")
 def planted_generator(spark, d):
     """A planted graph with as many vertices as there are suppliers, and ten more."""
