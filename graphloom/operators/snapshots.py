@@ -181,6 +181,15 @@ def calibrated(alpha: Column | float, eps: float | Column) -> Column:
     return F.col("nc") * (F.col("sum_deg") / F.col("nc") - alpha * F.sqrt(F.col("q") + eps))
 
 
+def rmc(snaps: DataFrame) -> DataFrame:
+    """Greatest size times least internal degree over connected sets, from snapshots that are there anyway (``cores.rmc`` needs none).
+
+    At its addition a vertex has the least degree of all vertices present, so size times that degree is
+    reached by its component; and the last vertex of an optimal set sees all of the set.
+    """
+    return snaps.agg(F.coalesce(F.max(F.col("nc") * F.col("deg")), F.lit(0)).alias("rmc"))
+
+
 def best(snaps: DataFrame, value: Column) -> DataFrame:
     """The one best snapshot: ties to the larger, then the lower component, then the earlier."""
     return snaps.withColumn("score", value).orderBy(F.desc("score"), F.desc("nc"), "component", "sid").limit(1)
