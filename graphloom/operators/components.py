@@ -4,6 +4,9 @@ Each round every vertex hooks onto the neighbour (or itself) of least pseudorand
 edge list is rewritten onto the hooks. A fresh priority each round makes the expected number of live
 vertices shrink by a constant factor even on long monotone paths, so rounds grow with log(n). All
 steps are partial aggregations and joins; no vertex's neighbourhood is gathered in one place.
+
+Defined results: loops and null ends count for nothing, repeated edges once. A repeated vertex has one row; a null one has a null
+component. Edges may lead through vertices outside the table, and a component is named by the least vertex reached, inside or not.
 """
 
 from __future__ import annotations

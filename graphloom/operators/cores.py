@@ -12,7 +12,8 @@ the lesser core number of its ends) are contracted to components, which are the
 levels go on uncontracted in the upper half of the range, edges of lower levels between the components in the lower half.
 Every edge is in one of the two, so each of the log2(range) steps handles at most all edges once.
 
-Defined results: null ends and loops count for nothing; repeated edges count as often as they stand (``graph.simple``
+Defined results: null ends and loops count for nothing, nor do edges to vertices outside the table where one is given; null vertices
+are left out, repeated ones count once; repeated edges count as often as they stand (``graph.simple``
 merges them). Vertices without edges have core 0 and are in no k-core for k > 0. An empty graph gives empty results.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from graphloom.functions.ranks import number
 from graphloom.functions.storage import materialise
 from graphloom.operators.components import component_roots
-from graphloom.operators.graph import degree, induced, symmetrise
+from graphloom.operators.graph import degree, induced, proper, symmetrise
 from graphloom.operators.peel import adjacency, peel_arrays, peel_by_component
 from graphloom.operators.regions import regions
 
@@ -132,8 +133,9 @@ def _hubs_fall(links: DataFrame, core: DataFrame) -> DataFrame:
 def core_rounds(vertices: DataFrame, edges: DataFrame, region_edges: int | None = None) -> DataFrame:
     """``(node, core)`` by settling regions in turns."""
     size = REGION_EDGES if region_edges is None else region_edges
-    plain = materialise(edges.select("src", "dst").where("src <> dst"), "core-edges")
-    core = materialise(degree(vertices.distinct(), plain).select("node", F.col("deg").alias("value")), "cores")
+    own, plain = proper(vertices, edges)
+    plain = materialise(plain, "core-edges")
+    core = materialise(degree(own, plain).select("node", F.col("deg").alias("value")), "cores")
     hubs = core.where(F.col("value") > size)
     bound = plain.join(hubs.select(F.col("node").alias("src")), "src", "left_anti").join(hubs.select(F.col("node").alias("dst")), "dst", "left_anti")
     placed = regions(core.withColumnRenamed("value", "weight"), bound, size)

@@ -1,4 +1,9 @@
-"""Graphs as relations: ``edges(src, dst)`` in canonical order (src < dst), ``vertices(node)``."""
+"""Graphs as relations: ``edges(src, dst)`` in canonical order (src < dst), ``vertices(node)``.
+
+Defined results: functions here take edges as they stand (``simple`` cleans them): a repeated edge counts as often as it stands, a
+loop at both of its ends, a null end never joins. A repeated vertex has its row each time, a null one has degree 0. Edges of
+vertices outside the table count for those inside. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,13 @@ def simple(edges: DataFrame, src: str = "src", dst: str = "dst", multigraph: boo
     return e if multigraph else e.distinct()
 
 
+def proper(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different vertices that are not null, and the edges between two of them; loops are left out, repeated edges stay."""
+    own = vertices.select(F.col("node").cast("bigint").alias("node")).where(F.col("node").isNotNull()).distinct()
+    ends = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src <> dst")
+    return own, induced(ends, own)
+
+
 def symmetrise(edges: DataFrame) -> DataFrame:
     """Both directions of every edge. Unrolled in place, so the edges are read once."""
     both = F.array(F.struct(F.col("src").alias("s"), F.col("dst").alias("d")), F.struct(F.col("dst").alias("s"), F.col("src").alias("d")))

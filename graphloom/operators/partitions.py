@@ -1,4 +1,8 @@
-"""Partitions of the vertices: ``(node, cluster_id)`` relations, their coarsening and pooling (survey P7-P17)."""
+"""Partitions of the vertices: ``(node, cluster_id)`` relations, their coarsening and pooling (survey P7-P17).
+
+Defined results: edges with an end in no cluster count for nothing. A null cluster is no cluster, and its vertices join none. Null
+vertices in a partition are rows like others where clusters are counted. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

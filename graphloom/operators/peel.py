@@ -1,5 +1,8 @@
 """Min-degree peel, and what follows from it (survey G3, G6, G20-G23).
 
+Defined results: null vertices are left out, repeated ones count once; loops, null ends and edges to vertices outside the table
+count for nothing; repeated edges count as often as they stand. Empty graphs give empty results.
+
 The peel removes the vertex of least (degree, id) again and again. It is sequential, but components do not
 interact, so each is peeled in one kernel (NumPy adjacency, a heap; small ones together) and the global
 order is the merge of the components' streams: at any time the stream with the least head goes on, which is the
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from graphloom.functions.ranks import placed
 from graphloom.functions.storage import materialise
 from graphloom.operators.components import connected_components, least_labels
-from graphloom.operators.graph import symmetrise
+from graphloom.operators.graph import proper, symmetrise
 
 #: Width of the ranges of positions within which suffixes are summed.
 RANGE = 1_000_000
@@ -79,10 +82,10 @@ def batched(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     more than a small component); a component of BATCH vertices or more is a batch of its own. A small graph is one
     batch, with null components: the kernel finds them (``components_of``).
     """
+    vertices, edges = proper(vertices, edges)
     if vertices.count() + edges.count() <= ONE_BATCH:
         none = F.lit(None).cast("bigint")
-        known = vertices.select(F.col("node").cast("bigint").alias("s")).distinct()
-        both = symmetrise(edges).join(known, "s", "left_semi").select("s", "d")
+        known, both = vertices.select(F.col("node").alias("s")), symmetrise(edges).select("s", "d")
         return both.unionByName(known.select("s", none.alias("d"))).select(F.lit(0).cast("bigint").alias("batch"), none.alias("component"), "s", "d")
     comp = materialise(connected_components(vertices, edges), "components")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,9 @@ it joined, so snapshots form a forest with one node for each vertex, numbered de
 snapshot are the vertices whose own number lies in its interval ``[tin, tout]``. That takes O(n) rows where
 member arrays would take O(n^2).
 
+Defined results: as for the peel (``peel``): null vertices are left out, repeated ones count once, loops and edges to vertices
+outside the table count for nothing. Empty graphs give empty results.
+
 ``Q`` is kept as ``sum d^3 - 2 * sum over edges of d_u * d_v``; both sums add up over joined components.
 """
 

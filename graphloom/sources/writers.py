@@ -1,4 +1,8 @@
-"""Edge lists, clusters and result tables out (survey K1-K5)."""
+"""Edge lists, clusters and result tables out (survey K1-K5).
+
+Defined results: rows are written as they stand, nulls as the format has them (an empty field, a JSON null); an empty table gives a
+file with its header or an empty document.
+"""
 
 from __future__ import annotations
 
