@@ -483,7 +483,16 @@ def set_overlap_jaccard(spark, d):
     return partitions.jaccard(s).withColumn("overlap", F.round("overlap", 9))
 
 
-@query("weighted_kmeans")
+_FAR = "list_transform(c, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda i: (v[i] - x[i]) * (v[i] - x[i]))))"
+
+
+@query("weighted_kmeans", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id AS node, embedding::DOUBLE[] AS v, (label + 1)::DOUBLE AS w FROM embeddings),
+st(k, c) AS (SELECT 1, [arg_max(v, (w, -node))] FROM p UNION ALL
+ SELECT k + 1, list_append(any_value(c), arg_max(v, (w * list_min({_FAR}), w, -node))) FROM st, p WHERE k < 10 GROUP BY k),
+ll(r, c) AS (SELECT 0, c FROM st WHERE k = 10 UNION ALL
+ SELECT r + 1, list(m ORDER BY j) FROM (SELECT r, j, list(m ORDER BY d) AS m FROM (SELECT r, j, d, sum(w * x) / sum(w) AS m FROM
+  (SELECT r, list_position(near, list_min(near)) AS j, unnest(range(1, len(v) + 1)) AS d, unnest(v) AS x, w FROM (SELECT r, v, w, {_FAR} AS near FROM ll, p WHERE r < 30)) GROUP BY r, j, d) GROUP BY r, j) GROUP BY r)
+SELECT node, (list_position(near, list_min(near)) - 1)::BIGINT AS cluster_id FROM (SELECT node, {_FAR} AS near FROM p, ll WHERE r = 30)""")
 def weighted_kmeans(spark, d):
     e = _t(spark, d, "embeddings")
     return partitions.kmeans(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), (F.col("label") + 1).alias("w")), 10, weight="w")

@@ -1,8 +1,10 @@
 """Null, repeated and foreign rows, and empty tables, through the graph operators."""
 
+import os
+
 import pytest
 
-from graphloom.functions import metrics
+from graphloom.functions import metrics, storage
 from graphloom.operators import components, cores, features, graph, partitions, paths, peel, snapshots
 
 
@@ -52,3 +54,19 @@ def test_empty_tables(odd):
                  peel.suffixes(v, e), graph.degree(v, e), paths.owners(e, v.selectExpr("node", "node AS owner")), cores.core_forest(cores.core_rounds(v, e), e)):
         assert made.count() == 0
     assert pairs(odd[0].transform(lambda x: graph.degree(x, e))) == [(0, 0), (1, 0), (1, 0), (2, 0), (5, 0), (None, 0)]
+
+
+def test_scratch_deletes_its_steps(spark, odd):
+    def files(df):
+        return [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file://").removeprefix("file:"))]
+
+    kept = storage.materialise(odd[0], "kept")
+    with storage.scratch(spark):
+        inner = storage.materialise(odd[0], "inner")
+        n = components.connected_components(*odd).count()
+        assert files(inner)
+    assert n == 5 and files(kept) and not files(inner)
+    with pytest.raises(ZeroDivisionError), storage.scratch(spark):
+        lost = storage.materialise(odd[0], "lost")
+        1 / 0
+    assert not files(lost)
