@@ -8,13 +8,13 @@ from graphloom.functions.ranks import placed
 from graphloom.operators.graph import simple
 
 
-def header_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tuple[DataFrame, DataFrame]:
+def header_edges(spark: SparkSession, path: str, multigraph: bool = False, first_m: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(vertices, edges)`` of a stream of whitespace-separated integers: ``n m``, then m pairs; ids from 1.
 
     Lines may break anywhere, between the ends of a pair too. Every block of the file is read by its own task; the place of
     a line's first token comes from the counts of the blocks before it and of the lines before it in its block. Pairs
-    that stand in one line are cut out of it; only single ends are brought together by their pair's number. Loops, pairs
-    out of range and what follows the m-th pair are left out.
+    that stand in one line are cut out of it; only single ends are brought together by their pair's number. Loops and pairs
+    out of range are left out; with ``first_m`` so is what follows the m-th pair, else m is not looked at.
     """
     line = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"),
@@ -41,7 +41,7 @@ def header_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tu
     after = F.struct((first + pairs).alias("k"), F.element_at("t", -1).alias("src"), none.alias("dst"))
     single = F.filter(F.array(F.when(F.col("odd") == 1, before), F.when(F.size("rest") % 2 == 1, after)), lambda x: x.isNotNull())
     met = body.select(F.inline(single)).groupBy("k").agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
-    ends = body.select(F.inline(whole)).unionByName(met).where((F.col("k") < m) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    ends = body.select(F.inline(whole)).unionByName(met).where(F.lit(not first_m) | (F.col("k") < m)).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     ends = ends.select(*(F.expr(f"try_cast({c} AS bigint)").alias(c) for c in ("src", "dst"))).where(F.col("src").between(1, n) & F.col("dst").between(1, n))
     return spark.range(1, n + 1).select(F.col("id").alias("node")), simple(ends, multigraph=multigraph)
 
