@@ -7,6 +7,7 @@ vertices in a partition are rows like others where clusters are counted. Empty t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -186,13 +187,39 @@ def heavy_paths(snaps: DataFrame) -> DataFrame:
     return snaps.select("node").join(named, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("path"))
 
 
+#: Undecided sets that one task goes through in their order.
+FINISH_SETS = 500_000
+
+
+def _scan(overlap: float):
+    """The sets of all rows (place, path, nc, class) that a scan chooses, with what was chosen by path and class."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values("place")
+        chosen: dict[tuple[int, int], list[int]] = {}
+        taken = []
+        for path, nc, at in zip(rows["path"].tolist(), rows["nc"].tolist(), rows["class"].tolist()):
+            near = (n for k in (-1, 0, 1) for n in chosen.get((path, at + k), ()))
+            free = all(min(n, nc) <= overlap * max(n, nc) for n in near)
+            taken.append(free)
+            if free:
+                chosen.setdefault((path, at), []).append(nc)
+        yield rows[taken]
+
+    return run
+
+
 def independent(candidates: DataFrame, overlap: float) -> DataFrame:
     """The rows of ``candidates(place, path, nc)`` that a scan in the order of ``place`` would choose.
 
     Two sets of a path are rivals if the smaller has more than ``overlap`` of the larger's vertices, and sets of different paths
     never are (for an overlap of half or more). A set is chosen once no rival that stands before it is undecided, and its
     rivals are out. Sets are put in classes by size, so that rivals are in the same class or in neighbouring ones, and a class
-    has at most one chosen set a round: the first of it. A round joins each set with the first ones of three classes.
+    has at most one chosen set a round: the first of it. A round joins each set with the first ones of three classes. Once
+    FINISH_SETS are undecided, one task scans them.
     """
     width = -math.log(max(overlap, 0.5)) + 1e-9
     rows = candidates.withColumn("class", F.floor(F.log("nc") / width))
@@ -201,7 +228,11 @@ def independent(candidates: DataFrame, overlap: float) -> DataFrame:
     rival = F.least("nc", "n2") > F.lit(overlap) * F.greatest("nc", "n2")
     near = lambda df: df.select(F.col("path").alias("path2"), F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class2"), F.col("place").alias("place2"), F.col("nc").alias("n2"))
     meets = (F.col("path") == F.col("path2")) & (F.col("class") == F.col("class2")) & rival
-    while not live.isEmpty():
+    while (left := live.count()) > 0:
+        if left <= FINISH_SETS:
+            rest = live.select("place", "path", "nc", "class").coalesce(1)
+            chosen.append(rest.mapInPandas(_scan(overlap), "place bigint, path bigint, nc bigint, class bigint"))
+            break
         first = live.groupBy("path", "class").agg(F.min_by("nc", "place").alias("nc"), F.min("place").alias("place")).select("place", "path", "nc", "class")
         # a first one waits if any undecided rival stands before it
         waits = live.join(near(first), meets).where("place < place2").select(F.col("place2").alias("place"))
@@ -212,11 +243,13 @@ def independent(candidates: DataFrame, overlap: float) -> DataFrame:
 
 
 def select_snapshots(
-    snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15, among: DataFrame | None = None
+    snaps: DataFrame, value: Column, n_vertices: int, overlap: float = 0.80, coverage: float = 0.15, among: DataFrame | None = None,
+    chains: DataFrame | None = None,
 ) -> DataFrame:
     """``(rank, set_id, node)``: greedy selection, best ``value`` first (ties to the lower component, then the earlier): a
     snapshot is skipped if its Jaccard overlap with a chosen one exceeds ``overlap`` (at least a half); the list ends once
-    ``coverage`` of all vertices are covered. ``among``: rows of the snapshots, with any further columns, that take part.
+    ``coverage`` of all vertices are covered. ``among``: rows of the snapshots, with any further columns, that take part;
+    ``chains``: their ``heavy_paths``, if known.
 
     Snapshots are nested or apart, and two that share more than half of their vertices lie on one heavy path of the forest, so
     the scan is carried out on all paths at once, in rounds (``independent``). A vertex is covered from the least rank on of the
@@ -226,7 +259,7 @@ def select_snapshots(
         raise ValueError("overlaps below a half are not found along heavy paths")
     taking = (snaps if among is None else among).withColumn("score", value)
     ranks = placed(taking.select("score", "component", "sid", "node", "nc"), "place", F.desc("score"), F.col("component"), F.col("sid"), first=1)
-    ranks = materialise(ranks.join(heavy_paths(snaps), "node").select("place", "path", "nc", "node"), "ranks")
+    ranks = materialise(ranks.join(heavy_paths(snaps) if chains is None else chains, "node").select("place", "path", "nc", "node"), "ranks")
     free = materialise(independent(ranks.select("place", "path", "nc"), overlap).join(ranks.select("place", "node"), "place").select("place", "node"), "chosen")
     marked = snaps.join(free.select(F.col("node").alias("maker"), "place"), F.col("node") == F.col("maker"), "left")
     first = materialise(best_above(marked, -F.col("place")).where("best IS NOT NULL").select("node", (-F.col("best")).alias("place")), "covered")

@@ -123,8 +123,9 @@ def greedy(ranked, n, overlap, coverage):
     return sorted((r, v) for r, s in chosen for v in s)
 
 
-@pytest.mark.parametrize("overlap,coverage", [(0.8, 0.9), (0.5, 0.4), (0.9, 2.0)])
-def test_selection_in_rounds_is_the_scan(spark, overlap, coverage):
+@pytest.mark.parametrize("overlap,coverage,finish", [(0.8, 0.9, 0), (0.5, 0.4, 0), (0.9, 2.0, 40), (0.8, 0.5, 10**6)])
+def test_selection_in_rounds_is_the_scan(spark, monkeypatch, overlap, coverage, finish):
+    monkeypatch.setattr(partitions, "FINISH_SETS", finish)
     n, rng = 90, random.Random(12)
     v, e = frames(spark, n, clustered(rng, n, 0.03))
     snaps = snapshots.snapshots(v, e.where("src <> dst")).cache()
