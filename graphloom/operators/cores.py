@@ -5,7 +5,9 @@ Beyond it every vertex starts at its degree, and the graph is cut into regions t
 settles its region: with the numbers of the vertices around it held fixed, it peels its own vertices to the greatest numbers
 that they allow. Only numbers that fell are exchanged, and only regions that see one of them are settled again. A fall that
 runs along a chain thus crosses a region in one round. Vertices of more than ``REGION_EDGES`` edges are in no region: their
-neighbours are counted by their numbers, with partial aggregation. All ways give the same numbers.
+neighbours are counted by their numbers, with partial aggregation. A dense graph is packed first (``packed``), and every round takes
+every vertex to the greatest number that its neighbours carry; should long chains hold it up, regions go on from there. All ways
+give the same numbers.
 
 The components of the k-cores, for all k, come from halving the range of k: the edges of level k and more (an edge's level is
 the lesser core number of its ends) are contracted to components, which are the components of the k-core; edges of higher
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions.ranks import number
 from graphloom.functions.storage import materialise
-from graphloom.operators.components import component_roots
+from graphloom.operators import packed
+from graphloom.operators.components import component_roots, spanning, thinned
 from graphloom.operators.graph import degree, induced, proper, symmetrise
 from graphloom.operators.peel import adjacency, peel_arrays, peel_by_component
 from graphloom.operators.regions import regions
@@ -37,6 +40,8 @@ from graphloom.operators.regions import regions
 ONE_TASK_EDGES = 1_000_000
 #: Edge ends in a region.
 REGION_EDGES = 500_000
+#: Rounds on a packed graph after which regions go on.
+PACKED_ROUNDS = 100
 #: A k-core is pruned round by round as long as a round drops so large a share of the edges.
 WORTH = 0.1
 #: Edges of the core forest that one task finishes.
@@ -131,8 +136,12 @@ def _hubs_fall(links: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def core_rounds(vertices: DataFrame, edges: DataFrame, region_edges: int | None = None) -> DataFrame:
-    """``(node, core)`` by settling regions in turns."""
-    size = REGION_EDGES if region_edges is None else region_edges
+    """``(node, core)`` by settling regions in turns, a dense graph's after rounds on its packed form."""
+    size, start = REGION_EDGES if region_edges is None else region_edges, None
+    if region_edges is None and (n := edges.count()) > ONE_TASK_EDGES and packed.dense(vertices, n):
+        start, final = packed.core_numbers(vertices, edges, n, PACKED_ROUNDS)
+        if final:
+            return start
     own, plain = proper(vertices, edges)
     plain = materialise(plain, "core-edges")
     core = materialise(degree(own, plain).select("node", F.col("deg").alias("value")), "cores")
@@ -150,6 +159,8 @@ def core_rounds(vertices: DataFrame, edges: DataFrame, region_edges: int | None
     around = materialise(around, "core-around")
     at_hubs = materialise(both.join(hubs.select(F.col("node").alias("s")), "s", "left_semi"), "core-hubs")
     has_hubs = not at_hubs.isEmpty()
+    if start is not None:
+        core = start.withColumnRenamed("core", "value")
     active = None
     while True:
         only = (lambda df: df) if active is None else (lambda df, a=active: df.join(a, "region", "left_semi"))
@@ -212,7 +223,8 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def core_forest(core: DataFrame, edges: DataFrame) -> DataFrame:
     """``(k, root, size)``: the components of the k-cores, of vertices ``core(node, core)``; ``root`` is one of the members.
 
-    A component that is the same at several k stands at the greatest of them, and may stand at others. Sizes count vertices. Once
+    A component that is the same at several k stands at the greatest of them, and may stand at others. Sizes count vertices. Of many
+    edges each task keeps a spanning forest of the greatest levels, which connects at every level what they connect. Once
     ``FINISH_EDGES`` edges are left, one task joins them from the top level down.
     """
     spark = edges.sparkSession
@@ -220,6 +232,9 @@ def core_forest(core: DataFrame, edges: DataFrame) -> DataFrame:
     end = lambda c, i, k: ids.select(F.col("node").alias(c), F.col("id").alias(i), F.col("core").alias(k))
     one = F.lit(1).cast("bigint")
     live = edges.where("src <> dst").join(end("src", "u", "cu"), "src").join(end("dst", "v", "cv"), "dst")
+    if edges.count() > FINISH_EDGES:
+        live = live.select("u", "v", F.least("cu", "cv").alias("level"))
+        live = live.mapInPandas(thinned(spanning), "u bigint, v bigint, level bigint").select("u", "v", F.col("level").alias("cu"), F.col("level").alias("cv"))
     live = live.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max(F.least("cu", "cv")).alias("level"))
     top = core.agg(F.max("core")).first()[0] or 0
     live = materialise(live.select(one.alias("lo"), F.lit(top).cast("bigint").alias("hi"), "u", "v", "level", one.alias("su"), one.alias("sv")), "forest-edges")
