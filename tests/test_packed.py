@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from graphloom.operators import components, cores, graph, packed, peel
+from graphloom.operators import components, cores, graph, packed, peel, snapshots
 
 
 @pytest.fixture
@@ -78,3 +78,42 @@ def test_pairs_are_dealt_out_as_facts_grow(spark, monkeypatch):
     f = f.drop_duplicates()
     m = f.merge(f, on="g").query("i_x < i_y")
     assert _rows(pairs) == sorted(((int(a), int(b), int(n)) for (a, b), n in m.groupby(["i_x", "i_y"]).size().items()), key=repr)
+
+
+@pytest.fixture
+def parts(spark):
+    """Two dense parts that a late vertex joins, one of their own, isolated vertices; every edge once, some ends foreign."""
+    rng = np.random.default_rng(8)
+    e = {(min(a, b), max(a, b)) for n, m, o in ((40, 500, 0), (30, 200, 50), (12, 60, 100)) for a, b in (rng.integers(0, n, (m, 2)) * 7 + o * 7).tolist()}
+    e |= {(7 * 3, 7 * 45), (7 * 45, 7 * 60), (7 * 45, 7 * 61), (7, 99_999)}
+    nodes = [7 * i for i in range(120)] + [None, 7]
+    return spark.createDataFrame([(x,) for x in nodes], "node bigint"), spark.createDataFrame(sorted(e), "src bigint, dst bigint")
+
+
+def _packed_graphs(monkeypatch):
+    monkeypatch.setattr(peel, "ONE_BATCH", 10)
+    monkeypatch.setattr(packed, "DENSITY", 1)
+    monkeypatch.setattr(packed, "PIECE", 200)
+
+
+def test_packed_snapshots(parts, odd, monkeypatch):
+    columns = ["component", "sid", "node", "deg", "nc", "sum_deg", "q", "q_full", "parent"]
+    plain = snapshots.snapshots(*parts).select(columns), snapshots.snapshots(*odd).select(columns)
+    want = [_rows(x) for x in plain]
+    held = lambda s: _rows(snapshots.members(s, s))
+    sets = held(snapshots.snapshots(*parts))
+    _packed_graphs(monkeypatch)
+    monkeypatch.setattr(snapshots, "_replay", None)  # the plain way is not taken
+    got = snapshots.snapshots(*parts)
+    assert _rows(got.select(columns)) == want[0] and held(got) == sets
+    monkeypatch.undo()
+    _packed_graphs(monkeypatch)
+    assert _rows(snapshots.snapshots(*odd).select(columns)) == want[1]  # repeated edges: the plain way
+
+
+@pytest.mark.parametrize("eps", [1.0, 100.0, 1e4])
+def test_packed_best_by_edge(parts, monkeypatch, eps):
+    want = _rows(snapshots.best_by_edge(*parts, eps))
+    _packed_graphs(monkeypatch)
+    monkeypatch.setattr(snapshots, "_edge_replay", None)
+    assert _rows(snapshots.best_by_edge(*parts, eps)) == want
