@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from graphloom.operators import components, cores, graph, packed, peel, snapshots
+from graphloom.operators import components, cores, graph, packed, paths, peel, snapshots
 
 
 @pytest.fixture
@@ -117,3 +117,17 @@ def test_packed_best_by_edge(parts, monkeypatch, eps):
     _packed_graphs(monkeypatch)
     monkeypatch.setattr(snapshots, "_edge_replay", None)
     assert _rows(snapshots.best_by_edge(*parts, eps)) == want
+
+
+def test_packed_connectivity(odd, spark, monkeypatch):
+    """Sets that overlap, with loops, repeated edges, isolated vertices and nulls: as in one task, none of them as rows."""
+    v, e = odd
+    sets = [(1, 7 * i) for i in range(10)] + [(2, 7 * i) for i in range(5, 12)] + [(2, 8)] + [(3, 1000 + i) for i in range(5)] + [(4, 7), (5, 3)]
+    sets = spark.createDataFrame(sets, "set_id bigint, node bigint")
+    monkeypatch.setattr(packed, "PIECE", 20)
+    monkeypatch.setattr(packed, "DENSITY", 1)
+    monkeypatch.setattr(paths, "power_rounds", None)
+    for variant in ("shift", "damped"):
+        one = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, variant).collect()}
+        many = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, variant, one_task=8).collect()}
+        assert len(many) == 5 and many == pytest.approx(one, rel=1e-9)
