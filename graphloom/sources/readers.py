@@ -2,58 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from graphloom.functions.ranks import placed
+from graphloom.functions.storage import materialise
 from graphloom.operators.graph import simple
 
+#: Vertices that are spelled out together.
+BLOCK = 100_000
+
 
 def header_edges(spark: SparkSession, path: str, multigraph: bool = False, first_m: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(vertices, edges)`` of a stream of whitespace-separated integers: ``n m``, then m pairs; ids from 1.
 
-    Lines may break anywhere, between the ends of a pair too. Every block of the file is read by its own task; the place of
-    a line's first token comes from the counts of the blocks before it and of the lines before it in its block. Pairs
-    that stand in one line are cut out of it; only single ends are brought together by their pair's number. Loops and pairs
-    out of range are left out; with ``first_m`` so is what follows the m-th pair, else m is not looked at.
+    Lines may break anywhere, between the ends of a pair too; ``path`` may be a folder of parts, read in the order of their names.
+    Every block is read by its own task, twice and without a shuffle: once for its number of tokens and its first and last one, once to
+    cut pairs out of it, counting on from the blocks before it. Only a pair that breaks between two blocks is put together
+    from their ends. Loops and pairs out of range are left out; with ``first_m`` so is what follows the m-th pair, else m is not looked at.
     """
     line = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"),
         F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("t"),
     ).where(F.size("t") > 0)
-    block = line.groupBy("f", "b").agg(F.sum(F.size("t")).alias("n"))
-    block = block.select("f", "b", (F.sum("n").over(W.orderBy("f", "b")) - F.col("n")).alias("before"))  # a row for each block of the file
-    place = F.sum(F.size("t")).over(W.partitionBy("f", "b").orderBy("at")) - F.size("t")
-    line = line.withColumn("place", place).join(F.broadcast(block), ["f", "b"]).select("t", (F.col("place") + F.col("before")).alias("place"))
-    head = line.where("place < 2").select("place", F.slice("t", 1, 2).alias("t")).orderBy("place").take(2)
+    block = line.groupBy("f", "b").agg(
+        F.sum(F.size("t")).alias("n"), F.min_by(F.get("t", F.lit(0)), "at").alias("first"), F.max_by(F.element_at("t", -1), "at").alias("last")
+    )
+    order = W.orderBy("f", "b")  # a row for each block of the files
+    block = materialise(block.select("f", "b", (F.sum("n").over(order) - F.col("n")).alias("before"), "first", F.lag("last").over(order).alias("last")), "blocks")
+    start = [r["f"] for r in block.where("before < 2").select("f").distinct().collect()]  # of one file, or two
+    head = line.where(F.col("f").isin(start)).orderBy("f", "b", "at").select("t").take(2)
     n, m = (int(x) for x in ([x for r in head for x in r["t"]] + ["0", "0"])[:2])
-    # from here on places count from the first pair's first end
-    skip = F.greatest(F.lit(0), 2 - F.col("place")).cast("int")
-    body = line.select(F.slice("t", skip + 1, F.size("t")).alias("t"), (F.greatest(F.col("place"), F.lit(2)) - 2).alias("place")).where(F.size("t") > 0)
-    odd = (F.col("place") % 2).cast("int")
-    body = body.select("t", "place", odd.alias("odd"), F.slice("t", odd + 1, F.size("t")).alias("rest"))
-    first, pairs = F.floor((F.col("place") + F.col("odd")) / 2), F.floor(F.size("rest") / 2).cast("int")
-    whole = F.transform(
-        F.filter(F.sequence(F.lit(0), pairs), lambda i: i < pairs),
-        lambda i: F.struct((first + i).alias("k"), F.get("rest", 2 * i).alias("src"), F.get("rest", 2 * i + 1).alias("dst")),
-    )
-    none = F.lit(None).cast("string")
-    before = F.struct(F.floor(F.col("place") / 2).alias("k"), none.alias("src"), F.col("t")[0].alias("dst"))
-    after = F.struct((first + pairs).alias("k"), F.element_at("t", -1).alias("src"), none.alias("dst"))
-    single = F.filter(F.array(F.when(F.col("odd") == 1, before), F.when(F.size("rest") % 2 == 1, after)), lambda x: x.isNotNull())
-    met = body.select(F.inline(single)).groupBy("k").agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
-    ends = body.select(F.inline(whole)).unionByName(met).where(F.lit(not first_m) | (F.col("k") < m)).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    line = line.join(F.broadcast(block.select("f", "b", "before")), ["f", "b"]).select("before", "t")
+    met = block.where("before > 2 AND before % 2 = 1").select(((F.col("before") - 3) / 2).cast("bigint").alias("k"), F.col("last").alias("src"), F.col("first").alias("dst"))
+    ends = line.mapInArrow(_cut_pairs, "k bigint, src string, dst string").unionByName(met).where(F.lit(not first_m) | (F.col("k") < m))
     ends = ends.select(*(F.expr(f"try_cast({c} AS bigint)").alias(c) for c in ("src", "dst"))).where(F.col("src").between(1, n) & F.col("dst").between(1, n))
     return spark.range(1, n + 1).select(F.col("id").alias("node")), simple(ends, multigraph=multigraph)
 
 
+def _cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines ``(before, t)`` in the order of their blocks as pairs ``(k, src, dst)``, counted from the first after the head.
+    ``before``: the tokens of all blocks before a line's own."""
+    empty = pa.array([], pa.string())
+    block, place, left = None, 0, empty  # of the block: tokens so far, and a first end without its second
+    for batch in batches:
+        starts = batch.column(0).to_numpy(zero_copy_only=False)
+        turns = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), len(starts)] if len(starts) else [0]
+        for lo, hi in zip(turns[:-1], turns[1:]):
+            if starts[lo] != block:
+                block, place, left = starts[lo], int(starts[lo]), empty
+            at = place - len(left)
+            t = pa.concat_arrays([left, batch.column(1).slice(lo, hi - lo).flatten().cast(pa.string())])
+            place = at + len(t)
+            skip = max(0, 2 - at) if at < 2 else at % 2  # the head, or a second end whose first stands in the block before
+            t, at = t.slice(skip), at + skip
+            whole = len(t) // 2
+            left, one = t.slice(2 * whole), 2 * np.arange(whole)
+            yield pa.RecordBatch.from_pydict({"k": pa.array((at - 2) // 2 + np.arange(whole), pa.int64()), "src": t.take(pa.array(one)), "dst": t.take(pa.array(one + 1))})
+
+
 def plain_edges(spark: SparkSession, path: str, multigraph: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(vertices, edges)`` of lines of two ids from 0, split by white space or a comma; ``#`` starts a comment.
     The vertices are 0 to the greatest id."""
     t = F.split(F.trim(F.split("value", "#")[0]), r"\s*,\s*|\s+")
     pairs = spark.read.text(path).select(t.alias("t")).select(F.expr("try_cast(t[0] AS bigint)").alias("src"), F.expr("try_cast(get(t, 1) AS bigint)").alias("dst"))
     pairs = pairs.where("src IS NOT NULL AND dst IS NOT NULL")
-    top = pairs.agg(F.max(F.greatest("src", "dst")).alias("n")).first()["n"]
-    return spark.range(0, (top if top is not None else -1) + 1).select(F.col("id").alias("node")), simple(pairs, multigraph=multigraph)
+    top = pairs.agg(F.max(F.greatest("src", "dst")).alias("top"))  # a pass over the file, made only if the vertices are asked for
+    some = top.where("top >= 0").select(F.explode(F.sequence(F.lit(0), F.floor(F.col("top") / BLOCK))).alias("k"), "top").repartition("k")
+    first = F.col("k") * BLOCK
+    vertices = some.select(F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("top")))).alias("node"))
+    return vertices, simple(pairs, multigraph=multigraph)
 
 
 def dictionary(values: DataFrame, value: str, name: str = "code") -> DataFrame:

@@ -1,6 +1,7 @@
 """Files in and out, and the streaming job."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,49 @@ def test_edge_lists(spark, tmp_path):
     assert pairs(again) == [(1, 3), (2, 3)]
 
 
+def test_header_file_in_parts(spark, tmp_path):
+    """Parts in the order of their names make one file; they and blocks break it between the ends of a pair, within the head too."""
+    rng = random.Random(3)
+    e = [(rng.randint(1, 500), rng.randint(1, 500)) for _ in range(3000)]
+    want = sorted({(min(p), max(p)) for p in e if p[0] != p[1]})
+    tokens = ["500", "3000", *(str(x) for p in e for x in p)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    try:
+        for name, cuts in (("a", [1, 2, 5, 5, 1000, 1001]), ("b", [3, 4]), ("c", [2500])):
+            (tmp_path / name).mkdir()
+            for i, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(tokens)])):
+                text = "".join(t + rng.choice(["\n", " ", "\t", "\n\n "]) for t in tokens[lo:hi])
+                (tmp_path / name / f"part-{i:05d}").write_text(text)
+            v, got = readers.header_edges(spark, str(tmp_path / name))
+            assert pairs(got) == want and v.count() == 500
+            few = readers.header_edges(spark, str(tmp_path / name), multigraph=True)[1]
+            assert pairs(few) == sorted((min(p), max(p)) for p in e if p[0] != p[1])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "part-0").write_text("")
+    v, got = readers.header_edges(spark, str(tmp_path / "empty"))
+    assert v.count() == 0 and pairs(got) == []
+
+
+def test_header_file_written_in_parallel(spark, tmp_path):
+    """Every task writes its own part; the head stands first."""
+    e = spark.range(1, 101, 1, 4).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    writers.header_edge_list(e, 101, str(tmp_path / "h"))
+    parts = sorted(p for p in (tmp_path / "h").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 2 and parts[0].read_text().split("\n")[0] == "101 100"
+    assert pairs(readers.header_edges(spark, str(tmp_path / "h"))[1]) == [(i, i + 1) for i in range(1, 101)]
+
+
+def test_plain_vertices_when_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "BLOCK", 7)
+    (tmp_path / "p.txt").write_text("0 3\n3 50\n")
+    v, e = readers.plain_edges(spark, str(tmp_path / "p.txt"))
+    assert sorted(r["node"] for r in v.collect()) == list(range(51)) and pairs(e) == [(0, 3), (3, 50)]
+    (tmp_path / "p.txt").write_text("# none\n")
+    assert readers.plain_edges(spark, str(tmp_path / "p.txt"))[0].collect() == []
+
+
 def test_citations(spark, tmp_path):
     (tmp_path / "c").write_text("p1 0 1 0 ai\np2 1 0 0 db\np3 0 0 1 ai\n")
     (tmp_path / "l").write_text("p1 p2\np2 p1\np3 p3\np1 unknown\n")
