@@ -236,3 +236,14 @@ def test_connectivity_of_sets_beyond_a_task(spark):
     one = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, "shift").collect()}
     many = {r["set_id"]: r["lambda2"] for r in paths.lambda2(e, sets, "shift", one_task=4).collect()}
     assert many == pytest.approx(one) and one[1] == pytest.approx(5, abs=1e-6)
+
+
+def test_two_sweeps_write_their_edges_once(spark, monkeypatch):
+    """Repeated edges and both directions of one change no distance."""
+    v = spark.range(8).selectExpr("id AS node")
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (1, 2), (2, 3), (3, 4), (2, 6), (5, 5), (None, 3)], "src bigint, dst bigint")
+    written = []
+    plain = paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, name="step", **kw: (written.append(name), plain(df, name, **kw))[1])
+    assert tuple(paths.two_sweep_diameter(v, e).first()) == (4, 4, 0)
+    assert written.count("bfs-edges") == 1
