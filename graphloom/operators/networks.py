@@ -7,7 +7,8 @@ those of the k vertices of greatest score (top-k pooling; the score is learned t
 Vertex rows stay spread out. A convolution is a join of the normalised edges with the rows and a sum by target; the reverse
 pass sends gradients along the same edges, which are symmetric. Gradients of the weights are sums over the rows, formed
 in each task and added up by Spark; only they (as many numbers as the model has weights) come to the driver, which keeps the
-weights and Adam's moments. No task holds the graph, and no matrix has a row and a column for each vertex.
+weights and Adam's moments. No task holds the graph, and no matrix has a row and a column for each vertex. A large dense graph is packed
+(``packed``): a pass over its edges reads 4 bytes an edge end, and the vectors are broadcast to the pieces as one packed state.
 
 Defined results: edges count once and both ways; loops and null ends count for nothing; each convolution adds a loop of weight 1.
 Vertices without features or label are left out; without a training row the loss is 0 and nothing is learned. An empty
@@ -21,12 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.ranks import placed
 from graphloom.functions.storage import materialise
+from graphloom.operators import packed
 from graphloom.operators.graph import out_degree, simple, symmetrise
 
+#: Edges from which a dense graph is packed.
+PACK_EDGES = 1_000_000
+
 
 def links(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(s, d, c)``: symmetric weighted ``pairs(s, d, w)`` and a loop of weight 1 for each vertex, over the roots of both degrees."""
@@ -101,29 +107,152 @@ class Weights:
         return Weights(*(c.reshape(x.shape) for c, x in zip(cut, vars(self).values())))
 
 
+@dataclass
+class Rows:
+    """A graph as rows: the undirected edges and their normalised links."""
+
+    edges: DataFrame
+    links: DataFrame
+
+    @staticmethod
+    def of(own: DataFrame, edges: DataFrame) -> tuple[Rows, DataFrame]:
+        """The graph of the vertices ``own``, and their out-degrees."""
+        e = simple(edges).join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi")
+        e = materialise(e.select("src", "dst"), "network-edges")
+        joined = materialise(links(own, symmetrise(e).withColumn("w", F.lit(1))), "network-links")
+        return Rows(e, joined), materialise(out_degree(own, e), "network-degrees")
+
+    def convolved(self, rows: DataFrame, width: int) -> DataFrame:
+        return convolved(self.links, rows, width)
+
+    def nearest(self, kept: DataFrame) -> DataFrame:
+        """``(node, near)``: the greatest ``pick`` of the neighbours in ``kept(node, pick)``."""
+        return symmetrise(self.edges).join(kept.select(F.col("node").alias("d"), "pick"), "d").groupBy(F.col("s").alias("node")).agg(F.max("pick").alias("near"))
+
+    def between(self, of: DataFrame) -> DataFrame:
+        """``(s, d, w)``: how many edges join two different clusters of ``of(node, cluster_id)``, both ways."""
+        a = of.select(F.col("node").alias("src"), F.col("cluster_id").alias("s"))
+        b = of.select(F.col("node").alias("dst"), F.col("cluster_id").alias("d"))
+        pairs = self.edges.join(a, "src").join(b, "dst").where("s <> d").select(F.inline(F.array(F.struct("s", "d"), F.struct(F.col("d").alias("s"), F.col("s").alias("d")))))
+        return pairs.groupBy("s", "d").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _by_number(column: pa.Array, width: int) -> np.ndarray:
+    """A column of numbers, or of lists of ``width`` of them, as ``width`` rows."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, width).T
+
+
+@dataclass
+class Packed:
+    """A dense graph as packed pieces: the vertices' numbers, ``ids(node, i, root)`` with one over the root of the degree (loop counted)."""
+
+    ids: DataFrame
+    parts: DataFrame
+    n: int
+
+    @staticmethod
+    def of(own: DataFrame, edges: DataFrame, n: int, n_edges: int) -> tuple[Packed, DataFrame]:
+        ids = packed.numbered(own)
+        g = Packed(ids, packed.pieces(ids, edges, n_edges, merge=True).select("own", "counts", "near"), n)
+
+        def degrees(own: np.ndarray, counts: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
+            return {"i": own, "all": counts, "later": np.add.reduceat((near > np.repeat(own, counts)).astype(np.int64), np.cumsum(counts) - counts)}
+
+        # numbers follow the ids, so an edge leaves its lesser number
+        deg = ids.join(g._each(None, degrees, "i int, all int, later bigint"), "i", "left").na.fill(0, ["all", "later"])
+        deg = materialise(deg.select("node", "i", (1 / F.sqrt(F.col("all") + 1.0)).alias("root"), F.col("later").cast("bigint").alias("deg")), "network-degrees")
+        g.ids = deg.select("node", "i", "root")
+        return g, deg.select("node", "deg")
+
+    def _state(self, rows: DataFrame, width: int, kind: type) -> DataFrame:
+        """Rows ``(i, v)``, v a number or list of them, as one packed row; 0 where there is none. One task holds ``width`` numbers a vertex."""
+        n = self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = np.zeros((width, n), kind)
+            for b in batches:
+                x[:, b.column(0).to_numpy()] = _by_number(b.column(1), width)
+            yield pa.RecordBatch.from_pydict({"state": pa.array([x.tobytes()], pa.binary())})
+
+        return rows.select("i", "v").repartition(1).mapInArrow(run, "state binary")
+
+    def _each(self, state: DataFrame | None, step: Callable, schema: str, width: int = 1, kind: type = np.int32) -> DataFrame:
+        """The columns that ``step(own, counts, near[, state])`` gives for each piece."""
+        n = self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in packed.rows_of(batches):
+                more = [packed.numbers(r["state"], kind).reshape(width, n)] if "state" in r else []
+                out = step(*(packed.numbers(r[c]) for c in ("own", "counts", "near")), *more)
+                yield pa.RecordBatch.from_pydict({k: x if isinstance(x, pa.Array) else pa.array(x) for k, x in out.items()})
+
+        rows = self.parts if state is None else self.parts.crossJoin(F.broadcast(state))
+        return rows.mapInArrow(run, schema)
+
+    def convolved(self, rows: DataFrame, width: int) -> DataFrame:
+        """As the function: scaled by the root of the own degree, added up over the neighbours and the vertex itself, scaled again."""
+        own = rows.join(self.ids, "node").select("node", "i", "root", F.transform("v", lambda x: x * F.col("root")).alias("v"))
+
+        def add(own: np.ndarray, counts: np.ndarray, near: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+            at = np.cumsum(counts) - counts
+            total = np.stack([np.add.reduceat(column[near], at) for column in x], 1)
+            return {"i": own, "near": pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, width, dtype=np.int32)), pa.array(total.ravel()))}
+
+        near = self._each(self._state(own, width, np.float64), add, "i int, near array<double>", width, np.float64)
+        total = F.transform("v", lambda x, j: F.col("root") * (x + F.coalesce(F.get("near", j), F.lit(0.0))))
+        return own.join(near, "i", "left").select("node", total.alias("v"))
+
+    def nearest(self, kept: DataFrame) -> DataFrame:
+        ranks = materialise(placed(kept.select("node", "pick"), "v", F.col("pick"), first=1), "network-ranks")
+
+        def greatest(own: np.ndarray, counts: np.ndarray, near: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+            best = np.maximum.reduceat(x[0][near], np.cumsum(counts) - counts)
+            return {"i": own[best > 0], "v": best[best > 0]}
+
+        best = self._each(self._state(ranks.join(self.ids, "node"), 1, np.int32), greatest, "i int, v int")
+        return best.join(ranks.select("v", F.col("pick").alias("near")), "v").join(self.ids, "i").select("node", "near")
+
+    def between(self, of: DataFrame) -> DataFrame:
+        named = materialise(placed(of.select("cluster_id").where("cluster_id IS NOT NULL").distinct(), "v", F.col("cluster_id"), first=1), "network-clusters")
+
+        def pairs(own: np.ndarray, counts: np.ndarray, near: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+            s, d = np.repeat(x[0][own], counts).astype(np.int64), x[0][near]
+            key = (s << 32 | d)[(s != d) & (s > 0) & (d > 0)]  # 0: in no cluster
+            key, w = np.unique(key, return_counts=True)
+            return {"s": key >> 32, "d": key & 0xFFFFFFFF, "w": w}
+
+        state = self._state(of.join(named, "cluster_id").join(self.ids, "node"), 1, np.int32)
+        rows = self._each(state, pairs, "s bigint, d bigint, w bigint").groupBy("s", "d").agg(F.sum("w").alias("w"))
+        a, b = named.select(F.col("v").alias("s"), F.col("cluster_id").alias("a")), named.select(F.col("v").alias("d"), F.col("cluster_id").alias("b"))
+        return rows.join(a, "s").join(b, "d").select(F.col("a").alias("s"), F.col("b").alias("d"), "w")
+
+
 @dataclass
 class Graph:
-    """What a network is trained on: ``nodes(node, x, y, role)``, their links and the undirected edges."""
+    """What a network is trained on: ``nodes(node, x, y, role)``, the graph between them and their out-degrees."""
 
     nodes: DataFrame
-    links: DataFrame
-    edges: DataFrame
+    held: Rows | Packed
     degrees: DataFrame
     inputs: int
     classes: int
     training: int
 
 
-def prepared(vertices: DataFrame, edges: DataFrame, features: DataFrame, labels: DataFrame, split: DataFrame) -> Graph:
+def prepared(vertices: DataFrame, edges: DataFrame, features: DataFrame, labels: DataFrame, split: DataFrame, hidden: int) -> Graph:
     nodes = vertices.select("node").distinct().join(features, "node").join(labels.select("node", "label"), "node").join(split.select("node", "role"), "node")
     nodes = nodes.select("node", F.col("vector").cast("array<double>").alias("x"), F.col("label").cast("int").alias("y"), "role")
     nodes = materialise(nodes.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "network-nodes")
-    own = nodes.select("node")
-    e = simple(edges).join(own.select(F.col("node").alias("src")), "src", "left_semi").join(own.select(F.col("node").alias("dst")), "dst", "left_semi")
-    e = materialise(e.select("src", "dst"), "network-edges")
-    joined = materialise(links(own, symmetrise(e).withColumn("w", F.lit(1))), "network-links")
-    facts = nodes.agg(F.max(F.size("x")).alias("f"), F.max("y").alias("c"), F.count_if(F.col("role") == "train").alias("n")).first()
-    return Graph(nodes, joined, e, materialise(out_degree(own, e), "network-degrees"), facts["f"] or 0, (facts["c"] or 0) + 1, facts["n"] or 0)
+    facts = nodes.agg(F.max(F.size("x")).alias("f"), F.max("y").alias("c"), F.count_if(F.col("role") == "train").alias("n"), F.count(F.lit(1)).alias("rows"), F.countDistinct("node").alias("nodes")).first()
+    own, m = nodes.select("node"), edges.count()
+    # a packed state holds a vector for each vertex, and a vertex once
+    fits = facts["rows"] == facts["nodes"] and facts["rows"] * hidden <= packed.VERTICES
+    if fits and m >= PACK_EDGES and packed.dense(own, m):
+        held, degrees = Packed.of(own, edges, facts["rows"], m)
+    else:
+        held, degrees = Rows.of(own, edges)
+    return Graph(nodes, held, degrees, facts["f"] or 0, (facts["c"] or 0) + 1, facts["n"] or 0)
 
 
 @dataclass
@@ -139,11 +268,7 @@ def pools(g: Graph, partition: DataFrame) -> Pools:
     """A partition of all vertices; edges between clusters weigh as many as there are, both ways."""
     of = materialise(partition.select("node", "cluster_id"), "network-pools")
     sizes = of.groupBy(F.col("cluster_id").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    a = of.select(F.col("node").alias("src"), F.col("cluster_id").alias("s"))
-    b = of.select(F.col("node").alias("dst"), F.col("cluster_id").alias("d"))
-    pairs = g.edges.join(a, "src").join(b, "dst").where("s <> d").select(F.inline(F.array(F.struct("s", "d"), F.struct(F.col("d").alias("s"), F.col("s").alias("d")))))
-    pairs = pairs.groupBy("s", "d").agg(F.count(F.lit(1)).alias("w"))
-    return Pools(of, materialise(sizes, "network-sizes"), materialise(links(sizes.select("node"), pairs), "network-pool-links"))
+    return Pools(of, materialise(sizes, "network-sizes"), materialise(links(sizes.select("node"), materialise(g.held.between(of), "network-between")), "network-pool-links"))
 
 
 def top_k(g: Graph, scores: DataFrame, k: int) -> DataFrame:
@@ -151,7 +276,7 @@ def top_k(g: Graph, scores: DataFrame, k: int) -> DataFrame:
     order; any other vertex joins the adjacent one of greatest out-degree (then lower id), or that of all if it has none."""
     kept = placed(scores.orderBy(F.desc("score"), "node").limit(k), "cluster_id", F.desc("score"), F.col("node")).join(g.degrees, "node")
     kept = materialise(kept.select("node", "cluster_id", F.struct("deg", (-F.col("node")).alias("low"), "cluster_id").alias("pick")), "network-kept")
-    near = symmetrise(g.edges).join(kept.select(F.col("node").alias("d"), "pick"), "d").groupBy(F.col("s").alias("node")).agg(F.max("pick").alias("near"))
+    near = g.held.nearest(kept)
     most = kept.agg(F.max("pick").alias("most"))
     rows = g.nodes.select("node").join(kept.select("node", "cluster_id"), "node", "left").join(near, "node", "left").crossJoin(F.broadcast(most))
     return rows.select("node", F.coalesce("cluster_id", "near.cluster_id", "most.cluster_id").alias("cluster_id"))
@@ -169,7 +294,7 @@ def forward(g: Graph, w: Weights, clusters: Pools | int) -> tuple[DataFrame, Dat
     vector = "v array<double>"
     node = g.nodes.schema["node"].dataType.simpleString()
     h = _each(g.nodes.select("node", "x"), lambda b: pd.DataFrame({"node": b["node"], "v": list(_array(b["x"], 0) @ shared.value.first)}), f"node {node}, {vector}")
-    z = materialise(convolved(g.links, h, hidden), "network-hidden")
+    z = materialise(g.held.convolved(h, hidden), "network-hidden")
     if not isinstance(clusters, Pools):
         scores = _each(z, lambda b: pd.DataFrame({"node": b["node"], "score": _gated(_array(b["v"], 0), shared.value)[0] @ shared.value.score}), f"node {node}, score double")
         clusters = pools(g, top_k(g, scores, clusters))
@@ -231,7 +356,7 @@ def backward(g: Graph, w: Weights, rows: DataFrame, mean: DataFrame, clusters: P
     first_bias, score, bias, skip = np.split(_total(m, own, 2 * hidden + classes + hidden * classes), np.cumsum([hidden, hidden, classes]))
     node = g.nodes.schema["node"].dataType.simpleString()
     dz = _each(m, lambda b: pd.DataFrame({"node": b["node"], "v": list(parts(b)[3])}), f"node {node}, v array<double>")
-    dh = convolved(g.links, dz, hidden).join(g.nodes.select("node", "x"), "node")
+    dh = g.held.convolved(dz, hidden).join(g.nodes.select("node", "x"), "node")
     first = _total(dh, lambda b: (_array(b["x"], 0).T @ _array(b["v"], 0)).ravel(), g.inputs * hidden)
     return Weights(first.reshape(-1, hidden), first_bias, score, pooled.reshape(hidden, -1), bias, skip.reshape(hidden, -1), bias.copy())
 
@@ -251,7 +376,7 @@ def train(vertices: DataFrame, edges: DataFrame, features: DataFrame, labels: Da
 
     ``clusters``: a partition ``(node, cluster_id)`` of all vertices, or the number of vertices kept by top-k pooling.
     """
-    g = prepared(vertices, edges, features, labels, split)
+    g = prepared(vertices, edges, features, labels, split, hidden)
     fixed = clusters if isinstance(clusters, int) else pools(g, clusters)
     w = Weights.drawn(g.inputs, hidden, g.classes, seed)
     flat = w.flat()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.operators import networks
+from graphloom.operators import networks, packed
 
 
 def ahat(n, pairs):
@@ -85,6 +85,40 @@ def test_five_steps_against_numpy(spark, kind):
     assert pred.count() == n and set(pred.columns) == {"node", "label", "pred", "role"}
 
 
+@pytest.mark.parametrize("kind", ["seeded", "top"])
+def test_packed_steps_against_numpy(spark, kind, monkeypatch):
+    monkeypatch.setattr(networks, "PACK_EDGES", 1)
+    monkeypatch.setattr(packed, "DENSITY", 1)
+    monkeypatch.setattr(packed, "PIECE", 40)
+    monkeypatch.setattr(networks.Rows, "of", None)  # the plain way is not taken
+    n, pairs, x, y, role, frames = two_groups(spark)
+    given = np.array([i % 5 - 2 for i in range(n)])
+    clusters = spark.createDataFrame([(i, int(c)) for i, c in enumerate(given)], "node bigint, cluster_id bigint") if kind == "seeded" else 6
+    steps = 3 if kind == "seeded" else 2
+    pred, losses = networks.train(*frames, clusters, hidden=4, rounds=steps)
+    want = losses_by_numpy(n, pairs, x, y, np.array(role) == "train", given + 2 if kind == "seeded" else 6, 4, 2, steps)
+    assert losses == pytest.approx(want, abs=1e-6) and pred.count() == n
+
+
+def test_packed_graph_as_rows(spark, monkeypatch):
+    """Repeated edges, loops, nulls, foreign ends, vertices without edges, vertices in no cluster."""
+    monkeypatch.setattr(packed, "PIECE", 30)
+    rng = random.Random(7)
+    e = spark.createDataFrame([(rng.randrange(20) * 3, rng.randrange(20) * 3) for _ in range(150)] + [(None, 3), (3, 3), (3, 9999)], "src bigint, dst bigint")
+    own = spark.createDataFrame([(3 * i,) for i in range(25)], "node bigint")
+    plain, deg = networks.Rows.of(own, e)
+    held, packed_deg = networks.Packed.of(own, e, 25, e.count())
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(deg) == rows(packed_deg)
+    vectors = spark.createDataFrame([(3 * i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(25)], "node bigint, v array<double>")
+    for (a, v), (b, w) in zip(rows(plain.convolved(vectors, 2)), rows(held.convolved(vectors, 2)), strict=True):
+        assert a == b and v == pytest.approx(w, abs=1e-12)
+    kept = spark.createDataFrame([(9, (5, -9, 0)), (0, (5, 0, 1)), (30, (7, -30, 2))], "node bigint, pick struct<deg: bigint, low: bigint, cluster_id: bigint>")
+    assert rows(plain.nearest(kept)) == rows(held.nearest(kept)) != []
+    of = spark.createDataFrame([(3 * i, 10 * (i % 4) - 10) for i in range(18)], "node bigint, cluster_id bigint")
+    assert rows(plain.between(of)) == rows(held.between(of)) != []
+
+
 def test_nothing_to_learn_from(spark):
     *_, (v, e, f, lab, split) = two_groups(spark)
     pred, losses = networks.train(v, e, f, lab, split.replace("train", "test", "role"), 3, hidden=2, rounds=2)
