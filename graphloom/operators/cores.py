@@ -71,6 +71,7 @@ def kcore(edges: DataFrame, k: int) -> DataFrame:
     n = live.count()
     while n > ONE_TASK_EDGES:
         keep = symmetrise(live).groupBy(F.col("s").alias("node")).agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") >= k)
+        keep = materialise(keep.select("node"), "kcore-nodes")  # its size known, it goes to the edges while it is small
         live = materialise(induced(live, keep), "kcore")
         left = live.count()
         if left == n:
