@@ -122,7 +122,8 @@ def edge_symmetrize(spark, d):
 
 @query("edge_canonical", _sql("SELECT DISTINCT least(s, d) AS src, greatest(s, d) AS dst FROM sym WHERE s <> d"))
 def edge_canonical(spark, d):
-    return graph.simple(graph.symmetrise(weighted(spark, d)), "s", "d")
+    e = edges(spark, d)
+    return graph.simple(graph.symmetrise(e), "s", "d", rows=2 * e.count())
 
 
 @query("out_degree", _sql("SELECT node, count(dst)::BIGINT AS deg FROM vtx LEFT JOIN e ON src = node GROUP BY node"))

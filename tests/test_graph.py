@@ -250,3 +250,11 @@ def test_edges_stay_where_they_are_beside_few_vertices(spark, monkeypatch):
     want = {r["node"] for r in peel.peel_by_component(v, e).where("core >= 5").select("node").collect()}
     assert {r["node"] for r in cores.kcore(e, 5).collect()} == want
     assert not any("src" in x or "dst" in x for step in read for x in step)
+
+
+def test_merged_edges_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 20)
+    e = spark.createDataFrame([(a, b) for a, b in random_graph(20, 0.5, 6) for a, b in ((a, b), (b, a), (a, a))], "src bigint, dst bigint")
+    got = graph.simple(e, rows=e.count())
+    assert got.rdd.getNumPartitions() == -(-e.count() // 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.simple(e).collect())) == sorted(random_graph(20, 0.5, 6))
