@@ -404,12 +404,19 @@ def diameter_2sweep(spark, d):
     return paths.two_sweep_diameter(vertices(spark, d), weighted(spark, d))  # writes the edges itself
 
 
-@query("nearest_seed_owner", _sql("SELECT node, dist::BIGINT AS dist, min(owner) AS owner FROM ow WHERE (node, dist) IN (SELECT node, min(dist) FROM ow GROUP BY node) GROUP BY node, dist",
-    _DEG, "ow(node, dist, owner) AS (SELECT node, 0, node FROM (SELECT node FROM dg ORDER BY deg DESC, node LIMIT 5) UNION SELECT d, dist + 1, owner FROM ow JOIN sym ON s = node WHERE dist < 2)"))
+@query("nearest_seed_owner", _sql("SELECT f.node, dist, f.owner FROM (SELECT dist, unnest(front) AS f FROM ow)", _DEG, """tk AS MATERIALIZED (SELECT node FROM dg ORDER BY deg DESC, node LIMIT 5),
+ow(dist, front, done) AS (SELECT 0::BIGINT, (SELECT list({'node': node, 'owner': node}) FROM tk), (SELECT list(node) FROM tk) UNION ALL
+ SELECT dist + 1, nx, list_concat(done, list_transform(nx, lambda x: x.node)) FROM (SELECT dist, done, (SELECT list({'node': d, 'owner': o}) FROM
+  (SELECT sym.d, min(a.f.owner) AS o FROM unnest(front) a(f) JOIN sym ON sym.s = a.f.node WHERE NOT list_contains(done, sym.d) GROUP BY sym.d)) AS nx FROM ow) WHERE len(nx) > 0)"""))
 def nearest_seed_owner(spark, d):
+    """Every vertex that the seeds reach, however far."""
+    return _nearest(spark, d)
+
+
+def _nearest(spark, d, max_hops: int | None = None) -> DataFrame:
     e = edges(spark, d)
     seeds = graph.degree(vertices(spark, d), e).orderBy(F.desc("deg"), "node").limit(5).select("node", F.col("node").alias("owner"))
-    return paths.owners(e, seeds, max_hops=2)
+    return paths.owners(e, seeds, max_hops)
 
 
 # partitions
@@ -576,7 +583,7 @@ FROM lab LEFT JOIN (SELECT node, min(owner) AS owner FROM ow WHERE (node, dist)
     _DEG, "ow(node, dist, owner) AS (SELECT node, 0, node FROM (SELECT node FROM dg ORDER BY deg DESC, node LIMIT 5) UNION SELECT d, dist + 1, owner FROM ow JOIN sym ON s = node WHERE dist < 2)"))
 def nearest_seed_eval(spark, d):
     lab = regions(spark, d)
-    near = nearest_seed_owner(spark, d).join(lab.select(F.col("node").alias("owner"), F.col("label").alias("pred")), "owner").select("node", "pred")
+    near = _nearest(spark, d, 2).join(lab.select(F.col("node").alias("owner"), F.col("label").alias("pred")), "owner").select("node", "pred")
     a = metrics.accuracy(lab.join(near, "node", "left"))
     return a.select(*(F.round(c, 9).alias(c) for c in ("accuracy", "covered_accuracy", "coverage")))
 
