@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from graphloom.operators import features
 from graphloom.plans.queries import QUERIES, SQL
 
 
@@ -36,3 +37,24 @@ def test_owners_reach_far_vertices(spark, path):
 def test_nearest_seed_eval_stays_within_two_hops(spark, path):
     got, want = _both(spark, "nearest_seed_eval", path)
     assert got == want and got[0][1] == pytest.approx(8 / 15)  # coverage: 0 to 7
+
+
+def test_virtual_edges_of_a_large_set(spark):
+    """More than 20,000 chosen vertices, in three blocks; no pair is counted twice or left out."""
+    n = 20_500
+    chosen = spark.range(n).selectExpr("CASE WHEN id < 5 THEN id ELSE id + 7 END AS node").unionByName(spark.createDataFrame([(3,), (None,)], "node bigint"))
+    e = spark.createDataFrame([(1, 2), (1, 2), (0, 20_000), (5, 6), (9, 30_000), (12, 3)], "src bigint, dst bigint")
+    out = features.virtual_weights(e, chosen)
+    assert out.groupBy("n").count().orderBy("n").collect() == [(1, 3), (3, n * (n - 1) // 2 - 2), (4, 1), (5, 1)]
+    sums = out.where("n >= 3").selectExpr("sum(src) AS a", "sum(dst) AS b", "count_if(src >= dst) AS wrong").first()
+    ids = [x if x < 5 else x + 7 for x in range(n)]
+    assert tuple(sums) == (sum(x * (n - 1 - i) for i, x in enumerate(ids)), sum(x * i for i, x in enumerate(ids)), 0)
+
+
+def test_virtual_edges_by_block(spark, path, monkeypatch):
+    monkeypatch.setattr(features, "BLOCK", 2)
+    got, want = _both(spark, "virtual_edges", path)
+    assert got == want
+    c = spark.createDataFrame([(i,) for i in (4, 1, 9, 4, 7, None)], "node bigint")
+    rows = features.virtual_edges(spark.createDataFrame([(1, 4)], "src bigint, dst bigint"), c, 2).groupBy("src", "dst").count().collect()
+    assert sorted(map(tuple, rows)) == [(1, 4, 3), (1, 7, 2), (1, 9, 2), (4, 7, 2), (4, 9, 2), (7, 9, 2)]
