@@ -79,3 +79,51 @@ def test_replay_sends_coded_lists():
         assert (replay._decoded(r["near"][0], counts[own % 2 == g]) == np.concatenate(mine)).all()
         before = np.frombuffer(r["before"][0].as_py(), np.int32)
         assert (replay._decoded(r["early"][0], before) == np.concatenate([x[x < t] for t, x in enumerate(lists)])).all()
+
+
+def _dense_gcn(n, pairs, x, y, role, hidden, rounds, rate=0.01, decay=5e-4, patience=50):
+    """The network on a full matrix, whose neighbours count once."""
+    a = np.eye(n)
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    f = 1 / np.sqrt(a.sum(1))
+    a = a * f[:, None] * f
+    rng, k = np.random.default_rng(42), y.max() + 1
+    w = [rng.normal(0, np.sqrt(2 / (p + q)), (p, q)) for p, q in ((x.shape[1], hidden), (hidden, k))]
+    m, s, best, kept, since = [0, 0], [0, 0], -1.0, w, 0
+    train, val = role == "train", role == "val"
+    hidden_of = lambda: np.maximum(a @ x @ w[0], 0)
+    for t in range(1, rounds + 1):
+        h = hidden_of()
+        e = np.exp(a @ h @ w[1])
+        g = a.T @ (np.where(train[:, None], e / e.sum(1, keepdims=True) - np.eye(k)[y], 0) / train.sum())
+        grads = [(a @ x).T @ ((g @ w[1].T) * (h > 0)) + decay * w[0], h.T @ g]
+        m, s = [0.9 * p + 0.1 * q for p, q in zip(m, grads)], [0.999 * p + 0.001 * q * q for p, q in zip(s, grads)]
+        w = [p - rate * (q / (1 - 0.9**t)) / (np.sqrt(r / (1 - 0.999**t)) + 1e-8) for p, q, r in zip(w, m, s)]
+        score = ((a @ hidden_of() @ w[1]).argmax(1) == y)[val].mean() if val.any() else t
+        if score > best:
+            best, kept, since = score, w, 0
+        elif (since := since + 1) >= patience:
+            break
+    w = kept
+    return (a @ hidden_of() @ w[1]).argmax(1)
+
+
+@pytest.mark.parametrize("held,near", [(True, 1_000_000), (True, 150), (False, 150)])
+def test_gcn_without_a_full_matrix(spark, monkeypatch, held, near):
+    """The same answers as with a full matrix, in one task and in rounds of jobs; no task is given all edges."""
+    rng, n = np.random.default_rng(9), 60
+    pairs = [(i, j) for i, j in rng.integers(0, n, (240, 2)).tolist() if i != j]
+    x, y = rng.normal(size=(n, 3)), rng.integers(0, 3, n)
+    x[:, 0] += y
+    role = np.array(["train"] * 15 + (["val"] * 10 if held else []) + ["none"] * (35 if held else 45))
+    v = spark.createDataFrame([(3 * i,) for i in range(n)], "node bigint")
+    e = spark.createDataFrame([(3 * i, 3 * j) for i, j in pairs] + [(None, 3), (3, 3), (3, 7)], "src bigint, dst bigint")
+    f = spark.createDataFrame([(3 * i, x[i].tolist()) for i in range(n)], "node bigint, vector array<double>")
+    lab = spark.createDataFrame([(3 * i, int(c)) for i, c in enumerate(y)], "node bigint, label bigint")
+    split = spark.createDataFrame([(3 * i, str(r)) for i, r in enumerate(role)], "node bigint, role string")
+    monkeypatch.setattr(features, "TASK_NEAR", near)
+    got = features.gcn(v, e, f, lab, split, hidden=4, rounds=12, patience=5).orderBy("node").collect()
+    assert [r["node"] for r in got] == [3 * i for i in range(n)] and [r["label"] for r in got] == y.tolist()
+    assert [r["pred"] for r in got] == _dense_gcn(n, pairs, x, y, role, 4, 12, patience=5).tolist()
+    assert features.gcn(v.limit(0), e, f, lab, split).count() == 0
