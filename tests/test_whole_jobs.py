@@ -6,7 +6,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from graphloom.operators import features, replay
+from graphloom.operators import features, packed, peel, replay
+from graphloom.plans import generate
 from graphloom.plans.queries import QUERIES, SQL
 
 
@@ -127,3 +128,23 @@ def test_gcn_without_a_full_matrix(spark, monkeypatch, held, near):
     assert [r["node"] for r in got] == [3 * i for i in range(n)] and [r["label"] for r in got] == y.tolist()
     assert [r["pred"] for r in got] == _dense_gcn(n, pairs, x, y, role, 4, 12, patience=5).tolist()
     assert features.gcn(v.limit(0), e, f, lab, split).count() == 0
+
+
+def test_planted_sweep_spread_out(spark, monkeypatch):
+    """Graphs beyond a task give the rows of those within, by packed snapshots as well, and leave nothing behind."""
+    args = (spark, 150, [12, 40], [0.8], [0.02, 0.1], [1], 1e3)
+    rows = lambda: sorted(map(tuple, generate.sweep(*args).drop("ms").collect()))
+    want = rows()
+    monkeypatch.setattr(generate, "ONE_TASK_EDGES", 1_000)  # some within, some beyond
+    made = []
+    keep = generate._methods
+    monkeypatch.setattr(generate, "_methods", lambda *a: made.append(a[1:]) or keep(*a))
+    assert rows() == want and len(made) == 2
+    monkeypatch.setattr(generate, "ONE_TASK_EDGES", 0)
+    monkeypatch.setattr(peel, "ONE_BATCH", 10)
+    monkeypatch.setattr(packed, "DENSITY", 1)
+    monkeypatch.setattr(packed, "PIECE", 200)
+    args = (spark, 150, [12], [0.8], [0.1], [1], 1e3)
+    got = rows()
+    monkeypatch.undo()
+    assert got == rows()
