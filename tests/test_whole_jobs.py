@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from graphloom.operators import features, packed, peel, replay
+from graphloom.operators import features, packed, paths, peel, replay, seeds, snapshots
 from graphloom.plans import generate
 from graphloom.plans.queries import QUERIES, SQL
 
@@ -148,3 +148,21 @@ def test_planted_sweep_spread_out(spark, monkeypatch):
     got = rows()
     monkeypatch.undo()
     assert got == rows()
+
+
+def test_alphas_of_nested_sets(spark, monkeypatch):
+    """The same as with members and inner edges of each set as rows, which are no longer made; several components, a repeated edge, a loop."""
+    rng = np.random.default_rng(6)
+    e = [(int(a) * 3, int(b) * 3) for a, b in rng.integers(0, 60, (220, 2))] + [(200 + i, 201 + i) for i in range(9)] + [(300, 301), (300, 301), (0, 0), (None, 3)]
+    v = spark.createDataFrame([(3 * i,) for i in range(60)] + [(200 + i,) for i in range(10)] + [(300,), (301,), (302,)], "node bigint")
+    e = spark.createDataFrame(e, "src bigint, dst bigint")
+    snaps = snapshots.snapshots(v, e)
+    for kind in seeds.KINDS:
+        monkeypatch.setattr(paths, "NESTED", 0)
+        want = {r["node"]: r["alpha"] for r in seeds.candidates(snaps, e, kind).collect()}
+        monkeypatch.setattr(paths, "NESTED", 8_000_000)
+        monkeypatch.setattr(paths, "snapshot_diameters", None)
+        monkeypatch.setattr(seeds, "members_by_maker", None)
+        got = {r["node"]: r["alpha"] for r in seeds.candidates(snaps, e, kind).collect()}
+        assert len(want) > 40 and got == want
+        monkeypatch.undo()
